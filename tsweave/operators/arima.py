@@ -199,7 +199,7 @@ def _push(values: Column, new: Column) -> Column:
 
 
 def _jump(fits: DataFrame, key: str) -> DataFrame:
-    """Move each fit's starting values ``_skip`` steps ahead.
+    """Move each fit's starting values ``skip`` steps ahead.
 
     The recursion is linear, so many steps at once are a power of its matrix.
     This lets the steps of a very long forecast be worked out by many tasks.
@@ -210,7 +210,7 @@ def _jump(fits: DataFrame, key: str) -> DataFrame:
             out = {"z_last": [], "e_last": [], "levels": []}
             for row in pdf.itertuples():
                 z, e, lev = (np.asarray(getattr(row, c), dtype=float) for c in out)
-                p, q, d, skip = len(z), len(e), len(lev), int(row._skip_)
+                p, q, d, skip = len(z), len(e), len(lev), int(row.skip)
                 if skip and row.phi is not None:
                     size = 1 + p + q + d
                     a = np.zeros((size, size))
@@ -231,9 +231,7 @@ def _jump(fits: DataFrame, key: str) -> DataFrame:
                     out[c].append(v)
             yield pdf.assign(**out)
 
-    return fits.withColumn("_skip_", F.col("_skip")).mapInPandas(
-        advance, fits.withColumn("_skip_", F.col("_skip")).schema
-    ).drop("_skip_")
+    return fits.mapInPandas(advance, fits.schema)
 
 
 def forecast(fits: DataFrame, key: str, steps: Column, steps_per_row: int = STEPS_PER_ROW) -> DataFrame:
@@ -244,9 +242,9 @@ def forecast(fits: DataFrame, key: str, steps: Column, steps_per_row: int = STEP
     """
     ahead = fits.withColumn("_steps", steps.cast("bigint")).where((F.col("_steps") > 0) & F.col("phi").isNotNull())
     pieces = F.floor((F.col("_steps") - 1) / F.lit(steps_per_row)).cast("bigint")
-    ahead = ahead.withColumn("_skip", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), pieces), lambda k: k * steps_per_row)))
-    ahead = _jump(ahead.repartition(key, "_skip"), key)
-    count = F.least(F.col("_steps") - F.col("_skip"), F.lit(steps_per_row))
+    ahead = ahead.withColumn("skip", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), pieces), lambda k: k * steps_per_row)))
+    ahead = _jump(ahead.repartition(key, "skip"), key)
+    count = F.least(F.col("_steps") - F.col("skip"), F.lit(steps_per_row))
     none = F.array().cast("array<double>")
     start = F.struct(
         F.col("z_last").alias("z"), F.col("e_last").alias("e"), F.col("levels").alias("lev"), none.alias("out")
@@ -267,8 +265,8 @@ def forecast(fits: DataFrame, key: str, steps: Column, steps_per_row: int = STEP
         )
 
     path = F.aggregate(F.sequence(F.lit(1).cast("bigint"), count), start, step, lambda s: s["out"])
-    return ahead.select(key, "_skip", F.posexplode(path).alias("_i", "predicted")).select(
-        key, (F.col("_skip") + F.col("_i") + 1).alias("step"), "predicted"
+    return ahead.select(key, "skip", F.posexplode(path).alias("_i", "predicted")).select(
+        key, (F.col("skip") + F.col("_i") + 1).alias("step"), "predicted"
     )
 
 

@@ -140,6 +140,30 @@ class Panel:
         stats = self.df.groupBy(self.spec.key).agg(*[a.alias(k) for k, a in aggregates.items()])
         return self.attach(stats)
 
+    def renumber(self) -> Panel:
+        """Give the rows that are left new positions, after some were dropped."""
+        spec = self.spec
+        if self.block_rows is None:
+            return self.with_df(_whole_series(self.df.drop("pos", "n"), spec))
+        sizes = self.df.groupBy(spec.key, "_block").agg(F.count(F.lit(1)).alias("_size"))
+        series = Window.partitionBy(spec.key)
+        offsets = sizes.select(
+            spec.key,
+            "_block",
+            (F.sum("_size").over(series.orderBy("_block")) - F.col("_size")).alias("_before"),
+            F.sum("_size").over(series).alias("_left"),
+        )
+        local = Window.partitionBy(spec.key, "_block").orderBy("pos")
+        place = F.col("_before") + F.col("_rank") - 1
+        block = F.when(F.col("_left") > self.max_rows, _div(place, self.block_rows)).otherwise(0)
+        out = (
+            self.df.withColumn("_rank", F.row_number().over(local))
+            .join(offsets, [spec.key, "_block"])
+            .withColumns({"pos": place, "n": F.col("_left"), "_block": block.cast("bigint")})
+            .drop("_rank", "_before", "_left")
+        )
+        return self.with_df(out)
+
     def rows(self, *columns: str | Column) -> DataFrame:
         """The rows as a plain frame, without the bookkeeping columns."""
         if columns:
