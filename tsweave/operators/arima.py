@@ -118,6 +118,10 @@ def _difference_tail(tail: np.ndarray, order: int) -> np.ndarray:
     return tail
 
 
+def _schema(sums: DataFrame, key: str) -> str:
+    return f"{key} {sums.schema[key].dataType.simpleString()}, {FIT_FIELDS}, _solved boolean"
+
+
 def fit_orders(panel: Panel, orders: list[tuple[int, int, int]], rows: Column | None = None) -> DataFrame:
     """Fit every order to every series, all on the same rows of the series.
 
@@ -125,20 +129,17 @@ def fit_orders(panel: Panel, orders: list[tuple[int, int, int]], rows: Column |
     forecast starts from. Orders that cannot be solved have null AIC.
     """
     key = panel.spec.key
-    lags = _needed_lags(orders)
-    sums = lag_products(panel, lags, rows)
+    sums = lag_products(panel, _needed_lags(orders), rows)
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if pdf.empty:
                 continue
-            batch = Batch(pdf)
-            for part in _fit_batch(batch, orders):
+            for part in _fit_batch(Batch(pdf), orders):
                 part.insert(0, key, pdf[key].to_numpy())
                 yield part
 
-    kind = panel.df.schema[key].dataType.simpleString()
-    fits = sums.mapInPandas(fit, f"{key} {kind}, {FIT_FIELDS}, _solved boolean")
+    fits = sums.mapInPandas(fit, _schema(sums, key))
     clean = {name: F.when(~F.isnan(name), F.col(name)) for name in ("aic", "sse")}
     for name in ("phi", "theta", "intercept"):
         clean[name] = F.when(F.col("_solved"), F.col(name))
@@ -160,32 +161,31 @@ def best_orders(grid: DataFrame, key: str) -> DataFrame:
     return scored.groupBy(key).agg(best.alias("_best")).select(key, "_best.p", "_best.d", "_best.q", "_best.aic")
 
 
-def best_fits(fits: DataFrame, key: str) -> DataFrame:
-    """The whole fit of lowest AIC per series."""
-    others = [c for c in fits.columns if c not in (key, "aic", "p", "d", "q")]
-    best = F.min_by(F.struct("aic", "p", "d", "q", *others), F.struct("aic", "p", "d", "q"))
-    return fits.where(F.col("aic").isNotNull()).groupBy(key).agg(best.alias("_best")).select(key, "_best.*")
-
-
-def refit_best(panel: Panel, chosen: DataFrame, orders: list[tuple[int, int, int]], rows: Column | None = None) -> DataFrame:
-    """Fit each series again with its own best order on all rows that order can use.
+def refit_best(panel: Panel, orders: list[tuple[int, int, int]], rows: Column | None = None) -> DataFrame:
+    """Search the orders of each series and fit the best one again, in one pass.
 
-    The order search compares orders on rows that all of them can use; the
-    final fit needs no such allowance.
+    The search compares orders on rows that all of them can use; the final fit
+    uses every row its own order can. ``search_aic`` is the AIC of the search.
     """
     key = panel.spec.key
-    lags = _needed_lags(orders)
-    sums = lag_products(panel, lags, rows).join(chosen.select(key, "p", "d", "q"), key)
+    sums = lag_products(panel, _needed_lags(orders), rows)
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for order, group in pdf.groupby(["p", "d", "q"]):
-                for part in _fit_batch(Batch(group), [tuple(int(v) for v in order)]):
-                    part.insert(0, key, group[key].to_numpy())
-                    yield part
-
-    kind = panel.df.schema[key].dataType.simpleString()
-    fits = sums.mapInPandas(fit, f"{key} {kind}, {FIT_FIELDS}, _solved boolean")
+            if pdf.empty:
+                continue
+            batch = Batch(pdf)
+            tried = [(tuple(int(part[c].iloc[0]) for c in "pdq"), part["aic"].to_numpy()) for part in _fit_batch(batch, orders)]
+            tried.sort(key=lambda t: t[0])
+            scores = np.stack([np.where(np.isnan(aic), np.inf, aic) for _, aic in tried])
+            best, lowest = scores.argmin(axis=0), scores.min(axis=0)
+            for place in np.unique(best[np.isfinite(lowest)]):
+                which = np.flatnonzero((best == place) & np.isfinite(lowest))
+                for part in _fit_batch(batch.select(which), [tried[place][0]]):
+                    part.insert(0, key, pdf[key].to_numpy()[which])
+                    yield part.assign(search_aic=lowest[which])
+
+    fits = sums.mapInPandas(fit, _schema(sums, key) + ", search_aic double")
     return fits.where("_solved").drop("_solved")
 
 

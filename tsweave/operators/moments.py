@@ -30,7 +30,7 @@ def lag_products(panel: Panel, max_lag: int, rows: Column | None = None, keep: i
     """
     spec = panel.spec
     m = F.col("n") if rows is None else rows
-    keep = keep if keep is not None else 2 * max_lag + 2
+    keep = keep if keep is not None else max_lag + 1
     part = panel.with_columns({"_m": m}).where(F.col("pos") < F.col("_m"))
     part = part.with_series_stats(_centre=F.avg(spec.value))
     part = part.with_columns({"_u": F.col(spec.value) - F.col("_centre")})

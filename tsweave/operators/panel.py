@@ -63,11 +63,12 @@ class Panel:
             long_rows, short_rows, total, max_rows = df, None, df.count(), 0
         elif layout == "auto":
             lengths = df.groupBy(spec.key).agg(F.count(F.lit(1)).alias("_rows"))
+            longest = lengths.agg(F.max("_rows")).first()[0]
+            if longest is None or longest <= max_rows:
+                return cls(_whole_series(df, spec), spec, max_rows)
             # At most (all rows / max_rows) keys can be this long.
             long_keys = materialise(lengths.where(F.col("_rows") > max_rows), "long-series")
             total = long_keys.agg(F.sum("_rows")).first()[0]
-            if total is None:
-                return cls(_whole_series(df, spec), spec, max_rows)
             long_rows = df.join(long_keys.select(spec.key), spec.key, "left_semi")
             short_rows = df.join(long_keys.select(spec.key), spec.key, "left_anti")
         else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tsweave.operators.panel import Panel
 from tsweave.operators.splits import explode_split
@@ -12,13 +12,16 @@ WINDOW_LENGTH = 12
 
 
 def with_history(panel: Panel, length: int = WINDOW_LENGTH, column: str | None = None) -> Panel:
-    """Add ``x``: the ``length`` values before the row, oldest first."""
+    """Add ``x``: the ``length`` values before the row, oldest first.
+
+    Places before the start of the series are null.
+    """
     value = F.col(column or panel.spec.value)
-    # Nulls keep their place: collect_list would skip a bare null.
-    held = F.struct(value.alias("v"))
-    return panel.over(
-        length, lambda w: {"x": F.collect_list(held).over(w.rowsBetween(-length, -1))}
-    ).with_columns({"x": F.col("x.v")})
+
+    def build(w: WindowSpec) -> dict[str, Column]:
+        return {"x": F.array(*[F.lag(value, k).over(w) for k in range(length, 0, -1)])}
+
+    return panel.over(length, build)
 
 
 def usable(start: Column, end: Column, length: int, keep_last: bool) -> Column:

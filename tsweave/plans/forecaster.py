@@ -14,6 +14,7 @@ from tsweave.operators.panel import Panel
 from tsweave.operators.scaling import RANGE, minmax, unscale
 from tsweave.operators.splits import OVERLAP, TRAIN_SHARE, floor_cut, split_ceil_overlap
 from tsweave.operators.windows import WINDOW_LENGTH, last_windows, require_clean_windows, slide, split_windows
+from tsweave.session import materialise
 from tsweave.sources.store import load_artefact, save_artefact
 from tsweave.spec import PANEL, SeriesSpec
 
@@ -53,8 +54,7 @@ class SequenceForecaster:
         last = last_windows(windows.where("split = 'test'"), spec)
         x = slide(F.col("x"), F.col("y")) if self.aligned else F.col("x")
         state = last.select(spec.key, F.col("y_ts").alias("last_ts"), x.alias("x"), "lo", "hi")
-        state = state.join(step_lengths(panel), spec.key, "left")
-        return FittedSequence(self, fitted, state, spec, windows)
+        return FittedSequence(self, fitted, state, step_lengths(panel), spec, windows)
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,7 @@ class FittedSequence:
     config: SequenceForecaster
     model: PipelineModel
     state: DataFrame
+    steps: DataFrame
     spec: SeriesSpec = PANEL
     windows: DataFrame | None = None
 
@@ -94,18 +95,20 @@ class FittedSequence:
         """
         if not 1 <= horizon <= MAX_HORIZON:
             raise ValueError(f"horizon must be between 1 and {MAX_HORIZON}")
+        state, seconds = self.state, None
+        if step == "infer":
+            state, seconds = state.join(self.steps, self.spec.key, "left"), "step_seconds"
         if self.config.model == "linear":
             line = self.model.stages[-1]
             weights = F.array(*[F.lit(float(c)) for c in line.coefficients])
-            paths = recursive_linear(self.state, weights, F.lit(float(line.intercept)), horizon)
+            paths = recursive_linear(state, weights, F.lit(float(line.intercept)), horizon)
         else:
-            paths = recursive_model(self.state, self.model, horizon, self.spec.key)
-        seconds = "step_seconds" if step == "infer" else None
+            paths = recursive_model(state, self.model, horizon)
         return dated(paths, self.spec.key, "last_ts", self._unscale, seconds)
 
     def save(self, path: str) -> None:
         settings = {"config": asdict(self.config), "spec": asdict(self.spec)}
-        save_artefact(path, self.model, self.state, settings)
+        save_artefact(path, self.model, self.state.join(self.steps, self.spec.key, "left"), settings)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FittedSequence:
@@ -114,7 +117,9 @@ class FittedSequence:
         config["feature_range"] = tuple(config["feature_range"])
         spec = settings["spec"]
         spec["order"] = tuple(spec["order"]) if spec["order"] else None
-        return cls(SequenceForecaster(**config), model, state, SeriesSpec(**spec))
+        spec = SeriesSpec(**spec)
+        steps = state.select(spec.key, "step_seconds")
+        return cls(SequenceForecaster(**config), model, state.drop("step_seconds"), steps, spec)
 
 
 @dataclass(frozen=True)
@@ -193,8 +198,9 @@ def arima_run(panel: Panel, orders: list[tuple[int, int, int]] | None = None) ->
     spec = panel.spec
     orders = orders or arima.all_orders()
     cut = floor_cut(F.col("n"))
-    chosen = arima.best_orders(arima.fit_orders(panel, orders, rows=cut), spec.key)
-    fits = arima.refit_best(panel, chosen, orders, rows=cut)
+    # One row per series, read three times below.
+    fits = materialise(arima.refit_best(panel, orders, rows=cut), "arima-fits")
+    chosen = fits.select(spec.key, "p", "d", "q", F.col("search_aic").alias("aic"))
     largest = tuple(max(o[i] for o in orders) for i in range(3))
     train = arima.in_sample(panel, fits, largest).where(F.col("pos") < cut)
     lengths = panel.df.groupBy(spec.key).agg(F.max("n").alias("_n"))
