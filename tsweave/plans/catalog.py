@@ -6,6 +6,8 @@ so that another engine's result can be compared value by value.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tsweave.functions import calendar, cleaning, dates
@@ -13,7 +15,7 @@ from tsweave.operators import (
     arima, diagnostics, evaluate, features, profile, scaling, splits, windows,
 )
 from tsweave.operators.panel import Panel
-from tsweave.plans import compare, forecaster
+from tsweave.plans import compare, forecaster, prepare
 from tsweave.session import scratch_path
 from tsweave.sources import files, series
 from tsweave.sources.series import all_events, daily_orders, hourly_avg, hourly_type, monthly_orders, table, user_events
@@ -314,6 +316,12 @@ def arima_eval(spark, folder):
     return rounded(errors, 4)
 
 
+def arima_ar_eval(spark, folder):
+    """Search, refit, in-sample predictions, forecast of the test part and errors."""
+    _, _, errors = forecaster.arima_run(Panel.of(user_events(spark, folder)), AR_CANDIDATES)
+    return rounded(errors.select(KEY, "split", "n_rows", "mse", "rmse", "mae"), 4)
+
+
 def linear_window_forecast(spark, folder):
     out = forecaster.series_linear_forecast(Panel.of(user_events(spark, folder)), HORIZON, length=1)
     return rounded(out)
@@ -345,6 +353,23 @@ def persistence_eval(spark, folder):
     return rounded(evaluate.evaluate(scored, [KEY, "split"]), 5)
 
 
+def messy_pipeline_eval(spark, folder):
+    """Text dates and text numbers, in arrival order, through to forecast errors."""
+    text = F.col("text")
+    raw = series.text_dates(spark, folder).select("event_id", text.alias("timestamp")).join(
+        series.text_numbers(spark, folder).select("event_id", text.alias("energy")), "event_id"
+    ).join(table(spark, folder, "events").select("event_id", "user_id"), "event_id")
+    spec = replace(PANEL, order=("seq",))
+    rows = prepare.prepare_series(raw, "energy", "event_id", key="user_id", spec=spec)
+    out = features.forecasting_features(Panel.of(rows, spec), leak_safe=False)
+    kept = out.with_df(features.drop_warmup(out.df, [*features.feature_names(), "value"])).renumber()
+    scored = splits.split_floor(kept).rows(
+        KEY, "split", F.col("value").alias("actual"), F.col("lag1").alias("predicted")
+    )
+    errors = evaluate.evaluate(scored, [KEY, "split"])
+    return rounded(errors.select(KEY, "split", "n_rows", "rmse", "mae"), 4)
+
+
 def persistence_windows_eval(spark, folder):
     """The last value of each window as its prediction, in the windows of both parts."""
     parts = windows.split_windows(splits.split_ceil_overlap(Panel.of(user_events(spark, folder))))
@@ -407,6 +432,17 @@ def sequence_predictions(spark, folder):
     return rounded(fitted.predictions(), 4)
 
 
+def sequence_predictions_1(spark, folder):
+    """Windows of one value, so that the fit is a plain regression line."""
+    fitted = forecaster.SequenceForecaster(length=1).fit(Panel.of(user_events(spark, folder)))
+    return rounded(fitted.predictions(), 4)
+
+
+def sequence_eval_1(spark, folder):
+    fitted = forecaster.SequenceForecaster(length=1).fit(Panel.of(user_events(spark, folder)))
+    return rounded(fitted.errors().select(KEY, "split", "n_rows", "rmse", "mae"), 4)
+
+
 def sequence_eval(spark, folder):
     fitted = forecaster.SequenceForecaster().fit(Panel.of(user_events(spark, folder)))
     return rounded(fitted.errors(), 4)
@@ -421,14 +457,17 @@ def tree_forecast(spark, folder):
 
 
 def save_load_forecast(spark, folder):
-    """Forecast of a saved and reloaded model next to that of the model in memory."""
-    fitted = forecaster.SequenceForecaster().fit(Panel.of(user_events(spark, folder)))
+    """Forecast of a saved and reloaded model."""
+    fitted = forecaster.SequenceForecaster(length=1).fit(Panel.of(user_events(spark, folder)))
     path = scratch_path(spark, "forecaster")
     fitted.save(path)
-    loaded = forecaster.FittedSequence.load(spark, path)
-    fresh = fitted.forecast(HORIZON).withColumnRenamed("predicted", "fresh")
-    both = loaded.forecast(HORIZON).join(fresh.select(KEY, "step", "fresh"), [KEY, "step"])
-    return rounded(both.withColumn("difference", F.abs(F.col("predicted") - F.col("fresh"))), 4)
+    return rounded(forecaster.FittedSequence.load(spark, path).forecast(HORIZON), 4)
+
+
+def sequence_forecast(spark, folder):
+    """Windows of twelve values, a month ahead, steps as long as the data's own."""
+    fitted = forecaster.SequenceForecaster(aligned=True, clamp=True).fit(Panel.of(user_events(spark, folder)))
+    return rounded(fitted.forecast(30, step="infer"), 4)
 
 
 def series_roundtrip(spark, folder):
@@ -479,11 +518,11 @@ QUERIES = {
         sliding_windows, split_sliding_windows, last_window, slide_append, window_null_gate,
         hour_profile_sum, hour_profile_mean, differenced, acf_20, pacf_2, pacf_20, adf_lag0, adf_auto,
         line_extract, line_buckets,
-        ar1_fit_aic, ar1_in_sample, ar1_forecast, best_ar_order, arima_grid, arima_eval,
+        ar1_fit_aic, ar1_in_sample, ar1_forecast, best_ar_order, arima_grid, arima_eval, arima_ar_eval,
         linear_window_forecast, linear_window_forecast_12, future_dates,
-        persistence_eval, persistence_windows_eval, mean_benchmark, baseline_compare, baseline_side_by_side,
+        persistence_eval, messy_pipeline_eval, persistence_windows_eval, mean_benchmark, baseline_compare, baseline_side_by_side,
         rf_eval, rf_date_parts_eval, gbt_eval, gbt_loss_curve, model_compare,
-        sequence_predictions, sequence_eval, tree_forecast,
+        sequence_predictions, sequence_predictions_1, sequence_eval, sequence_eval_1, sequence_forecast, tree_forecast,
         save_load_forecast, series_roundtrip, panel_union, long_series_features, long_series_acf,
     )
 }

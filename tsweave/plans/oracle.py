@@ -150,6 +150,82 @@ e AS (SELECT series_id, CASE WHEN pos < {CUT} THEN 'train' ELSE 'test' END AS sp
   lag(value) OVER ({W}) AS predicted FROM p)
 SELECT series_id, split, {errors(3, 'n_rows', 'rmse', 'mae')} FROM e GROUP BY 1, 2"""
 
+SEQUENCE_1 = f"""{SCALED}, sc AS (SELECT *, (value - lo) / (hi - lo) * 2 - 1 AS y FROM b),
+lg AS (SELECT *, lag(y) OVER ({W}) AS y1 FROM sc),
+f AS (SELECT regr_slope(y, y1) AS slope, regr_intercept(y, y1) AS c FROM lg WHERE pos BETWEEN 1 AND L - 2),
+e AS (
+  SELECT series_id, 'train' AS split, ts, pos, value AS actual, lo + (c + slope * y1 + 1) / 2 * (hi - lo) AS predicted
+  FROM lg, f WHERE pos BETWEEN 1 AND L - 2
+  UNION ALL
+  SELECT series_id, 'test', ts, pos, value, lo + (c + slope * y1 + 1) / 2 * (hi - lo)
+  FROM lg, f WHERE pos BETWEEN test_start + 1 AND n - 2)"""
+
+SAVED_1 = f"""WITH RECURSIVE {SEQUENCE_1},
+seed AS (SELECT series_id, ts AS last_ts, y1 AS x, lo, hi FROM lg WHERE pos = n - 2 AND pos >= test_start + 1),
+walk AS (
+  SELECT series_id, 1 AS step, c + slope * x AS y FROM seed, f
+  UNION ALL
+  SELECT w.series_id, w.step + 1, f.c + f.slope * w.y FROM walk w, f WHERE w.step < 10)
+SELECT w.series_id, CAST(w.step AS BIGINT) AS step, last_ts + to_days(CAST(w.step AS INTEGER)) AS date,
+  {r('lo + (w.y + 1) / 2 * (hi - lo)', 4)} AS predicted
+FROM walk w JOIN seed USING (series_id)"""
+
+PACF = f"""WITH RECURSIVE {HOURLY_PLACED}, t AS (SELECT *, {CUT} AS m FROM p), d AS (
+  SELECT series_id, pos, m, value - avg(value) OVER (PARTITION BY series_id) AS u FROM t WHERE pos < m),
+k AS (SELECT range AS lag FROM range(0, 21)),
+c AS (SELECT a.series_id, k.lag, a.m, sum(a.u * b.u) AS p FROM d a, k, d b
+  WHERE b.series_id = a.series_id AND b.pos = a.pos - k.lag GROUP BY 1, 2, 3),
+rr AS (SELECT series_id, m, list(p ORDER BY lag) AS p FROM c GROUP BY 1, 2),
+q AS (SELECT series_id, m, list_transform(p, lambda x: x / p[1]) AS r FROM rr),
+dl AS (
+  SELECT series_id, m, r, 1 AS lag, r[2] AS pacf, [r[2]] AS phi FROM q
+  UNION ALL
+  SELECT series_id, m, r, lag + 1, a, list_append(list_transform(range(1, lag + 1), lambda i: phi[i] - a * phi[lag + 1 - i]), a)
+  FROM (SELECT *, (r[lag + 2] - list_sum(list_transform(range(1, lag + 1), lambda i: phi[i] * r[lag + 2 - i])))
+    / (1 - list_sum(list_transform(range(1, lag + 1), lambda i: phi[i] * r[i + 1]))) AS a FROM dl WHERE lag < 20))
+SELECT series_id, CAST(0 AS BIGINT) AS lag, 1.0::DOUBLE AS pacf, 0.0::DOUBLE AS band FROM q
+UNION ALL SELECT series_id, lag, {r('pacf')}, {r('1.959963984540054 / sqrt(m)')} FROM dl"""
+
+ARIMA_AR = f"""WITH RECURSIVE best AS (WITH {BEST}), {PLACED},
+l AS (SELECT p.*, {CUT.replace('n *', 'p.n *')} AS m, lag(value) OVER (PARTITION BY p.series_id ORDER BY ts, seq) AS y1,
+  lag(value, 2) OVER (PARTITION BY p.series_id ORDER BY ts, seq) AS y2, best.p AS bp, best.d AS bd
+  FROM p JOIN best USING (series_id)),
+f AS (SELECT series_id, bp, bd,
+  CASE WHEN bd = 1 THEN 0 WHEN bp = 1 THEN regr_intercept(value, y1) ELSE avg(value) END AS c,
+  CASE WHEN bp = 0 THEN 0 WHEN bd = 0 THEN regr_slope(value, y1)
+    ELSE sum((value - y1) * (y1 - y2)) / sum(CASE WHEN y2 IS NOT NULL THEN (y1 - y2) * (y1 - y2) END) END AS phi
+  FROM l WHERE pos < m GROUP BY 1, 2, 3),
+walk AS (
+  SELECT f.series_id, 1 AS step, l.n - l.m AS h, bd2.y AS y, bd2.y - l.value AS z
+  FROM f JOIN l ON l.series_id = f.series_id AND l.pos = l.m - 1,
+    LATERAL (SELECT CASE WHEN f.bd = 0 THEN f.c + f.phi * l.value ELSE l.value + f.phi * (l.value - l.y1) END AS y) bd2
+  UNION ALL
+  SELECT w.series_id, w.step + 1, w.h, CASE WHEN f.bd = 0 THEN f.c + f.phi * w.y ELSE w.y + f.phi * w.z END,
+    f.phi * w.z FROM walk w JOIN f ON f.series_id = w.series_id WHERE w.step < w.h),
+e AS (
+  SELECT l.series_id, 'train' AS split, value AS actual, CASE WHEN pos < l.bp + l.bd THEN NULL
+    WHEN l.bd = 0 THEN c + phi * CASE WHEN l.bp = 1 THEN y1 ELSE 0 END
+    WHEN l.bp = 0 THEN y1 ELSE y1 + phi * (y1 - y2) END AS predicted
+  FROM l JOIN f USING (series_id) WHERE pos < m
+  UNION ALL
+  SELECT l.series_id, 'test', value, w.y FROM l JOIN walk w ON w.series_id = l.series_id AND w.step = l.pos - l.m + 1)
+SELECT series_id, split, {errors(4, 'n_rows', 'mse', 'rmse', 'mae')} FROM e GROUP BY 1, 2"""
+
+MESSY = f"""WITH {TEXT_DATES.replace('t AS (', 'td AS (', 1)}, {TEXT_NUMBERS.replace('t AS (SELECT event_id, value, v', 'tn AS (SELECT event_id, value, v', 1)},
+v AS (SELECT CAST(e.user_id AS VARCHAR) AS series_id, e.event_id AS seq,
+  CASE WHEN e.event_id % 19 = 17 THEN NULL ELSE e.ts END AS ts,
+  CASE e.event_id % 10 WHEN 1 THEN CAST('1' || lpad(tn.v, 6, '0') AS DOUBLE) WHEN 3 THEN -tn.value
+    WHEN 6 THEN CAST(tn.v || 'e-05' AS DOUBLE) WHEN 4 THEN NULL WHEN 7 THEN NULL WHEN 8 THEN NULL ELSE tn.value END AS value
+  FROM events e JOIN td USING (event_id) JOIN tn USING (event_id)
+  WHERE td.text IS NOT NULL AND tn.text IS NOT NULL),
+f AS (SELECT *, lag(value) OVER w AS lag1, lag(value, 2) OVER w AS lag2 FROM v
+  WINDOW w AS (PARTITION BY series_id ORDER BY seq)),
+k AS (SELECT * FROM f WHERE ts IS NOT NULL AND value IS NOT NULL AND lag1 IS NOT NULL AND lag2 IS NOT NULL),
+q AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY seq) - 1 AS pos,
+  count(*) OVER (PARTITION BY series_id) AS n FROM k),
+e AS (SELECT series_id, CASE WHEN pos < {CUT} THEN 'train' ELSE 'test' END AS split, value AS actual, lag1 AS predicted FROM q)
+SELECT series_id, split, {errors(4, 'n_rows', 'rmse', 'mae')} FROM e GROUP BY 1, 2"""
+
 ORACLES: dict[str, str] = {
     "table_profile": _profile(),
     "null_counts": _nulls(),
@@ -285,6 +361,14 @@ ORACLES: dict[str, str] = {
       SELECT series_id, split, model, sqrt(avg(pow(predicted - actual, 2))) AS rmse FROM e GROUP BY 1, 2, 3)
       SELECT series_id, split, {r("max(CASE WHEN model = 'persistence' THEN rmse END)", 5)} AS persistence,
       {r("max(CASE WHEN model = 'train_mean' THEN rmse END)", 5)} AS train_mean FROM a GROUP BY 1, 2""",
+    "pacf_20": PACF,
+    "arima_ar_eval": ARIMA_AR,
+    "messy_pipeline_eval": MESSY,
+    "sequence_predictions_1": f"""WITH {SEQUENCE_1} SELECT series_id, split, ts, CAST(pos AS BIGINT) AS pos,
+      {r('actual', 4)} AS actual, {r('predicted', 4)} AS predicted FROM e""",
+    "sequence_eval_1": f"""WITH {SEQUENCE_1} SELECT series_id, split, {errors(4, 'n_rows', 'rmse', 'mae')}
+      FROM e GROUP BY 1, 2""",
+    "save_load_forecast": SAVED_1,
     "series_roundtrip": f"WITH {USER} SELECT ts, series_id, seq, value FROM u",
     "panel_union": PANEL_UNION,
     "long_series_features": f"""WITH u AS (SELECT 'all' AS series_id, ts, event_id AS seq, value FROM events),
