@@ -52,10 +52,12 @@ def same_everywhere(layouts, build, keys):
 
 
 def test_layout_is_chosen_by_length(skewed):
-    assert Panel.of(skewed).block_rows is None
-    cut = Panel.of(skewed, max_rows=500, block_rows=100)
-    blocks = dict(cut.df.groupBy("series_id").agg(F.count_distinct("_block")).collect())
-    assert blocks["hot"] == 30 and {v for k, v in blocks.items() if k != "hot"} == {1}
+    assert Panel.of(skewed).cut is None
+    panel = Panel.of(skewed, max_rows=500, block_rows=100)
+    blocks = panel.cut.groupBy("series_id", "_block").count().collect()
+    assert {r.series_id for r in blocks} == {"hot"} and [r["count"] for r in blocks] == [100] * 30
+    assert panel.whole.where("series_id = 'hot'").count() == 0
+    assert panel.df.count() == skewed.count() and "_block" not in panel.df.columns
 
 
 def test_positions_follow_time_then_seq(layouts):

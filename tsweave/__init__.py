@@ -1,0 +1,9 @@
+"""Panel time series on Spark: prepare, diagnose, forecast, evaluate."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need
+# no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -322,4 +322,4 @@ def in_sample(panel: Panel, fits: DataFrame, max_order: tuple[int, int, int]) ->
         F.size("phi"), F.when(F.size("theta") > 0, F.size("theta") + F.size("long_phi")).otherwise(0)
     )
     out = ready.with_columns({"predicted": F.when(F.col("pos") >= before, predicted)})
-    return out.with_df(out.df.drop(*columns, *[f"_y{k}" for k in range(1, lags + 1)]))
+    return out.map(lambda d: d.drop(*columns, *[f"_y{k}" for k in range(1, lags + 1)]))

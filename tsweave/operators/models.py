@@ -80,12 +80,12 @@ def training_frame(panel: Panel, leak_safe: bool = True, features: str = "lags")
     """
     spec = panel.spec
     if features == "lags":
-        frame, names = forecasting_features(panel, leak_safe).df, feature_names()
+        ready, names = forecasting_features(panel, leak_safe), feature_names()
     elif features == "date_parts":
-        frame, names = add_date_parts(panel.df, spec.ts), DATE_PART_FEATURES
+        ready, names = panel.map(lambda d: add_date_parts(d, spec.ts)), DATE_PART_FEATURES
     else:
         raise ValueError(f"unknown features {features!r}")
-    kept = panel.with_df(drop_warmup(frame, [*names, spec.ts, spec.value])).renumber()
+    kept = ready.map(lambda d: drop_warmup(d, [*names, spec.ts, spec.value])).renumber()
     out = split_floor(kept)
     value = F.when(F.col("split") == "train", F.col(spec.value))
     out = out.with_series_stats(series_mean=F.avg(value), series_std=F.stddev_pop(value))

@@ -34,8 +34,7 @@ def lag_products(panel: Panel, max_lag: int, rows: Column | None = None, keep: i
     part = panel.with_columns({"_m": m}).where(F.col("pos") < F.col("_m"))
     part = part.with_series_stats(_centre=F.avg(spec.value))
     part = part.with_columns({"_u": F.col(spec.value) - F.col("_centre")})
-    part = part.with_df(part.df.select(spec.key, *[c for c in spec.order_by if c != spec.key], "pos", "n", "_m",
-                                       "_centre", "_u", *(["_block"] if part.block_rows else [])))
+    part = part.select("_m", "_centre", "_u")
     u = F.col("_u")
     base = [
         F.count(F.lit(1)).alias("m"),

@@ -4,8 +4,8 @@ Most panels hold many series of moderate length, and one window partition per
 series is the best plan: one shuffle by key, shared by every window expression.
 A series too long for one task is cut into blocks of consecutive positions.
 Positional operators do not see the difference: they call :meth:`Panel.over`
-with the number of earlier rows they look back at, and the block layout lends
-each block that many rows from the blocks before it.
+with the number of earlier rows they look back at, and a cut series lends each
+block that many rows from the blocks before it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from tsweave.spec import PANEL, SeriesSpec
 # Rows of one series that one task may hold; longer series are cut.
 MAX_ROWS_PER_SERIES = 1_000_000
 MIN_BLOCK_ROWS, MAX_BLOCK_ROWS = 1_000, 1_000_000
+# monotonically_increasing_id holds the partition in the bits above these.
+ID_BITS = 33
 
 
 def _div(a: Column, b: int) -> Column:
@@ -31,15 +33,18 @@ def _div(a: Column, b: int) -> Column:
 class Panel:
     """Rows of many series with their position ``pos`` and series length ``n``.
 
-    ``block_rows`` is None while no series is cut. Otherwise series longer than
-    ``max_rows`` carry a block number in ``_block``, all others have block 0.
-    The series key must not be null.
+    ``whole`` holds the series that fit one task each, ``cut`` the rows of
+    longer ones with their block number in ``_block``; either may be missing.
+    Operators work on both and results are put together in ``df``. The series
+    key must not be null.
     """
 
-    df: DataFrame
+    whole: DataFrame | None
+    cut: DataFrame | None = None
     spec: SeriesSpec = PANEL
-    max_rows: int = MAX_ROWS_PER_SERIES
-    block_rows: int | None = None
+    block_rows: int = MAX_BLOCK_ROWS
+    # Rows per cut series: a small table.
+    lengths: DataFrame | None = None
 
     @classmethod
     def of(
@@ -57,43 +62,69 @@ class Panel:
         count, for series whose length is bounded by construction (one row per
         day or hour). ``"blocks"`` cuts every series.
         """
+        whole = None
         if layout == "series":
-            return cls(_whole_series(df, spec), spec, max_rows)
+            return cls(_place_whole(df, spec), spec=spec)
         if layout == "blocks":
-            long_rows, short_rows, total, max_rows = df, None, df.count(), 0
+            long_rows, total = df, df.count()
         elif layout == "auto":
-            lengths = df.groupBy(spec.key).agg(F.count(F.lit(1)).alias("_rows"))
-            longest = lengths.agg(F.max("_rows")).first()[0]
+            counts = df.groupBy(spec.key).agg(F.count(F.lit(1)).alias("_rows"))
+            longest = counts.agg(F.max("_rows")).first()[0]
             if longest is None or longest <= max_rows:
-                return cls(_whole_series(df, spec), spec, max_rows)
+                return cls(_place_whole(df, spec), spec=spec)
             # At most (all rows / max_rows) keys can be this long.
-            long_keys = materialise(lengths.where(F.col("_rows") > max_rows), "long-series")
+            long_keys = materialise(counts.where(F.col("_rows") > max_rows), "long-series")
             total = long_keys.agg(F.sum("_rows")).first()[0]
             long_rows = df.join(long_keys.select(spec.key), spec.key, "left_semi")
-            short_rows = df.join(long_keys.select(spec.key), spec.key, "left_anti")
+            whole = _place_whole(df.join(long_keys.select(spec.key), spec.key, "left_anti"), spec)
         else:
             raise ValueError(f"unknown layout {layout!r}")
 
         slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         if block_rows is None:
             block_rows = min(max(total // (2 * slots), MIN_BLOCK_ROWS), MAX_BLOCK_ROWS)
-        out = _cut_series(long_rows, spec, max(slots, -(-total // MAX_BLOCK_ROWS))).withColumn(
-            "_block", _div(F.col("pos"), block_rows)
+        ranges = max(slots, -(-total // MAX_BLOCK_ROWS))
+        placed, lengths = _place_cut(long_rows, spec, ranges)
+        return cls(whole, placed.withColumn("_block", _div(F.col("pos"), block_rows)), spec, block_rows, lengths)
+
+    @property
+    def df(self) -> DataFrame:
+        """All rows as one frame."""
+        if self.cut is None:
+            return self.whole
+        cut = self.cut.drop("_block")
+        return cut if self.whole is None else self.whole.unionByName(cut)
+
+    def rows(self, *columns: str | Column) -> DataFrame:
+        """All rows, or the given columns of them."""
+        return self.df.select(*columns) if columns else self.df
+
+    def _each(self, on_whole: Callable[[DataFrame], DataFrame], on_cut: Callable[[DataFrame], DataFrame]) -> Panel:
+        return replace(
+            self,
+            whole=None if self.whole is None else on_whole(self.whole),
+            cut=None if self.cut is None else on_cut(self.cut),
         )
-        if short_rows is not None:
-            whole = _whole_series(short_rows, spec).withColumn("_block", F.lit(0).cast("bigint"))
-            out = out.unionByName(whole)
-        return cls(out, spec, max_rows, block_rows)
 
-    def with_df(self, df: DataFrame) -> Panel:
-        return replace(self, df=df)
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> Panel:
+        """Apply a function that works row by row and keeps the panel's columns.
+
+        Rows it drops leave holes in the positions; see :meth:`renumber`.
+        """
+        return self._each(change, change)
 
     def where(self, condition: Column) -> Panel:
         """Keep some rows; positions and lengths stay those of the whole series."""
-        return self.with_df(self.df.where(condition))
+        return self.map(lambda d: d.where(condition))
 
     def with_columns(self, columns: dict[str, Column]) -> Panel:
-        return self.with_df(self.df.withColumns(columns))
+        return self.map(lambda d: d.withColumns(columns))
+
+    def select(self, *columns: str | Column) -> Panel:
+        """Keep these columns and what positions need."""
+        kept = [self.spec.key, *self.spec.order_by, "pos", "n"]
+        names = [c for c in dict.fromkeys(kept) if c not in columns]
+        return self._each(lambda d: d.select(*names, *columns), lambda d: d.select(*names, "_block", *columns))
 
     def over(self, history: int, build: Callable[[WindowSpec], dict[str, Column]]) -> Panel:
         """Add the columns ``build(w)`` makes on an ordered window of the series.
@@ -101,17 +132,19 @@ class Panel:
         ``history`` is how many rows before its own the furthest expression
         reads. Expressions must not read rows after their own.
         """
-        spec = self.spec
-        if self.block_rows is None:
-            w = Window.partitionBy(spec.key).orderBy(*spec.order_by)
-            return self.with_columns(build(w))
-        own, pos, n = F.col("_block"), F.col("pos"), F.col("n")
-        reach = F.least(_div(pos + history, self.block_rows), _div(n - 1, self.block_rows))
-        into = F.when(n > self.max_rows, F.sequence(own, F.greatest(own, reach)))
-        lent = self.df.withColumn("_into", F.explode(F.coalesce(into, F.array(own))))
-        w = Window.partitionBy(spec.key, "_into").orderBy("pos")
-        out = lent.withColumns(build(w)).where(F.col("_into") == own).drop("_into")
-        return self.with_df(out)
+        key, own, pos = self.spec.key, F.col("_block"), F.col("pos")
+
+        def on_whole(df: DataFrame) -> DataFrame:
+            return df.withColumns(build(Window.partitionBy(key).orderBy(*self.spec.order_by)))
+
+        def on_cut(df: DataFrame) -> DataFrame:
+            last = _div(F.col("n") - 1, self.block_rows)
+            reach = F.greatest(own, F.least(_div(pos + history, self.block_rows), last))
+            lent = df.withColumn("_into", F.explode(F.sequence(own, reach)))
+            w = Window.partitionBy(key, "_into").orderBy("pos")
+            return lent.withColumns(build(w)).where(F.col("_into") == own).drop("_into")
+
+        return self._each(on_whole, on_cut)
 
     def attach(self, stats: DataFrame) -> Panel:
         """Join one row of statistics per series onto all its rows.
@@ -119,60 +152,62 @@ class Panel:
         A cut series joins block by block, so its rows stay spread out.
         """
         key = self.spec.key
-        if self.block_rows is None:
-            return self.with_df(self.df.join(stats, key, "left"))
-        blocks = self.df.groupBy(key).agg(F.max("_block").alias("_last"))
-        spread = (
-            blocks.join(stats, key)
-            .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))))
-            .drop("_last")
-        )
-        return self.with_df(self.df.join(spread, [key, "_block"], "left"))
+
+        def on_cut(df: DataFrame) -> DataFrame:
+            blocks = F.sequence(F.lit(0).cast("bigint"), _div(F.col("_rows") - 1, self.block_rows))
+            spread = self.lengths.join(stats, key).withColumn("_block", F.explode(blocks)).drop("_rows")
+            return df.join(spread, [key, "_block"], "left")
+
+        return self._each(lambda df: df.join(stats, key, "left"), on_cut)
 
     def with_series_stats(self, **aggregates: Column) -> Panel:
         """Add aggregates over the whole series to each of its rows."""
-        if self.block_rows is None:
-            w = (
-                Window.partitionBy(self.spec.key)
-                .orderBy(*self.spec.order_by)
-                .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            )
-            return self.with_columns({name: agg.over(w) for name, agg in aggregates.items()})
-        stats = self.df.groupBy(self.spec.key).agg(*[a.alias(k) for k, a in aggregates.items()])
-        return self.attach(stats)
+        key = self.spec.key
+        everything = (
+            Window.partitionBy(key)
+            .orderBy(*self.spec.order_by)
+            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        )
+        out = self
+        if self.cut is not None:
+            stats = self.cut.groupBy(key).agg(*[a.alias(name) for name, a in aggregates.items()])
+            out = replace(self, whole=None).attach(stats)
+        if self.whole is None:
+            return out
+        whole = self.whole.withColumns({name: agg.over(everything) for name, agg in aggregates.items()})
+        return replace(out, whole=whole)
 
     def renumber(self) -> Panel:
         """Give the rows that are left new positions, after some were dropped."""
-        spec = self.spec
-        if self.block_rows is None:
-            return self.with_df(_whole_series(self.df.drop("pos", "n"), spec))
-        sizes = self.df.groupBy(spec.key, "_block").agg(F.count(F.lit(1)).alias("_size"))
-        series = Window.partitionBy(spec.key)
-        offsets = sizes.select(
-            spec.key,
-            "_block",
-            (F.sum("_size").over(series.orderBy("_block")) - F.col("_size")).alias("_before"),
-            F.sum("_size").over(series).alias("_left"),
-        )
-        local = Window.partitionBy(spec.key, "_block").orderBy("pos")
-        place = F.col("_before") + F.col("_rank") - 1
-        block = F.when(F.col("_left") > self.max_rows, _div(place, self.block_rows)).otherwise(0)
-        out = (
-            self.df.withColumn("_rank", F.row_number().over(local))
-            .join(offsets, [spec.key, "_block"])
-            .withColumns({"pos": place, "n": F.col("_left"), "_block": block.cast("bigint")})
-            .drop("_rank", "_before", "_left")
-        )
-        return self.with_df(out)
+        key = self.spec.key
 
-    def rows(self, *columns: str | Column) -> DataFrame:
-        """The rows as a plain frame, without the bookkeeping columns."""
-        if columns:
-            return self.df.select(*columns)
-        return self.df.drop("_block")
+        def on_cut(df: DataFrame) -> DataFrame:
+            sizes = df.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_size"))
+            local = Window.partitionBy(key, "_block").orderBy("pos")
+            place = F.col("_before") + F.col("_rank") - 1
+            return (
+                df.drop("n")
+                .withColumn("_rank", F.row_number().over(local))
+                .join(_offsets(sizes, key, "_block"), [key, "_block"])
+                .withColumns({"pos": place, "_block": _div(place, self.block_rows)})
+                .drop("_rank", "_before")
+            )
+
+        return self._each(lambda df: _place_whole(df.drop("pos", "n"), self.spec), on_cut)
 
 
-def _whole_series(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+def _offsets(sizes: DataFrame, key: str, piece: str) -> DataFrame:
+    """Rows before each piece of a series (``_before``) and in all of it (``n``)."""
+    series = Window.partitionBy(key)
+    return sizes.withColumns(
+        {
+            "_before": F.sum("_size").over(series.orderBy(piece)) - F.col("_size"),
+            "n": F.sum("_size").over(series),
+        }
+    ).drop("_size")
+
+
+def _place_whole(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     w = Window.partitionBy(spec.key).orderBy(*spec.order_by)
     everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumns(
@@ -183,33 +218,27 @@ def _whole_series(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
 
 
-def _cut_series(df: DataFrame, spec: SeriesSpec, parts: int) -> DataFrame:
+def _place_cut(df: DataFrame, spec: SeriesSpec, ranges: int) -> tuple[DataFrame, DataFrame]:
     """Positions without ever bringing a whole series into one task.
 
-    Rows are range-partitioned on (key, order); the number of the range is
-    written down with them, since it could differ if the plan ran again. The
-    rank inside a range plus the rows of the series in earlier ranges is the
-    position.
+    Rows are sorted across ``ranges`` range partitions on (key, order) and
+    numbered inside each. The numbers are written down with the rows, since the
+    ranges could differ if the plan ran again. A row's position is its place
+    among the rows of its series in the same range, plus the rows of the series
+    in earlier ranges. There is at most one row of offsets per range and
+    series, about as many as ranges, so that join is usually a broadcast.
     """
     key = spec.key
-    ranged = materialise(
-        df.repartitionByRange(parts, key, *spec.order_by).withColumn(
-            "_range", F.spark_partition_id()
-        ),
-        "ranges",
-    )
-    sizes = ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_size"))
-    series = Window.partitionBy(key)
-    offsets = sizes.select(
-        key,
-        "_range",
-        (F.sum("_size").over(series.orderBy("_range")) - F.col("_size")).alias("_before"),
-        F.sum("_size").over(series).alias("n"),
+    at = F.monotonically_increasing_id()
+    ordered = df.repartitionByRange(ranges, key, *spec.order_by).sortWithinPartitions(key, *spec.order_by)
+    ranged = materialise(ordered.withColumn("_at", at), "ranges").withColumn(
+        "_range", F.shiftright("_at", ID_BITS)
     )
-    local = Window.partitionBy(key, "_range").orderBy(*spec.order_by)
-    return (
-        ranged.withColumn("_rank", F.row_number().over(local))
-        .join(offsets, [key, "_range"])
-        .withColumn("pos", F.col("_before") + F.col("_rank") - 1)
-        .drop("_range", "_rank", "_before")
+    sizes = ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
+    offsets = materialise(_offsets(sizes, key, "_range"), "offsets")
+    placed = (
+        ranged.join(offsets, [key, "_range"])
+        .withColumn("pos", F.col("_before") + F.col("_at") - F.col("_first"))
+        .drop("_range", "_at", "_before", "_first")
     )
+    return placed, offsets.groupBy(key).agg(F.max("n").alias("_rows"))

@@ -72,7 +72,6 @@ def split_windows(
         explode_split(held, train, test)
         .withColumn("y", F.col(column or spec.value))
         .withColumn("y_ts", F.col(spec.ts))
-        .drop("_block")
     )
 
 

@@ -149,9 +149,9 @@ def leak_safe_features(spark, folder):
 
 def warmup_drop(spark, folder):
     panel = Panel.of(user_events(spark, folder))
-    out = features.forecasting_features(panel, leak_safe=False).df
     names = features.feature_names()
-    kept = panel.with_df(features.drop_warmup(out, [*names, "value"])).renumber()
+    out = features.forecasting_features(panel, leak_safe=False)
+    kept = out.map(lambda d: features.drop_warmup(d, [*names, "value"])).renumber()
     return rounded(kept.rows(KEY, "seq", "pos", "n", *names, "value"))
 
 
@@ -346,7 +346,7 @@ def persistence_eval(spark, folder):
     """Hourly panel, features, warm-up drop, split, persistence forecast, errors."""
     panel = _hourly_panel(spark, folder)
     out = features.forecasting_features(panel, leak_safe=False)
-    kept = out.with_df(features.drop_warmup(out.df, [*features.feature_names(), "value"])).renumber()
+    kept = out.map(lambda d: features.drop_warmup(d, [*features.feature_names(), "value"])).renumber()
     scored = splits.split_floor(kept).rows(
         KEY, "split", F.col("value").alias("actual"), F.col("lag1").alias("predicted")
     )
@@ -362,7 +362,7 @@ def messy_pipeline_eval(spark, folder):
     spec = replace(PANEL, order=("seq",))
     rows = prepare.prepare_series(raw, "energy", "event_id", key="user_id", spec=spec)
     out = features.forecasting_features(Panel.of(rows, spec), leak_safe=False)
-    kept = out.with_df(features.drop_warmup(out.df, [*features.feature_names(), "value"])).renumber()
+    kept = out.map(lambda d: features.drop_warmup(d, [*features.feature_names(), "value"])).renumber()
     scored = splits.split_floor(kept).rows(
         KEY, "split", F.col("value").alias("actual"), F.col("lag1").alias("predicted")
     )
