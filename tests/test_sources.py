@@ -175,6 +175,11 @@ def test_loss_curve_falls(seasonal):
         curve = fitted.loss_curve().orderBy("iteration").collect()
         assert [r.iteration for r in curve] == [1, 2, 3, 4]
         assert curve[-1].train_loss < curve[0].train_loss and curve[-1].validation_loss > 0
+    *prepare, boosted = fitted.model.stages
+    for split, column in (("train", "train_loss"), ("test", "validation_loss")):
+        data = prepare[0].transform(fitted.frame.where(F.col("split") == split))
+        expected = boosted.evaluateEachIteration(data, "squared")
+        assert [r[column] for r in curve] == pytest.approx(expected)
 
 
 def test_series_linear_forecast_follows_each_series(seasonal):

@@ -8,16 +8,16 @@ rounds); the trees are depth-limited, as every Spark tree is.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tsweave.functions.calendar import add_date_parts
 from tsweave.operators.features import drop_warmup, feature_names, forecasting_features
 from tsweave.operators.panel import Panel
 from tsweave.operators.splits import split_floor
+from tsweave.session import materialise
 from tsweave.spec import SeriesSpec
 
 SEED = 42
@@ -63,12 +63,15 @@ def window_pipeline(kind: str, length: int, label: str = "y", **settings) -> Pip
 
 
 def fit_pipeline(pipeline: Pipeline, train: DataFrame, columns: list[str]) -> PipelineModel:
-    """Fit on the named columns only, keeping them at hand for the passes of the fit."""
-    held = train.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return pipeline.fit(held)
-    finally:
-        held.unpersist()
+    """Fit on the named columns only.
+
+    Trees read their input several times, so it is written down first; a linear
+    fit reads it once.
+    """
+    data = train.select(*columns)
+    if not isinstance(pipeline.getStages()[-1], LinearRegression):
+        data = materialise(data, "training")
+    return pipeline.fit(data)
 
 
 def training_frame(panel: Panel, leak_safe: bool = True, features: str = "lags") -> tuple[DataFrame, list[str]]:
@@ -100,19 +103,31 @@ def predictions(model: PipelineModel, df: DataFrame, spec: SeriesSpec, actual: s
     )
 
 
-def loss_curve(model: PipelineModel, train: DataFrame, test: DataFrame) -> DataFrame:
-    """Squared loss on train and test after every boosting round."""
-    *prepare, trees = model.stages
+def loss_curve(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
+    """Squared loss of train and test rows after every boosting round.
 
-    def prepared(df: DataFrame) -> DataFrame:
-        for stage in prepare:
-            df = stage.transform(df)
-        return df
-
-    losses = zip(
-        trees.evaluateEachIteration(prepared(train), "squared"),
-        trees.evaluateEachIteration(prepared(test), "squared"),
+    Every tree scores every row once: the running sums of a row's scores are
+    its predictions after each round, so one pass gives the whole curve.
+    """
+    *prepare, boosted = model.stages
+    scored = df.select("split", label, *[c for c in df.columns if c not in ("split", label, "predicted")])
+    for stage in prepare:
+        scored = stage.transform(scored)
+    scored = scored.select("split", label, "features")
+    trees, scores = boosted.trees, []
+    for i, (tree, weight) in enumerate(zip(trees, boosted.treeWeights)):
+        scored = tree.setPredictionCol(f"_tree_{i}").transform(scored)
+        scores.append(F.lit(float(weight)) * F.col(f"_tree_{i}"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("losses"))
+
+    def step(state: Column, score: Column) -> Column:
+        total = state["sum"] + score
+        error = F.col(label) - total
+        return F.struct(total.alias("sum"), F.concat(state["losses"], F.array(error * error)).alias("losses"))
+
+    losses = F.aggregate(F.array(*scores), start, step, lambda s: s["losses"])
+    rows = scored.select("split", F.posexplode(losses).alias("_round", "_loss"))
+    return rows.groupBy((F.col("_round") + 1).cast("bigint").alias("iteration")).agg(
+        F.avg(F.when(F.col("split") == "train", F.col("_loss"))).alias("train_loss"),
+        F.avg(F.when(F.col("split") == "test", F.col("_loss"))).alias("validation_loss"),
     )
-    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(losses, 1)]
-    spark = SparkSession.active()
-    return spark.createDataFrame(rows, "iteration bigint, train_loss double, validation_loss double")

@@ -83,7 +83,7 @@ class Panel:
         slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         if block_rows is None:
             block_rows = min(max(total // (2 * slots), MIN_BLOCK_ROWS), MAX_BLOCK_ROWS)
-        ranges = max(slots, -(-total // MAX_BLOCK_ROWS))
+        ranges = max(min(slots, total // MIN_BLOCK_ROWS), -(-total // MAX_BLOCK_ROWS), 1)
         placed, lengths = _place_cut(long_rows, spec, ranges)
         return cls(whole, placed.withColumn("_block", _div(F.col("pos"), block_rows)), spec, block_rows, lengths)
 

@@ -84,8 +84,7 @@ class FittedSequence:
         return evaluate(scored, [self.spec.key, "model", "split"])
 
     def loss_curve(self) -> DataFrame:
-        parts = [self.windows.where(F.col("split") == s) for s in ("train", "test")]
-        return models.loss_curve(self.model, *parts)
+        return models.loss_curve(self.model, self.windows.select("split", "x", "y"), "y")
 
     def forecast(self, horizon: int, step: str = "days") -> DataFrame:
         """``horizon`` steps after the last known date, ``(key, step, date, predicted)``.
@@ -139,9 +138,10 @@ class EnsembleForecaster:
     def fit(self, panel: Panel) -> FittedEnsemble:
         frame, names = models.training_frame(panel, self.leak_safe, self.features)
         spec = panel.spec
+        # Fitting and scoring both read the features.
+        frame = materialise(frame.select(spec.key, "split", spec.ts, "pos", spec.value, *names), "features")
         pipeline = models.table_pipeline(self.model, names, spec.value, **self.settings)
-        train = frame.where("split = 'train'")
-        return FittedEnsemble(self, models.fit_pipeline(pipeline, train, [*names, spec.value]), frame, spec)
+        return FittedEnsemble(self, pipeline.fit(frame.where("split = 'train'")), frame, spec)
 
 
 @dataclass(frozen=True)
@@ -163,8 +163,7 @@ class FittedEnsemble:
         return evaluate(self.predictions().withColumn("model", F.lit(self.name)), [self.spec.key, "model", "split"])
 
     def loss_curve(self) -> DataFrame:
-        parts = [self.frame.where(F.col("split") == s) for s in ("train", "test")]
-        return models.loss_curve(self.model, *parts)
+        return models.loss_curve(self.model, self.frame, self.spec.value)
 
 
 def series_linear_forecast(
