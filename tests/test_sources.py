@@ -111,8 +111,7 @@ def test_saved_forecaster(spark, seasonal):
 def test_forecast_by_hand(seasonal):
     """The linear forecast equals feeding a numpy model with its own output."""
     fitted = SequenceForecaster().fit(Panel.of(seasonal))
-    line = fitted.model.stages[-1]
-    weights, intercept = line.coefficients.toArray(), line.intercept
+    weights, intercept = fitted.model.weights, fitted.model.intercept
     got = fitted.forecast(40).where("series_id = 'a'").orderBy("step").collect()
     y = np.array([r.value for r in seasonal.where("series_id = 'a'").orderBy("seq").collect()])
     lo, hi = y[:320].min(), y[:320].max()
@@ -124,6 +123,24 @@ def test_forecast_by_hand(seasonal):
     assert got[0].date == last + (dt(2024, 1, 2) - dt(2024, 1, 1))
 
 
+def test_linear_fit_equals_library_fit(seasonal):
+    """Lag products give the line that a regression on the windows gives."""
+    for aligned in (False, True):
+        config = SequenceForecaster(length=5, aligned=aligned)
+        for panel in (Panel.of(seasonal), Panel.of(seasonal, layout="blocks", block_rows=30)):
+            fitted = config.fit(panel)
+            train = fitted.windows.where("split = 'train'")
+            line = models.fit_pipeline(models.window_pipeline("linear", 5), train, ["x", "y"]).stages[-1]
+            assert list(fitted.model.weights) == pytest.approx(list(line.coefficients), rel=1e-6)
+            assert fitted.model.intercept == pytest.approx(line.intercept, rel=1e-6, abs=1e-9)
+
+
+def test_linear_fit_stops_at_nulls(panel_of):
+    holed = Panel.of(panel_of({"a": [float(i % 7) if i != 20 else None for i in range(100)]}))
+    with pytest.raises(Exception, match="null or NaN"):
+        SequenceForecaster().fit(holed)
+
+
 def test_aligned_forecast_uses_the_last_row(seasonal):
     fitted = SequenceForecaster(aligned=True).fit(Panel.of(seasonal))
     state = fitted.state.where("series_id = 'a'").first()

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tsweave.operators import arima, models
 from tsweave.operators.evaluate import evaluate
 from tsweave.operators.forecast import dated, recursive_linear, recursive_model, step_lengths
+from tsweave.operators.linear import LinearWindowModel, fit_linear
 from tsweave.operators.panel import Panel
 from tsweave.operators.scaling import RANGE, minmax, unscale
 from tsweave.operators.splits import OVERLAP, TRAIN_SHARE, floor_cut, split_ceil_overlap
 from tsweave.operators.windows import WINDOW_LENGTH, last_windows, require_clean_windows, slide, split_windows
 from tsweave.session import materialise
-from tsweave.sources.store import load_artefact, save_artefact
+from tsweave.sources.store import load_artefact, load_pipeline, save_artefact
 from tsweave.spec import PANEL, SeriesSpec
 
 MAX_HORIZON = 365
@@ -39,18 +40,24 @@ class SequenceForecaster:
     aligned: bool = False
     settings: dict = field(default_factory=dict)
 
-    def windows(self, panel: Panel) -> DataFrame:
-        """Scaled windows of both parts with the bounds of their series."""
+    def scaled(self, panel: Panel) -> Panel:
+        """Split the panel and scale it by the train rows of each series."""
         split = split_ceil_overlap(panel, self.share, self.overlap, self.clamp)
-        scaled = minmax(split, F.col("in_train"), self.feature_range)
+        return minmax(split, F.col("in_train"), self.feature_range)
+
+    def windows(self, scaled: Panel) -> DataFrame:
+        """Windows of both parts with the bounds of their series."""
         return split_windows(scaled, self.length, "scaled", keep_last=self.aligned)
 
     def fit(self, panel: Panel) -> FittedSequence:
-        windows = require_clean_windows(self.windows(panel))
-        train = windows.where("split = 'train'")
-        pipeline = models.window_pipeline(self.model, self.length, **self.settings)
-        fitted = models.fit_pipeline(pipeline, train, ["x", "y"])
-        spec = panel.spec
+        spec, scaled = panel.spec, self.scaled(panel)
+        windows = require_clean_windows(self.windows(scaled))
+        if self.model == "linear":
+            used = F.col("train_rows") - (0 if self.aligned else 1)
+            fitted = fit_linear(replace(scaled, spec=replace(spec, value="scaled")), self.length, used)
+        else:
+            pipeline = models.window_pipeline(self.model, self.length, **self.settings)
+            fitted = models.fit_pipeline(pipeline, windows.where("split = 'train'"), ["x", "y"])
         last = last_windows(windows.where("split = 'test'"), spec)
         x = slide(F.col("x"), F.col("y")) if self.aligned else F.col("x")
         state = last.select(spec.key, F.col("y_ts").alias("last_ts"), x.alias("x"), "lo", "hi")
@@ -60,7 +67,7 @@ class SequenceForecaster:
 @dataclass(frozen=True)
 class FittedSequence:
     config: SequenceForecaster
-    model: PipelineModel
+    model: PipelineModel | LinearWindowModel
     state: DataFrame
     steps: DataFrame
     spec: SeriesSpec = PANEL
@@ -98,20 +105,27 @@ class FittedSequence:
         if step == "infer":
             state, seconds = state.join(self.steps, self.spec.key, "left"), "step_seconds"
         if self.config.model == "linear":
-            line = self.model.stages[-1]
-            weights = F.array(*[F.lit(float(c)) for c in line.coefficients])
-            paths = recursive_linear(state, weights, F.lit(float(line.intercept)), horizon)
+            weights = F.array(*[F.lit(w) for w in self.model.weights])
+            paths = recursive_linear(state, weights, F.lit(self.model.intercept), horizon)
         else:
             paths = recursive_model(state, self.model, horizon)
         return dated(paths, self.spec.key, "last_ts", self._unscale, seconds)
 
     def save(self, path: str) -> None:
         settings = {"config": asdict(self.config), "spec": asdict(self.spec)}
-        save_artefact(path, self.model, self.state.join(self.steps, self.spec.key, "left"), settings)
+        pipeline = self.model
+        if isinstance(self.model, LinearWindowModel):
+            pipeline, settings["linear"] = None, asdict(self.model)
+        save_artefact(path, pipeline, self.state.join(self.steps, self.spec.key, "left"), settings)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FittedSequence:
-        model, state, settings = load_artefact(spark, path)
+        state, settings = load_artefact(spark, path)
+        if "linear" in settings:
+            line = settings["linear"]
+            model = LinearWindowModel(tuple(line["weights"]), line["intercept"])
+        else:
+            model = load_pipeline(path)
         config = settings["config"]
         config["feature_range"] = tuple(config["feature_range"])
         spec = settings["spec"]
