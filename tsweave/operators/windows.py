@@ -11,17 +11,18 @@ from tsweave.spec import SeriesSpec
 WINDOW_LENGTH = 12
 
 
+def history_column(value: Column, w: WindowSpec, length: int = WINDOW_LENGTH) -> Column:
+    """The ``length`` values before the row on a window, oldest first."""
+    return F.array(*[F.lag(value, k).over(w) for k in range(length, 0, -1)])
+
+
 def with_history(panel: Panel, length: int = WINDOW_LENGTH, column: str | None = None) -> Panel:
     """Add ``x``: the ``length`` values before the row, oldest first.
 
     Places before the start of the series are null.
     """
     value = F.col(column or panel.spec.value)
-
-    def build(w: WindowSpec) -> dict[str, Column]:
-        return {"x": F.array(*[F.lag(value, k).over(w) for k in range(length, 0, -1)])}
-
-    return panel.over(length, build)
+    return panel.over(length, lambda w: {"x": history_column(value, w, length)})
 
 
 def usable(start: Column, end: Column, length: int, keep_last: bool) -> Column:

@@ -504,7 +504,13 @@ def panel_union(spark, folder):
 def long_series_features(spark, folder):
     """Features of one long series that is cut into blocks."""
     panel = Panel.of(all_events(spark, folder), layout="blocks")
-    out = features.lag_rolling(windows.with_history(panel))
+    value = F.col("value")
+    history, columns = features.lag_rolling_columns(value)
+    # All columns in one window pass: the blocks are shuffled once.
+    out = panel.over(
+        max(history, windows.WINDOW_LENGTH),
+        lambda w: {**columns(w), "x": windows.history_column(value, w)},
+    )
     return out.rows(
         "seq", "pos", r("lag1").alias("lag1"), r("lag2").alias("lag2"),
         r("rolling_mean_3").alias("rolling_mean_3"), joined(F.col("x")).alias("x"),
