@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsweave.llm import importance
+from tsweave.llm import cost_packing, importance, tiling, token_matrix
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,7 +18,22 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", *importance.COUNTS, "base_failed", "kept", "score")
 
 
+def op1_token_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    return token_matrix.pieces(token_matrix.matrices(table(spark, folder, "documents")))
+
+
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return tiling.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op10_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return cost_packing.pack_balanced(table(spark, folder, "documents")).drop("ids")
+
+
 QUERIES = {
+    "op1_token_matrix": op1_token_matrix,
+    "op10_cost_packing": op10_cost_packing,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
 }
 
