@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsweave.llm import cost_packing, importance, tiling, token_matrix
+from tsweave.llm import cost_packing, importance, jaccard, tiling, token_matrix
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,12 +26,17 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return tiling.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents")).drop("row_key")
+
+
 def op10_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     return cost_packing.pack_balanced(table(spark, folder, "documents")).drop("ids")
 
 
 QUERIES = {
     "op1_token_matrix": op1_token_matrix,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_cost_packing": op10_cost_packing,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
