@@ -385,15 +385,18 @@ def _split(regions: DataFrame, rule: Rule) -> DataFrame:
     pivots = regions.where("home").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS)
     counts = regions.groupBy("region").agg(F.ceil(F.count("*") / (REGION_SETS // 2)).cast("int").alias("salts"))
     salted = regions.join(counts, "region").withColumn("salt", F.pmod(F.xxhash64("print"), F.col("salts")))
-    lent = pivots.join(counts, "region").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).cast("long"))
+    lent = pivots.join(counts, "region").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1).cast("array<bigint>")))
     schema = "region long, print long, shingles binary, home boolean, other long"
+    fields = [("region", pa.int64()), ("print", pa.int64()), ("shingles", pa.binary()), ("home", pa.bool_()), ("other", pa.int64())]
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = {p: (s, h) for p, s, h in zip(*(left.column(c).to_pylist() for c in ("print", "shingles", "home")))}
-        heads = dict(sorted(zip(*(right.column(c).to_pylist() for c in ("print", "shingles")))))
+        heads = dict(sorted(zip(*(right.column(c).to_pylist() for c in ("pivot_print", "pivot_shingles")))))
+        if not left.num_rows:
+            return pa.Table.from_pylist([], pa.schema(fields))
         names = [*heads, *(p for p in rows if p not in heads)]
         here = _Sets(rule, np.array(names, np.int64), [np.frombuffer(heads.get(p) or rows[p][0], np.uint64) for p in names])
-        every, region = np.arange(len(names)), (left if left.num_rows else right).column("region")[0].as_py()
+        every, region = np.arange(len(names)), left.column("region")[0].as_py()
         distance = np.stack([here.measured(p, every) for p in range(len(heads))], 1)
         # Only links among pivots may close a set, so that every chunk of the region decides alike.
         common = _Sets(rule, here.prints[: len(heads)], [np.frombuffer(s, np.uint64) for s in heads.values()])
@@ -410,13 +413,12 @@ def _split(regions: DataFrame, rule: Rule) -> DataFrame:
         a, b = here.forest()
         out += [(None, x, None, None, y) for x, y in zip(a.tolist(), b.tolist())]
         columns = list(zip(*out)) if out else [[]] * 5
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["region", "print", "shingles", "home", "other"])
+        return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
     return (
         salted.select("region", "salt", "print", "shingles", "home")
         .groupBy("region", "salt")
-        .cogroup(lent.select("region", "salt", "print", "shingles").groupBy("region", "salt"))
+        .cogroup(lent.select(*(F.col(c).alias(f"pivot_{c}") for c in ("region", "salt", "print", "shingles"))).groupBy("pivot_region", "pivot_salt"))
         .applyInArrow(measure, schema)
     )
 
