@@ -466,8 +466,9 @@ def _links(regions: DataFrame, rule: Rule) -> list[DataFrame]:
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
+    """``doc_id, n_shingles, component_id``, ``row_key`` and ``root`` for every row of ``docs``.
 
+    ``row_key`` is a hash of id and text; ``root`` is equal within a component and null without shingles.
     ``component_id`` is the smallest ``doc_id`` that links reach, the document itself included. Null and
     empty texts have no shingle and link with nothing. A row with a null ``doc_id`` passes links on, and
     its ``component_id`` is the smallest of the others, or null. Rows that repeat a text form one set;
@@ -497,5 +498,16 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     )
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "row_key"
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "root"
     )
+
+
+def losers(linked: DataFrame) -> DataFrame:
+    """``row_key`` of the rows of a result of ``jaccard_components`` that give way to their component's first document.
+
+    The first has the smallest id, nulls last; rows with the same id and text share a ``row_key`` and stay together.
+    """
+    rows = linked.where("root IS NOT NULL").select("root", "row_key", "doc_id")
+    rank = F.struct(F.isnull("doc_id"), "doc_id", "row_key")
+    first = rows.groupBy("root").agg(F.min_by("row_key", rank).alias("first"))
+    return rows.join(first, "root").where("row_key <> first").select("row_key").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsweave.llm import cost_packing, importance, jaccard, tiling, token_matrix
+from tsweave.llm import cost_packing, importance, jaccard, language, tiling, token_matrix
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,11 +23,15 @@ def op1_token_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    return tiling.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return tiling.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("row_key")
 
 
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, folder, "documents")).drop("row_key")
+    return jaccard.jaccard_components(table(spark, folder, "documents")).drop("row_key", "root")
+
+
+def op9_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    return language.document_languages(table(spark, folder, "documents"), table(spark, folder, "pages")).drop("row_key")
 
 
 def op10_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,6 +41,7 @@ def op10_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_matrix": op1_token_matrix,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_language_fusion": op9_language_fusion,
     "op10_cost_packing": op10_cost_packing,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,

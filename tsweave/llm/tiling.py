@@ -156,55 +156,55 @@ def _runs(docs: DataFrame, bitmap: np.ndarray, min_match: int) -> DataFrame:
                 rows.append((i, np.insert(word[cover], gap, 0).tobytes(), np.unique(seeds[own]).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
+                    *(batch.column(c).take(pa.array([r[0] for r in rows], pa.int64())) for c in (0, 2)),
                     pa.array([r[1] for r in rows], pa.binary()),
                     pa.array([r[2] for r in rows], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "runs", "seeds"],
+                ["doc_id", "row_key", "runs", "seeds"],
             )
 
-    hits = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, runs binary, seeds array<long>")
-    return hits.withColumn("doc_key", F.xxhash64("doc_id", "runs"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    return rows.mapInArrow(read, "doc_id long, row_key long, runs binary, seeds array<long>")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE,
              bits: int = BITMAP_BITS) -> DataFrame:
     """Pairs whose tiles cover at least ``coverage`` of the item.
 
-    Returns ``doc_id, item_id, item_words, matched_words, n_tiles, longest_tile, coverage``. Null ids
+    Returns ``doc_id, row_key (hash of id and text), item_id, item_words, matched_words, n_tiles, longest_tile, coverage``. Null ids
     are kept as null; null and empty texts match nothing; items shorter than ``min_match`` words are
     never reported. Repeated rows of either table give one row per distinct id and text. Other
     columns are not read.
     """
     items = materialise(_items(benchmark, min_match), "benchmark-items")
     seeds = items.select("item_key", F.explode("seeds").alias("seed"))
-    hits = materialise(_runs(docs, _bitmap(seeds, bits), min_match), "benchmark-runs").dropDuplicates(["doc_key"])
+    hits = materialise(_runs(docs, _bitmap(seeds, bits), min_match), "benchmark-runs").dropDuplicates(["row_key"])
     shared = (
-        hits.select("doc_key", F.explode("seeds").alias("seed"))
+        hits.select("row_key", F.explode("seeds").alias("seed"))
         .join(seeds, "seed")
-        .groupBy("doc_key", "item_key")
+        .groupBy("row_key", "item_key")
         .agg(F.count("*").alias("n"))
     )
     pairs = (
-        shared.select("doc_key", "item_key")
-        .join(hits.select("doc_key", "doc_id", "runs"), "doc_key")
+        shared.select("row_key", "item_key")
+        .join(hits.select("row_key", "doc_id", "runs"), "row_key")
         .join(items.select("item_key", "item_id", "item"), "item_key")
-        .select("doc_id", "item_id", "runs", "item")
+        .select("doc_id", "row_key", "item_id", "runs", "item")
     )
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for runs, item in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for runs, item in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 own = np.frombuffer(item, np.uint64).tolist()
                 found = tiles(own, np.frombuffer(runs, np.uint64).tolist(), min_match)
                 rows.append((len(own), sum(n for *_, n in found), len(found), max((n for *_, n in found), default=0)))
             new = np.array(rows, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(new[:, k]) for k in range(4))],
-                ["doc_id", "item_id", "item_words", "matched_words", "n_tiles", "longest_tile"],
+                [*batch.columns[:3], *(pa.array(new[:, k]) for k in range(4))],
+                ["doc_id", "row_key", "item_id", "item_words", "matched_words", "n_tiles", "longest_tile"],
             )
 
-    schema = "doc_id long, item_id long, item_words long, matched_words long, n_tiles long, longest_tile long"
+    schema = "doc_id long, row_key long, item_id long, item_words long, matched_words long, n_tiles long, longest_tile long"
     covered = pairs.mapInArrow(tile, schema).withColumn("coverage", F.col("matched_words") / F.col("item_words"))
     return covered.where(F.col("coverage") >= coverage)
