@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsweave.llm import cost_packing, importance, jaccard, language, tiling, token_matrix
+from tsweave.llm import cost_packing, importance, jaccard, kneser_ney, language, tiling, token_matrix, url_model
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,10 +22,19 @@ def op1_token_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return token_matrix.pieces(token_matrix.matrices(table(spark, folder, "documents")))
 
 
+def op2_perplexity_filter(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return kneser_ney.PerplexityFilter.fit(docs, table(spark, folder, "labels")).classify(docs)
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return tiling.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("row_key")
 
 
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_model.judge(table(spark, folder, "pages"))
+
+
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents")).drop("row_key", "root")
 
@@ -40,9 +49,11 @@ def op10_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_matrix": op1_token_matrix,
+    "op5_url_filter": op5_url_filter,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_fusion": op9_language_fusion,
     "op10_cost_packing": op10_cost_packing,
+    "op2_perplexity_filter": op2_perplexity_filter,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
 }
