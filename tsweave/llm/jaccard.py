@@ -40,9 +40,9 @@ CLASS_RATIO = 1.5
 #: Parts beyond those needed, so that a set may have some empty ones.
 SPARE_PARTS = 3
 #: Entries of parts that one task sorts.
-SHARD_ENTRIES = 2_000_000
+SHARD_ENTRIES = 500_000
 #: Entries that a task holds before it packs them, and the buckets that it packs them in.
-HELD_ENTRIES, BUCKETS = 2_000_000, 1024
+HELD_ENTRIES, BUCKETS = 500_000, 1024
 #: Sets, and shingles in them, of a region that one task joins.
 REGION_SETS, REGION_SHINGLES = 4_000, 4_000_000
 PIVOTS, SMALL_CELL, DEPTH = 16, 48, 3
@@ -152,8 +152,9 @@ def _meet(sig: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     head[1:] = sig[1:] != sig[:-1]
     least = prints[head][np.cumsum(head) - 1]
     other = prints != least
-    pairs = np.unique(np.stack([prints[other], least[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.uint64)
-    return sig[head], prints[head], pairs[:, 0], pairs[:, 1]
+    left, right = prints[other], least[other]
+    _, one = np.unique(T.mix(left * T.ODD + right), return_index=True)
+    return sig[head], prints[head], left[one], right[one]
 
 
 def _read(docs: DataFrame, rule: Rule) -> DataFrame:

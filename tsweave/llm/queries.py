@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsweave.llm import cost_packing, importance, jaccard, kneser_ney, language, tiling, token_matrix, url_model
+from tsweave.llm import cost_packing, importance, jaccard, kneser_ney, language, lm_score, tiling, token_matrix, url_model
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_model.judge(table(spark, folder, "pages"))
 
 
+def op7_trie_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, folder, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents")).drop("row_key", "root")
 
@@ -50,6 +54,7 @@ def op10_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_matrix": op1_token_matrix,
     "op5_url_filter": op5_url_filter,
+    "op7_trie_score": op7_trie_score,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_fusion": op9_language_fusion,
     "op10_cost_packing": op10_cost_packing,
