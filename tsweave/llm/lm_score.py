@@ -36,7 +36,7 @@ from tsweave.session import materialise
 #: Tokens of a block, and of the corpus for each shard.
 BLOCK_TOKENS, SHARD_TOKENS = 1_500_000, 2_000_000
 #: Weight of the word's own probability, in counts.
-SMOOTHING = 100.0
+SMOOTHING = 300.0
 #: The end of a text, as a token.
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 #: Words of a pair are told apart by so many bits after one context.

@@ -94,7 +94,7 @@ class Trie:
         begin = np.flatnonzero(head)
         last = word[np.append(begin[1:], len(word)) - 1] if len(word) else word
         # Each range stands on the last value of the one before.
-        base = np.concatenate([[0], np.cumsum(last, dtype=np.uint64)[:-1]]).astype(np.uint64) if len(last) else last
+        base = np.concatenate([np.zeros(1, np.uint64), np.cumsum(last, dtype=np.uint64)[:-1]]) if len(last) else last
         level = word + np.repeat(base, np.diff(np.append(begin, len(word))))
         pointers = np.append(begin, len(word)).astype(np.uint64)
         return Trie(EliasFano.of(context[head]), EliasFano.of(pointers), EliasFano.of(level), code)
