@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsweave.llm import cost_packing, importance, jaccard, kneser_ney, language, lm_score, tiling, token_matrix, url_model
+from tsweave.llm import cost_packing, importance, jaccard, kneser_ney, language, licences, lm_score, tiling, token_matrix, url_model
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_model.judge(table(spark, folder, "pages"))
 
 
+def op6_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return licences.LicenceScanner.fit(docs).scan(docs)
+
+
 def op7_trie_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.score_documents(table(spark, folder, "documents"))
 
@@ -54,6 +59,7 @@ def op10_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_matrix": op1_token_matrix,
     "op5_url_filter": op5_url_filter,
+    "op6_licence_scan": op6_licence_scan,
     "op7_trie_score": op7_trie_score,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_fusion": op9_language_fusion,
