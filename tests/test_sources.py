@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tsweave.functions.dates import parse_dates
-from tsweave.operators import models
+from tsweave.operators import evaluate, models
 from tsweave.operators.panel import Panel
 from tsweave.plans import compare
 from tsweave.plans.forecaster import (
@@ -154,7 +154,66 @@ def test_tree_forecast_past_a_cut_plan(seasonal):
     out = fitted.forecast(23).groupBy("series_id").agg(F.count("*").alias("n"), F.count("predicted").alias("p")).collect()
     assert {(r.n, r.p) for r in out} == {(23, 23)}
     with pytest.raises(ValueError):
-        fitted.forecast(366)
+        fitted.forecast(0)
+
+
+def test_every_series_is_forecast(panel_of):
+    series = {"long": [float(i % 7) for i in range(100)], "short": [1.0] * 5, "one": [2.0], "gap": [float(i % 5) for i in range(65)],
+              "holed": [float(i % 7) if i != 95 else None for i in range(100)]}
+    rows = panel_of(series)
+    panel = Panel.of(rows.unionByName(panel_of({"x": series["long"]}).selectExpr("cast(null as string) series_id", "ts", "seq", "value")))
+    for fitted in (SequenceForecaster(strict=False), SequenceForecaster("random_forest", strict=False, settings=SMALL)):
+        got = fitted.fit(panel).forecast(400 if fitted.model == "linear" else 2).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.series_id, []).append(r)
+        assert set(by) == {*series, None} and len({len(v) for v in by.values()}) == 1
+        assert {k: v[0].reason for k, v in by.items()} == {
+            "long": None, None: None, "gap": None, "short": "too short", "one": "too short", "holed": "null or NaN in the last window"}
+        assert all((r.predicted is None) == (r.reason is not None) for r in got)
+    own = series_linear_forecast(panel, 3).groupBy("series_id").agg(F.count("*").alias("n"), F.max("reason").alias("reason")).collect()
+    assert len(own) == 6 and {r.n for r in own} == {3}
+    parity = SequenceForecaster(strict=False, seed_in_test=True).fit(panel).forecast(1).collect()
+    assert {r.series_id for r in parity if r.reason == "test part too short"} >= {"gap"}
+
+
+def test_nulls_in_the_test_part(panel_of):
+    holed = Panel.of(panel_of({"a": [float(i % 7) if i != 90 else None for i in range(100)]}))
+    fitted = SequenceForecaster().fit(holed)
+    with pytest.raises(Exception, match="null or NaN"):
+        fitted.errors().collect()
+    with pytest.raises(Exception, match="null or NaN"):
+        fitted.windows.select("x").collect()
+    assert {r.reason for r in fitted.forecast(2).collect()} == {"null or NaN in the last window"}
+    lenient = SequenceForecaster(strict=False).fit(holed)
+    assert lenient.errors().count() == 2
+
+
+def test_null_keys_are_a_series(panel_of):
+    rows = panel_of({"a": [float(i * i % 11) for i in range(60)]})
+    both = rows.unionByName(rows.selectExpr("cast(null as string) series_id", "ts", "seq", "value"))
+    for panel in (Panel.of(both), Panel.of(both, layout="blocks", block_rows=10)):
+        _, _, errors = arima_run(panel, [(1, 0, 0)])
+        found = {(r.series_id, r.split): (r.n_rows, r.rmse) for r in errors.collect()}
+        for split in ("train", "test"):
+            assert found[None, split] == found["a", split] and found["a", split][1] is not None
+
+
+def test_loss_curves_of_other_models(seasonal):
+    line = SequenceForecaster().fit(Panel.of(seasonal))
+    curve = line.loss_curve().collect()
+    errors = line.transform(line.windows).selectExpr("split", "actual", "predicted")
+    assert [r.iteration for r in curve] == [1] and curve[0].train_loss > 0 and errors.count()
+    forest = EnsembleForecaster("random_forest", settings=SMALL).fit(Panel.of(seasonal))
+    last = forest.loss_curve().orderBy(F.desc("iteration")).first()
+    mse = {r.split: r.mse for r in forest.predictions().groupBy("split").agg(F.avg(F.expr("pow(actual - predicted, 2)")).alias("mse")).collect()}
+    assert last.train_loss == pytest.approx(mse["train"]) and last.validation_loss == pytest.approx(mse["test"])
+
+
+def test_models_without_an_error_rank_last(spark):
+    rows = [("a", "test", "none", None), ("a", "test", "nan", float("nan")), ("a", "test", "good", 1.0), ("a", "test", "better", 0.5)]
+    ranked = evaluate.rank_models(spark.createDataFrame(rows, "series_id string, split string, model string, rmse double"), "series_id")
+    assert [r.model for r in ranked.orderBy("rank").collect()] == ["better", "good", "nan", "none"]
 
 
 def test_models_beat_the_mean_where_there_is_signal(seasonal):

@@ -37,8 +37,9 @@ def evaluate(
 
 
 def rank_models(errors: DataFrame, key: str, measure: str = "rmse") -> DataFrame:
-    """Rank the models of each series by their test error, best first."""
-    w = Window.partitionBy(key).orderBy(measure, "model")
+    """Rank the models of each series by their test error, best first; those without an error come last."""
+    known = F.when(~F.isnan(measure), F.col(measure))
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last(known), "model")
     return errors.where(F.col("split") == "test").withColumn("rank", F.row_number().over(w))
 
 

@@ -29,14 +29,24 @@ def _div(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("bigint")
 
 
+def join_series(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on the series key, the first of ``keys``, and equal others; a null key is a series like any other."""
+    names = {k: f"_right_{k}" for k in keys}
+    other = right.withColumnsRenamed(names)
+    on = left[keys[0]].eqNullSafe(other[names[keys[0]]])
+    for k in keys[1:]:
+        on = on & (left[k] == other[names[k]])
+    return left.join(other, on, how).drop(*names.values())
+
+
 @dataclass(frozen=True)
 class Panel:
     """Rows of many series with their position ``pos`` and series length ``n``.
 
     ``whole`` holds the series that fit one task each, ``cut`` the rows of
     longer ones with their block number in ``_block``; either may be missing.
-    Operators work on both and results are put together in ``df``. The series
-    key must not be null.
+    Operators work on both and results are put together in ``df``. Rows with a
+    null key are one series.
     """
 
     whole: DataFrame | None
@@ -75,8 +85,8 @@ class Panel:
             # At most (all rows / max_rows) keys can be this long.
             long_keys = materialise(counts.where(F.col("_rows") > max_rows), "long-series")
             total = long_keys.agg(F.sum("_rows")).first()[0]
-            long_rows = df.join(long_keys.select(spec.key), spec.key, "left_semi")
-            whole = _place_whole(df.join(long_keys.select(spec.key), spec.key, "left_anti"), spec)
+            long_rows = join_series(df, long_keys.select(spec.key), [spec.key], "left_semi")
+            whole = _place_whole(join_series(df, long_keys.select(spec.key), [spec.key], "left_anti"), spec)
         else:
             raise ValueError(f"unknown layout {layout!r}")
 
@@ -155,10 +165,10 @@ class Panel:
 
         def on_cut(df: DataFrame) -> DataFrame:
             blocks = F.sequence(F.lit(0).cast("bigint"), _div(F.col("_rows") - 1, self.block_rows))
-            spread = self.lengths.join(stats, key).withColumn("_block", F.explode(blocks)).drop("_rows")
-            return df.join(spread, [key, "_block"], "left")
+            spread = join_series(self.lengths, stats, [key], "inner").withColumn("_block", F.explode(blocks)).drop("_rows")
+            return join_series(df, spread, [key, "_block"])
 
-        return self._each(lambda df: df.join(stats, key, "left"), on_cut)
+        return self._each(lambda df: join_series(df, stats, [key]), on_cut)
 
     def with_series_stats(self, **aggregates: Column) -> Panel:
         """Add aggregates over the whole series to each of its rows."""
@@ -185,10 +195,9 @@ class Panel:
             sizes = df.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_size"))
             local = Window.partitionBy(key, "_block").orderBy("pos")
             place = F.col("_before") + F.col("_rank") - 1
+            ranked = df.drop("n").withColumn("_rank", F.row_number().over(local))
             return (
-                df.drop("n")
-                .withColumn("_rank", F.row_number().over(local))
-                .join(_offsets(sizes, key, "_block"), [key, "_block"])
+                join_series(ranked, _offsets(sizes, key, "_block"), [key, "_block"], "inner")
                 .withColumns({"pos": place, "_block": _div(place, self.block_rows)})
                 .drop("_rank", "_before")
             )
@@ -237,7 +246,7 @@ def _place_cut(df: DataFrame, spec: SeriesSpec, ranges: int) -> tuple[DataFrame,
     sizes = ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
     offsets = materialise(_offsets(sizes, key, "_range"), "offsets")
     placed = (
-        ranged.join(offsets, [key, "_range"])
+        join_series(ranged, offsets, [key, "_range"], "inner")
         .withColumn("pos", F.col("_before") + F.col("_at") - F.col("_first"))
         .drop("_range", "_at", "_before", "_first")
     )

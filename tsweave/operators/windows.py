@@ -82,6 +82,25 @@ def last_windows(windows: DataFrame, spec: SeriesSpec) -> DataFrame:
     return windows.withColumn("_from_end", F.row_number().over(w)).where("_from_end = 1").drop("_from_end")
 
 
+def seed_windows(panel: Panel, length: int = WINDOW_LENGTH, column: str | None = None, keep_last: bool = False) -> DataFrame:
+    """The window that a forecast of each series starts from: one row per series, whatever its length.
+
+    ``x`` are the last values known to the forecast, newest last, and ``last_ts`` is the time that its steps count
+    from; other columns of the panel are kept. As in :func:`sliding_windows` the last row serves only with
+    ``keep_last``. ``reason`` says why a series has no usable window and is null otherwise.
+    """
+    spec = panel.spec
+    target = F.greatest(F.col("n") - (1 if keep_last else 2), F.lit(0))
+    # Only the rows that the window holds are put in order.
+    ends = with_history(panel.where(F.col("pos") >= F.col("n") - length - 2), length, column).where(F.col("pos") == target).df
+    if keep_last:
+        ends = ends.withColumn("x", slide(F.col("x"), F.col(column or spec.value)))
+    bad = F.exists("x", lambda e: e.isNull() | F.isnan(e))
+    short = F.col("n") < (length if keep_last else length + 2)
+    reason = F.when(short, "too short").when(bad, "null or NaN in the last window")
+    return ends.withColumns({"last_ts": F.col(spec.ts), "reason": reason})
+
+
 def slide(window: Column, value: Column) -> Column:
     """Append a value and keep the window's length."""
     return F.concat(F.slice(window, F.lit(2), F.size(window) - 1), F.array(value))
@@ -93,8 +112,20 @@ def window_violations(windows: DataFrame, x: str = "x", y: str = "y") -> DataFra
     return windows.where(bad)
 
 
+def clean_windows(windows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Windows without a null or NaN in input or target."""
+    bad = F.exists(x, lambda e: e.isNull() | F.isnan(e)) | F.col(y).isNull() | F.isnan(y)
+    return windows.where(~bad)
+
+
 def require_clean_windows(windows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Pass windows on, and stop the job at the first null or NaN."""
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e)) | F.col(y).isNull() | F.isnan(y)
-    checked = F.when(bad, F.raise_error(F.lit("null or NaN in a window"))).otherwise(F.col(y))
-    return windows.withColumn(y, checked.cast("double"))
+    stop = F.raise_error(F.lit("null or NaN in a window"))
+    # On both columns: whichever is read, the check is made.
+    return windows.withColumns(
+        {
+            x: F.when(bad, stop.cast("array<double>")).otherwise(F.col(x)),
+            y: F.when(bad, stop.cast("double")).otherwise(F.col(y)),
+        }
+    )

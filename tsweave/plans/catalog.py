@@ -14,7 +14,7 @@ from tsweave.functions import calendar, cleaning, dates
 from tsweave.operators import (
     arima, diagnostics, evaluate, features, profile, scaling, splits, windows,
 )
-from tsweave.operators.panel import Panel
+from tsweave.operators.panel import Panel, join_series
 from tsweave.plans import compare, forecaster, prepare
 from tsweave.session import scratch_path
 from tsweave.sources import files, series
@@ -214,9 +214,8 @@ def split_sliding_windows(spark, folder):
 
 
 def last_window(spark, folder):
-    parts = windows.split_windows(splits.split_ceil_overlap(Panel.of(user_events(spark, folder))))
-    out = windows.last_windows(parts.where("split = 'test'"), PANEL)
-    return out.select(KEY, joined(F.col("x")).alias("x"), "y", "y_ts")
+    out = windows.seed_windows(Panel.of(user_events(spark, folder)))
+    return out.select(KEY, joined(F.col("x")).alias("x"), F.col("value").alias("y"), F.col("last_ts").alias("y_ts"), "reason")
 
 
 def slide_append(spark, folder):
@@ -307,7 +306,7 @@ def ar1_forecast(spark, folder):
     cut = _train()
     fits = arima.fit_orders(panel, AR1, cut)
     lengths = panel.df.groupBy(KEY).agg(F.max("n").alias("n"))
-    return rounded(arima.forecast(fits.join(lengths, KEY), KEY, F.col("n") - cut))
+    return rounded(arima.forecast(join_series(fits, lengths, [KEY], "inner"), KEY, F.col("n") - cut))
 
 
 def best_ar_order(spark, folder):
@@ -364,10 +363,9 @@ def persistence_eval(spark, folder):
 
 def messy_pipeline_eval(spark, folder):
     """Text dates and text numbers, in arrival order, through to forecast errors."""
-    text = F.col("text")
-    raw = series.text_dates(spark, folder).select("event_id", text.alias("timestamp")).join(
-        series.text_numbers(spark, folder).select("event_id", text.alias("energy")), "event_id"
-    ).join(table(spark, folder, "events").select("event_id", "user_id"), "event_id")
+    raw = table(spark, folder, "events").select(
+        "event_id", "user_id", series.date_text().alias("timestamp"), series.number_text().alias("energy")
+    )
     spec = replace(PANEL, order=("seq",))
     rows = prepare.prepare_series(raw, "energy", "event_id", key="user_id", spec=spec)
     out = features.forecasting_features(Panel.of(rows, spec), leak_safe=False)

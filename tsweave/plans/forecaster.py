@@ -11,16 +11,14 @@ from tsweave.operators import arima, models
 from tsweave.operators.evaluate import evaluate
 from tsweave.operators.forecast import dated, recursive_linear, recursive_model, step_lengths
 from tsweave.operators.linear import LinearWindowModel, fit_linear
-from tsweave.operators.panel import Panel
+from tsweave.operators.panel import Panel, join_series
 from tsweave.operators.scaling import RANGE, minmax, unscale
 from tsweave.operators.splits import OVERLAP, TRAIN_SHARE, floor_cut, split_ceil_overlap
-from tsweave.operators.windows import WINDOW_LENGTH, last_windows, require_clean_windows, slide, split_windows
+from tsweave.operators.windows import WINDOW_LENGTH, clean_windows, require_clean_windows, seed_windows, split_windows
 from tsweave.session import materialise
 from tsweave.sources.store import load_artefact, load_pipeline, save_artefact
 from tsweave.spec import PANEL, SeriesSpec
 
-MAX_HORIZON = 365
-
 
 @dataclass(frozen=True)
 class SequenceForecaster:
@@ -29,6 +27,11 @@ class SequenceForecaster:
     ``aligned=False`` keeps a known off-by-one: the last observation of each
     series is never used, and the first forecast repeats the last known target
     one day late. ``aligned=True`` uses every observation.
+
+    A forecast starts from the last window of the whole series. With
+    ``seed_in_test`` it must lie in the test part, and a series whose test part
+    is too short for it has null predictions. ``strict`` stops a run at the
+    first null or NaN in a window; otherwise it only costs the windows it is in.
     """
 
     model: str = "linear"
@@ -38,6 +41,8 @@ class SequenceForecaster:
     overlap: int = OVERLAP
     clamp: bool = False
     aligned: bool = False
+    seed_in_test: bool = False
+    strict: bool = True
     settings: dict = field(default_factory=dict)
 
     def scaled(self, panel: Panel) -> Panel:
@@ -51,16 +56,26 @@ class SequenceForecaster:
 
     def fit(self, panel: Panel) -> FittedSequence:
         spec, scaled = panel.spec, self.scaled(panel)
-        windows = require_clean_windows(self.windows(scaled))
+        windows = self.windows(scaled)
+        if self.strict:
+            windows = require_clean_windows(windows)
         if self.model == "linear":
             used = F.col("train_rows") - (0 if self.aligned else 1)
-            fitted = fit_linear(replace(scaled, spec=replace(spec, value="scaled")), self.length, used)
+            fitted = fit_linear(replace(scaled, spec=replace(spec, value="scaled")), self.length, used, self.strict)
         else:
             pipeline = models.window_pipeline(self.model, self.length, **self.settings)
-            fitted = models.fit_pipeline(pipeline, windows.where("split = 'train'"), ["x", "y"])
-        last = last_windows(windows.where("split = 'test'"), spec)
-        x = slide(F.col("x"), F.col("y")) if self.aligned else F.col("x")
-        state = last.select(spec.key, F.col("y_ts").alias("last_ts"), x.alias("x"), "lo", "hi")
+            usable = windows if self.strict else clean_windows(windows)
+            fitted = models.fit_pipeline(pipeline, usable.where("split = 'train'"), ["x", "y"])
+        seeds = seed_windows(scaled, self.length, "scaled", keep_last=self.aligned)
+        if self.seed_in_test:
+            outside = F.col("pos") < F.col("test_start") + self.length
+            seeds = seeds.withColumns(
+                {
+                    "x": F.when(outside, F.transform("x", lambda e: F.lit(None).cast("double"))).otherwise(F.col("x")),
+                    "reason": F.when(outside, "test part too short").otherwise(F.col("reason")),
+                }
+            )
+        state = seeds.select(spec.key, "last_ts", "x", "lo", "hi", "reason")
         return FittedSequence(self, fitted, state, step_lengths(panel), spec, windows)
 
 
@@ -78,7 +93,8 @@ class FittedSequence:
 
     def transform(self, windows: DataFrame) -> DataFrame:
         """Actual and predicted target of windows, in original units."""
-        return self.model.transform(windows).select(
+        usable = windows if self.config.strict else clean_windows(windows)
+        return self.model.transform(usable).select(
             self.spec.key, "split", F.col("y_ts").alias(self.spec.ts), "pos",
             self._unscale(F.col("y")).alias("actual"), self._unscale(F.col("predicted")).alias("predicted"),
         )
@@ -91,19 +107,21 @@ class FittedSequence:
         return evaluate(scored, [self.spec.key, "model", "split"])
 
     def loss_curve(self) -> DataFrame:
-        return models.loss_curve(self.model, self.windows.select("split", "x", "y"), "y")
+        windows = self.windows if self.config.strict else clean_windows(self.windows)
+        return models.loss_curve(self.model, windows.select("split", "x", "y"), "y")
 
     def forecast(self, horizon: int, step: str = "days") -> DataFrame:
-        """``horizon`` steps after the last known date, ``(key, step, date, predicted)``.
+        """``horizon`` steps after the last known date, ``(key, step, date, predicted, reason)``.
 
+        Every series has its rows; one that cannot be forecast has null predictions and the reason.
         ``step="days"`` labels the steps with whole days, ``"infer"`` with the
         median gap of each series.
         """
-        if not 1 <= horizon <= MAX_HORIZON:
-            raise ValueError(f"horizon must be between 1 and {MAX_HORIZON}")
+        if horizon < 1:
+            raise ValueError("horizon must be 1 or more")
         state, seconds = self.state, None
         if step == "infer":
-            state, seconds = state.join(self.steps, self.spec.key, "left"), "step_seconds"
+            state, seconds = join_series(state, self.steps, [self.spec.key]), "step_seconds"
         if self.config.model == "linear":
             weights = F.array(*[F.lit(w) for w in self.model.weights])
             paths = recursive_linear(state, weights, F.lit(self.model.intercept), horizon)
@@ -116,7 +134,7 @@ class FittedSequence:
         pipeline = self.model
         if isinstance(self.model, LinearWindowModel):
             pipeline, settings["linear"] = None, asdict(self.model)
-        save_artefact(path, pipeline, self.state.join(self.steps, self.spec.key, "left"), settings)
+        save_artefact(path, pipeline, join_series(self.state, self.steps, [self.spec.key]), settings)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FittedSequence:
@@ -194,10 +212,14 @@ def series_linear_forecast(
     on_scaled = replace(scaled, spec=replace(spec, value="scaled"))
     # The last usable train window is left out, as in sliding_windows.
     fits = arima.fit_orders(on_scaled, [(length, 0, 0)], rows=F.col("train_rows") - 1)
-    windows = split_windows(scaled, length, "scaled")
-    seeds = last_windows(windows.where("split = 'test'"), spec)
-    ready = seeds.select(spec.key, F.col("y_ts").alias("last_ts"), "x", "lo", "hi").join(
-        fits.where(F.col("phi").isNotNull()).select(spec.key, "intercept", "phi"), spec.key
+    seeds = seed_windows(scaled, length, "scaled").select(spec.key, "last_ts", "x", "lo", "hi", "reason")
+    ready = join_series(seeds, fits.select(spec.key, "intercept", "phi"), [spec.key])
+    unfitted = F.array_repeat(F.lit(None).cast("double"), length)
+    ready = ready.withColumns(
+        {
+            "reason": F.coalesce("reason", F.when(F.col("phi").isNull(), "no fit")),
+            "phi": F.coalesce("phi", unfitted),
+        }
     )
     paths = recursive_linear(ready, F.reverse("phi"), F.col("intercept"), horizon)
     return dated(paths, spec.key, "last_ts", lambda c: unscale(c, F.col("lo"), F.col("hi"), feature_range))
@@ -217,11 +239,9 @@ def arima_run(panel: Panel, orders: list[tuple[int, int, int]] | None = None) ->
     largest = tuple(max(o[i] for o in orders) for i in range(3))
     train = arima.in_sample(panel, fits, largest).where(F.col("pos") < cut)
     lengths = panel.df.groupBy(spec.key).agg(F.max("n").alias("_n"))
-    ahead = fits.join(lengths, spec.key)
+    ahead = join_series(fits, lengths, [spec.key], "inner")
     steps = arima.forecast(ahead, spec.key, F.col("_n") - floor_cut(F.col("_n")))
-    test = panel.where(F.col("pos") >= cut).df.withColumn("step", F.col("pos") - cut + 1).join(
-        steps, [spec.key, "step"], "left"
-    )
+    test = join_series(panel.where(F.col("pos") >= cut).df.withColumn("step", F.col("pos") - cut + 1), steps, [spec.key, "step"])
     columns = [spec.key, "split", spec.ts, "pos", F.col(spec.value).alias("actual"), "predicted"]
     frame = train.df.withColumn("split", F.lit("train")).select(*columns).unionByName(
         test.withColumn("split", F.lit("test")).select(*columns)

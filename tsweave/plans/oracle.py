@@ -124,13 +124,13 @@ lg AS (SELECT *, lag(y) OVER ({W}) AS y1 FROM sc),
 f AS (SELECT series_id, regr_slope(y, y1) AS slope, regr_intercept(y, y1) AS c
   FROM lg WHERE pos >= 1 AND pos <= L - 2 GROUP BY 1),
 seed AS (SELECT series_id, ts AS last_ts, y1 AS x, lo, hi FROM lg
-  WHERE pos = n - 2 AND pos >= test_start + 1),
+  WHERE pos = n - 2),
 walk AS (
   SELECT f.series_id, 1 AS step, c + slope * x AS y FROM f JOIN seed USING (series_id)
   UNION ALL
   SELECT w.series_id, w.step + 1, f.c + f.slope * w.y FROM walk w JOIN f ON f.series_id = w.series_id WHERE w.step < 10)
 SELECT w.series_id, CAST(w.step AS BIGINT) AS step, last_ts + to_days(CAST(w.step AS INTEGER)) AS date,
-  {r('lo + (w.y + 1) / 2 * (hi - lo)')} AS predicted
+  {r('lo + (w.y + 1) / 2 * (hi - lo)')} AS predicted, CAST(NULL AS VARCHAR) AS reason
 FROM walk w JOIN seed USING (series_id)"""
 
 FEATURES = f"""lag(value) OVER ({W}) AS lag1, lag(value, 2) OVER ({W}) AS lag2,
@@ -163,13 +163,13 @@ e AS (
   FROM lg, f WHERE pos BETWEEN test_start + 1 AND n - 2)"""
 
 SAVED_1 = f"""WITH RECURSIVE {SEQUENCE_1},
-seed AS (SELECT series_id, ts AS last_ts, y1 AS x, lo, hi FROM lg WHERE pos = n - 2 AND pos >= test_start + 1),
+seed AS (SELECT series_id, ts AS last_ts, y1 AS x, lo, hi FROM lg WHERE pos = n - 2),
 walk AS (
   SELECT series_id, 1 AS step, c + slope * x AS y FROM seed, f
   UNION ALL
   SELECT w.series_id, w.step + 1, f.c + f.slope * w.y FROM walk w, f WHERE w.step < 10)
 SELECT w.series_id, CAST(w.step AS BIGINT) AS step, last_ts + to_days(CAST(w.step AS INTEGER)) AS date,
-  {r('lo + (w.y + 1) / 2 * (hi - lo)', 4)} AS predicted
+  {r('lo + (w.y + 1) / 2 * (hi - lo)', 4)} AS predicted, CAST(NULL AS VARCHAR) AS reason
 FROM walk w JOIN seed USING (series_id)"""
 
 PACF = f"""WITH RECURSIVE {HOURLY_PLACED}, t AS (SELECT *, {CUT} AS m FROM p), d AS (
@@ -296,7 +296,7 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT series_id, 'test', CAST(pos AS BIGINT), x, value, ts FROM x
       WHERE pos BETWEEN test_start + 12 AND n - 2""",
     "last_window": f"""WITH {PLACED}, {PARTS}, x AS (SELECT *, {history()} AS x FROM s)
-      SELECT series_id, x, value AS y, ts AS y_ts FROM x WHERE pos = n - 2 AND pos >= test_start + 12""",
+      SELECT series_id, x, value AS y, ts AS y_ts, CAST(NULL AS VARCHAR) AS reason FROM x WHERE pos = n - 2""",
     "slide_append": f"""WITH {PLACED}, x AS (SELECT *,
       string_agg({two('value')}, ',') OVER ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS x FROM p)
       SELECT series_id, CAST(pos AS BIGINT) AS pos, x FROM x WHERE pos BETWEEN 12 AND n - 2""",

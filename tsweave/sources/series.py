@@ -70,21 +70,27 @@ TEXT_DATE_LAYOUTS = [
 ]
 
 
-def text_dates(spark: SparkSession, folder: str) -> DataFrame:
+def date_text() -> Column:
     """Event times written in many layouts, and some text that is no date."""
-    ev = table(spark, folder, "events").select("event_id", "ts")
     texts = [F.date_format("ts", layout) for layout in TEXT_DATE_LAYOUTS]
     texts += [F.lit("not a date"), F.lit(None).cast("string")]
-    return ev.withColumn("text", _pick(F.col("event_id") % len(texts), texts))
+    return _pick(F.col("event_id") % len(texts), texts)
 
 
-def text_numbers(spark: SparkSession, folder: str) -> DataFrame:
+def text_dates(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", "ts").withColumn("text", date_text())
+
+
+def number_text() -> Column:
     """Event values written with currency, separators, percent, sign or as no number."""
-    ev = table(spark, folder, "events").select("event_id", "value")
     plain = F.col("value").cast("decimal(18,2)").cast("string")
     texts = [
         F.concat(F.lit("$"), plain), F.concat(F.lit("1,"), F.lpad(plain, 6, "0")), F.concat(plain, F.lit("%")),
         F.concat(F.lit("-"), plain), F.lit("N/A"), plain, F.concat(plain, F.lit("e-05")), F.lit("1.2.3"),
         F.lit("."), F.lit(None).cast("string"),
     ]
-    return ev.withColumn("text", _pick(F.col("event_id") % len(texts), texts))
+    return _pick(F.col("event_id") % len(texts), texts)
+
+
+def text_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", "value").withColumn("text", number_text())
