@@ -140,7 +140,10 @@ def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
 def _runs(docs: DataFrame, bitmap: np.ndarray, min_match: int) -> DataFrame:
     """Documents with words that the bitmap lets pass: those words in runs parted by 0, and the seeds."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
         for batch in T.slices(batches):
             word, first = _words(*T.laid_out(batch.column(1)))
             seeds, place = T.grams(word, first, min_match)

@@ -129,10 +129,11 @@ class UrlModel:
 
     def scores(self, urls: DataFrame) -> DataFrame:
         """``urls`` with ``score``: the mean log ratio of the characters of ``url``, 0 for null and empty ones."""
-        ratios = self.ratios
+        shared = urls.sparkSession.sparkContext.broadcast(self.ratios)
         rest = [f for f in urls.schema.fields if f.name != "score"]
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ratios = shared.value
             for batch in T.slices(batches, "url"):
                 raw, at = T.laid_out(batch.column(batch.schema.get_field_index("url")))
                 sums = np.concatenate([[0.0], np.cumsum(ratios[_contexts(raw, at)], dtype=np.float64)])
