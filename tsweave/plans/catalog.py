@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tsweave.functions import calendar, cleaning, dates
 from tsweave.operators import (
@@ -17,7 +17,7 @@ from tsweave.operators import (
 from tsweave.operators.panel import Panel, join_series
 from tsweave.plans import compare, forecaster, prepare
 from tsweave.session import scratch_path
-from tsweave.sources import files, series
+from tsweave.sources import files, series, store
 from tsweave.sources.series import all_events, daily_orders, hourly_avg, hourly_type, monthly_orders, table, user_events
 from tsweave.spec import PANEL
 
@@ -400,38 +400,42 @@ def baseline_side_by_side(spark, folder):
     return rounded(evaluate.side_by_side(errors, KEY, ["persistence", "train_mean"]), 5)
 
 
-# Small trees keep the check short; the operators' own defaults are larger.
-SMALL_FOREST = {"numTrees": 10, "maxDepth": 5, "maxBins": 32}
-SMALL_BOOST = {"maxIter": 5, "maxDepth": 3, "maxBins": 32}
+def _tree_report(fitted: forecaster.FittedEnsemble) -> DataFrame:
+    """What can be known of a fitted tree model without fitting it: rows scored, and that it learned its train rows."""
+    learned = F.sqrt(F.avg(F.pow(F.col("predicted") - F.col("actual"), 2))) < F.stddev_pop("actual")
+    out = fitted.predictions().groupBy(KEY, "split").agg(
+        F.count("predicted").alias("n_rows"), F.count_if(F.col("actual") == 0).alias("n_zero"), learned.alias("learned")
+    )
+    return out.select(
+        KEY, F.lit(fitted.name).alias("model"), "split", "n_rows", "n_zero", F.when(F.col("split") == "train", F.col("learned")).alias("learned")
+    )
 
 
 def rf_eval(spark, folder):
-    fitted = forecaster.EnsembleForecaster("random_forest", settings=SMALL_FOREST).fit(Panel.of(user_events(spark, folder)))
-    return rounded(fitted.errors(), 4)
+    return _tree_report(forecaster.EnsembleForecaster("random_forest").fit(Panel.of(user_events(spark, folder))))
 
 
 def rf_date_parts_eval(spark, folder):
-    candidate = forecaster.EnsembleForecaster("random_forest", features="date_parts", settings=SMALL_FOREST)
-    return rounded(candidate.fit(_hourly_panel(spark, folder)).errors(), 4)
+    return _tree_report(forecaster.EnsembleForecaster("random_forest", features="date_parts").fit(_hourly_panel(spark, folder)))
 
 
 def gbt_eval(spark, folder):
-    fitted = forecaster.EnsembleForecaster("boosted_trees", settings=SMALL_BOOST).fit(Panel.of(user_events(spark, folder)))
-    return rounded(fitted.errors(), 4)
+    return _tree_report(forecaster.EnsembleForecaster("boosted_trees").fit(Panel.of(user_events(spark, folder))))
 
 
 def gbt_loss_curve(spark, folder):
-    fitted = forecaster.SequenceForecaster("boosted_trees_slow", settings=SMALL_BOOST).fit(Panel.of(user_events(spark, folder)))
-    return rounded(fitted.loss_curve())
+    """A hundred rounds; each lowers the train loss."""
+    curve = forecaster.SequenceForecaster("boosted_trees_slow").fit(_hourly_panel(spark, folder)).loss_curve()
+    falls = F.col("train_loss") < F.lag("train_loss").over(Window.orderBy("iteration"))
+    return curve.select("iteration", falls.alias("falls"), (F.col("validation_loss") > 0).alias("validated"))
 
 
 def model_compare(spark, folder):
-    candidates = [
-        forecaster.EnsembleForecaster("random_forest", settings=SMALL_FOREST),
-        forecaster.EnsembleForecaster("boosted_trees_slow", settings=SMALL_BOOST),
-    ]
-    errors = compare.compare_models(_hourly_panel(spark, folder), candidates)
-    return rounded(evaluate.rank_models(errors, KEY).select(KEY, "model", "rmse", "mae", "rank"), 4)
+    """The three tree models and both baselines, each with its test rows and a place in the ranking."""
+    names = ["random_forest", "boosted_trees", "boosted_trees_slow"]
+    errors = compare.compare_models(_hourly_panel(spark, folder), [forecaster.EnsembleForecaster(n) for n in names])
+    ranked = evaluate.rank_models(errors, KEY)
+    return ranked.select(KEY, "model", "n_rows", F.col("rank").between(1, len(names) + 2).alias("ranked"))
 
 
 def sequence_predictions(spark, folder):
@@ -456,8 +460,12 @@ def sequence_eval(spark, folder):
 
 
 def tree_forecast(spark, folder):
-    fitted = forecaster.SequenceForecaster("random_forest", settings=SMALL_FOREST).fit(_hourly_panel(spark, folder))
-    return rounded(fitted.forecast(HORIZON, step="infer"), 4)
+    """A forest's forecasts lie between the bounds of the series' train values."""
+    panel = _hourly_panel(spark, folder)
+    fitted = forecaster.SequenceForecaster("random_forest").fit(panel)
+    out = join_series(fitted.forecast(HORIZON, step="infer"), fitted.state.select(KEY, "lo", "hi"), [KEY])
+    inside = F.col("predicted").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)
+    return out.select(KEY, "step", "date", inside.alias("inside"), "reason")
 
 
 # Saving, many datasets, one long series
@@ -485,6 +493,39 @@ def series_roundtrip(spark, folder):
     return files.read_series(spark, path, "csv", schema)
 
 
+def csv_roundtrip(spark, folder):
+    """Events written as plain CSV and read again with a schema."""
+    path = scratch_path(spark, "csv")
+    table(spark, folder, "events").select("event_id", "event_type", "value").write.option("header", True).csv(path)
+    return files.read_csv(spark, path, "event_id bigint, event_type string, value double")
+
+
+def quoted_csv_roundtrip(spark, folder):
+    """Events with every header and value wrapped in literal quotes, read as the telemetry layout is."""
+    path = scratch_path(spark, "quoted")
+    ev = table(spark, folder, "events").select("event_id", "event_type", "value", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    quoted = ev.select(*(F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"')).alias(f'"{c}"') for c in ev.columns))
+    quoted.write.options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    return files.read_quoted_csv(spark, path, {"event_id": "bigint", "event_type": "string", "ts": "timestamp_ntz"})
+
+
+def strict_timestamps(spark, folder):
+    """Text in one known layout, all of which must be read."""
+    text = F.date_format("ts", "dd/MM/yyyy HH:mm:ss")
+    ev = table(spark, folder, "events")
+    return ev.select("event_id", dates.parse_timestamp(text, "dd/MM/yyyy HH:mm:ss", strict=True).alias("parsed"))
+
+
+def reuse_forecast(spark, folder):
+    """Trained and saved at first, read back the second time, with the same forecasts."""
+    panel, path = Panel.of(user_events(spark, folder)), scratch_path(spark, "reused")
+    made = [
+        store.load_or_train(spark, path, forecaster.FittedSequence.load, lambda: forecaster.SequenceForecaster(length=1).fit(panel))
+        for _ in range(2)
+    ]
+    return rounded(made[1].forecast(HORIZON), 4)
+
+
 def panel_union(spark, folder):
     """Four datasets as one panel, evaluated in one job."""
     union = files.combine(
@@ -536,6 +577,6 @@ QUERIES = {
         persistence_eval, messy_pipeline_eval, persistence_windows_eval, mean_benchmark, baseline_compare, baseline_side_by_side,
         rf_eval, rf_date_parts_eval, gbt_eval, gbt_loss_curve, model_compare,
         sequence_predictions, sequence_predictions_1, sequence_eval, sequence_eval_1, sequence_forecast, tree_forecast,
-        save_load_forecast, series_roundtrip, panel_union, long_series_features, long_series_acf,
+        save_load_forecast, series_roundtrip, csv_roundtrip, quoted_csv_roundtrip, strict_timestamps, reuse_forecast, panel_union, long_series_features, long_series_acf,
     )
 }
