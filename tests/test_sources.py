@@ -1,5 +1,7 @@
 """Files, saved forecasters, end-to-end runs and streams."""
 
+import subprocess
+import sys
 from datetime import datetime as dt
 
 import numpy as np
@@ -91,6 +93,21 @@ def test_shared_folder_follows_the_session(spark):
     assert again.count() == 5 and again.dtypes == df.dtypes
 
 
+def test_written_tables_are_released(tmp_path):
+    """In a process of its own, as release() takes everything the application wrote."""
+    code = """
+import os, sys
+from tsweave.session import local_session, materialise, run_dir, written_tables
+spark = local_session(1, "release", **{"spark.checkpoint.dir": "file:" + sys.argv[1]})
+with written_tables(spark) as folder:
+    assert materialise(spark.range(3), "t").count() == 3
+    assert os.listdir(folder.removeprefix("file:"))
+assert not os.path.exists(folder.removeprefix("file:"))
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code, str(tmp_path)], check=True, timeout=120)
+
+
 def test_saved_forecaster(spark, seasonal):
     for config in (SequenceForecaster(), SequenceForecaster("random_forest", settings=SMALL)):
         fitted = config.fit(Panel.of(seasonal))

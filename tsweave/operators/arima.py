@@ -198,6 +198,31 @@ def _push(values: Column, new: Column) -> Column:
     return F.slice(F.concat(F.array(new), values), F.lit(1), F.size(values))
 
 
+def _powers(fits: pd.DataFrame, p: int, q: int, d: int) -> np.ndarray:
+    """Values, errors and levels of fits of one order after ``skip`` steps each: all fits at once, by squaring."""
+    size, n = 1 + p + q + d, len(fits)
+    a = np.zeros((n, size, size))
+    a[:, 0, 0] = 1.0
+    wide = lambda c, w: np.stack(fits[c].map(lambda x: np.asarray(x, float)).to_list()).reshape(n, w)
+    following = np.concatenate([fits["intercept"].to_numpy(float)[:, None], wide("phi", p), wide("theta", q), np.zeros((n, d))], axis=1)
+    if p:
+        a[:, 1] = following
+        a[:, 2 : 1 + p, 1:p] = np.eye(p - 1)
+    if q > 1:
+        a[:, 2 + p : 1 + p + q, 1 + p : p + q] = np.eye(q - 1)
+    for i in reversed(range(d)):
+        at = 1 + p + q + i
+        a[:, at] = following if i == d - 1 else a[:, at + 1]
+        a[:, at, at] += 1.0
+    state = np.concatenate([np.ones((n, 1)), wide("z_last", p), wide("e_last", q), wide("levels", d)], axis=1)
+    left = fits["skip"].to_numpy(np.int64).copy()
+    while left.any():
+        odd = (left & 1).astype(bool)
+        state[odd] = np.einsum("nij,nj->ni", a[odd], state[odd])
+        a, left = a @ a, left >> 1
+    return state[:, 1:]
+
+
 def _jump(fits: DataFrame, key: str) -> DataFrame:
     """Move each fit's starting values ``skip`` steps ahead.
 
@@ -207,29 +232,15 @@ def _jump(fits: DataFrame, key: str) -> DataFrame:
 
     def advance(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = {"z_last": [], "e_last": [], "levels": []}
-            for row in pdf.itertuples():
-                z, e, lev = (np.asarray(getattr(row, c), dtype=float) for c in out)
-                p, q, d, skip = len(z), len(e), len(lev), int(row.skip)
-                if skip and row.phi is not None:
-                    size = 1 + p + q + d
-                    a = np.zeros((size, size))
-                    a[0, 0] = 1.0
-                    nxt = np.concatenate([[row.intercept], row.phi, row.theta, np.zeros(d)])
-                    if p:
-                        a[1] = nxt
-                        a[2 : 1 + p, 1:p] = np.eye(p - 1)
-                    if q > 1:
-                        a[2 + p : 1 + p + q, 1 + p : p + q] = np.eye(q - 1)
-                    for i in reversed(range(d)):
-                        at = 1 + p + q + i
-                        a[at] = nxt if i == d - 1 else a[at + 1]
-                        a[at, at] += 1.0
-                    s = np.linalg.matrix_power(a, skip) @ np.concatenate([[1.0], z, e, lev])
-                    z, e, lev = s[1 : 1 + p], s[1 + p : 1 + p + q], s[1 + p + q :]
-                for c, v in zip(out, (z, e, lev)):
-                    out[c].append(v)
-            yield pdf.assign(**out)
+            ahead = np.flatnonzero((pdf["skip"].to_numpy() > 0) & pdf["phi"].notna().to_numpy())
+            if len(ahead):
+                pdf = pdf.reset_index(drop=True)
+                shapes = pd.DataFrame({c: pdf[c].map(len) for c in ("z_last", "e_last", "levels")}).iloc[ahead]
+                for shape, rows in shapes.groupby(list(shapes.columns)).groups.items():
+                    moved = _powers(pdf.loc[rows], *shape)
+                    for c, part in zip(("z_last", "e_last", "levels"), np.split(moved, np.cumsum(shape)[:2], axis=1)):
+                        pdf.loc[rows, c] = pd.Series(list(part), index=rows, dtype=object)
+            yield pdf
 
     return fits.mapInPandas(advance, fits.schema)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,25 +30,51 @@ def local_session(cores: int | str = 8, app: str = "tsweave", **conf: str) -> Sp
     return spark
 
 
+#: Folder of each local application that names none.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     A temporary folder of this machine is used only in local mode with the
-    setting absent; on a cluster that would lose data with the machine.
+    setting absent; on a cluster that would lose data with the machine. The
+    session's settings are not touched.
     """
     configured = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = os.path.join(tempfile.mkdtemp(prefix="tsweave-"), "shared")
-    spark.sparkContext.setCheckpointDir("file:" + path)
-    return "file:" + path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = "file:" + os.path.join(tempfile.mkdtemp(prefix="tsweave-"), "shared")
+    return _LOCAL_DIRS[app]
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder in the shared one that holds all tables this application has written."""
+    return f"{shared_dir(spark)}/tsweave-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the run's folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the run's folder. Frames that read from it cannot be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def written_tables(spark: SparkSession) -> Iterator[str]:
+    """A block at whose end every table that the application wrote for itself is deleted."""
+    try:
+        yield run_dir(spark)
+    finally:
+        release(spark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
