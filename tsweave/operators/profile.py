@@ -56,7 +56,8 @@ def hour_profile(df: DataFrame, how: str, spec: SeriesSpec = PANEL) -> DataFrame
         .groupBy(spec.key, "hour")
         .agg(AGGREGATES[how](F.col(spec.value)).alias(spec.value))
     )
-    by_size = Window.partitionBy(spec.key).orderBy(F.desc(spec.value), "hour")
+    # Rounded, as the last digits of a sum depend on its order.
+    by_size = Window.partitionBy(spec.key).orderBy(F.desc(F.round(spec.value, 9)), "hour")
     return grouped.withColumn("rank", F.row_number().over(by_size))
 
 
