@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tsweave.llm import text as T
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 13
 #: Words of a window, and from one window to the next.
 WINDOW, STEP = 60, 30
 #: Documents whose paragraphs stand for text without a licence, and paragraphs taken from them, at most.
@@ -151,7 +151,7 @@ class LicenceScanner:
         rows = lines.orderBy(F.xxhash64("line"), "line").limit(MOST_PARAGRAPHS).collect()
         known = [_triples(t) for texts in templates.values() for t in texts]
         others = [" ".join(r["line"].split()[:WINDOW]) for r in rows]
-        others = [x for x in others if all(_alike(_triples(x), t) < SIMILAR / 2 for t in known)]
+        others = [x for x, own in ((x, _triples(x)) for x in others) if all(_alike(own, t) < SIMILAR / 2 for t in known)]
         examples = _examples(templates, others)
         random.Random(11).shuffle(examples)
         classes = [*sorted(templates), UNKNOWN]
