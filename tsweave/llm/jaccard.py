@@ -497,7 +497,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rooted = rows.join(group, "print", "left").select(
         "doc_id", "n_shingles", "row_key", F.when(F.col("n_shingles") > 0, F.coalesce("root", "print")).alias("root")
     )
-    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Written, so that a root with very many rows meets it in a join that Spark can split.
+    least = materialise(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return rooted.join(least, "root", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "root"
     )
@@ -510,5 +511,5 @@ def losers(linked: DataFrame) -> DataFrame:
     """
     rows = linked.where("root IS NOT NULL").select("root", "row_key", "doc_id")
     rank = F.struct(F.isnull("doc_id"), "doc_id", "row_key")
-    first = rows.groupBy("root").agg(F.min_by("row_key", rank).alias("first"))
+    first = materialise(rows.groupBy("root").agg(F.min_by("row_key", rank).alias("first")), "first")
     return rows.join(first, "root").where("row_key <> first").select("row_key").distinct()
