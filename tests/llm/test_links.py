@@ -4,12 +4,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
 from tests.llm.conftest import prose
-from tsweave.llm import jaccard, lm_score
+from tsweave.llm import jaccard, lm_score, text as T
 from tsweave.llm.components import components
 from tsweave.llm.trie import EliasFano, Trie
 
@@ -68,6 +69,32 @@ def test_jaccard_splits_large_regions(make_docs, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_components(rows)
 
 
+def sliding(n, step=25, width=600, seed=0):
+    """Texts that are windows moving over a long one: each linked to its neighbours only."""
+    words = np.random.default_rng(seed).integers(0, 1 << 40, n * step + width)
+    return [" ".join(f"w{w}" for w in words[i * step : i * step + width]) for i in range(n)]
+
+
+def chain_pieces(n, seed):
+    """Components that ``_Sets.join`` leaves of a chain whose sets come in random order."""
+    shingle, first = jaccard.shingle_sets(*T.laid_out(pa.array(sliding(n, seed=seed))), 3)
+    order = np.random.default_rng(seed + 100).permutation(n)
+    here = jaccard._Sets(jaccard.Rule(), np.arange(n), [shingle[first[i] : first[i + 1]] for i in order])
+    here.join(np.arange(n), np.zeros(0, np.int64))
+    return len({here.root(i) for i in range(n)})
+
+
+def test_jaccard_keeps_links_between_closed_sets_of_two_cells():
+    assert [chain_pieces(600, seed) for seed in range(2)] == [1] * 2
+
+
+def test_jaccard_keeps_chains_over_split_regions(make_docs, monkeypatch):
+    for name, value in {"REGION_SETS": 40, "PIVOTS": 6, "SMALL_CELL": 8}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    got = jaccard.jaccard_components(make_docs(list(enumerate(sliding(300))))).select("component_id").distinct().collect()
+    assert [r[0] for r in got] == [0]
+
+
 def test_jaccard_of_nothing(make_docs):
     assert jaccard.jaccard_components(make_docs([]).where("false")).count() == 0
     assert jaccard.jaccard_components(make_docs([(1, None), (1, None)])).count() == 2

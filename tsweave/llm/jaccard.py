@@ -16,7 +16,8 @@ and is lent to each other cell whose pivot is at most ``2 * eps`` further off
 than its own: by the triangle inequality, no linked pair is parted. A set
 within ``eps`` of a pivot is linked to it. Such a set is closed, and need not
 be compared with other closed sets, if all pivots within ``2 * eps`` of it are
-linked among themselves. Cells are joined in the same way again. Regions that
+linked among themselves. A closed set of a cell to which open sets are lent is
+compared all the same, as those may be closed where they are at home. Cells are joined in the same way again. Regions that
 fit a task are joined there; larger ones are split over the cluster.
 
 The result is the connected components of all links.
@@ -312,13 +313,16 @@ class _Sets:
                 self.join(own, other)
 
     def cells(self, pivots: np.ndarray, members: np.ndarray, at_home: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Home and lent sets of each pivot's cell that has open home sets."""
+        """Home and lent sets of each pivot's cell that has open home sets, or home sets and open lent ones."""
         distance = np.stack([self.measured(p, members) for p in pivots], 1)
         nearest, closed, lent = voronoi(distance, self.roots(pivots), self.rule.eps)
-        open_home = at_home & ~closed & ~np.isin(members, pivots)
+        unmeasured = at_home & ~np.isin(members, pivots)
         out = []
         for q in range(len(pivots)):
-            own = open_home & (nearest == q)
+            own = unmeasured & (nearest == q)
+            # In the cell where such a lent set is at home it may be closed, and these sets open and lent.
+            if not (lent[:, q] & ~at_home & ~closed).any():
+                own &= ~closed
             if own.any():
                 out.append((members[own], members[lent[:, q] & ~own]))
         return out
@@ -378,7 +382,8 @@ def _joined_here(regions: DataFrame, rule: Rule) -> DataFrame:
 def _split(regions: DataFrame, rule: Rule) -> DataFrame:
     """One round of pivots over large regions: cells, and links to pivots.
 
-    Rows with a null ``region`` are links: ``print`` and ``other``. The rest are sets of new regions.
+    Rows with a null ``region`` are links: ``print`` and ``other``. The rest are sets of new regions,
+    ``closed`` by the pivots or not, and ``foreign`` where they were lent to the old region.
     """
     from pyspark.sql import Window
 
@@ -387,8 +392,9 @@ def _split(regions: DataFrame, rule: Rule) -> DataFrame:
     counts = regions.groupBy("region").agg(F.ceil(F.count("*") / (REGION_SETS // 2)).cast("int").alias("salts"))
     salted = regions.join(counts, "region").withColumn("salt", F.pmod(F.xxhash64("print"), F.col("salts")))
     lent = pivots.join(counts, "region").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1).cast("array<bigint>")))
-    schema = "region long, print long, shingles binary, home boolean, other long"
-    fields = [("region", pa.int64()), ("print", pa.int64()), ("shingles", pa.binary()), ("home", pa.bool_()), ("other", pa.int64())]
+    schema = "region long, print long, shingles binary, home boolean, closed boolean, foreign boolean, other long"
+    fields = [("region", pa.int64()), ("print", pa.int64()), ("shingles", pa.binary()), ("home", pa.bool_())]
+    fields += [("closed", pa.bool_()), ("foreign", pa.bool_()), ("other", pa.int64())]
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = {p: (s, h) for p, s, h in zip(*(left.column(c).to_pylist() for c in ("print", "shingles", "home")))}
@@ -408,12 +414,12 @@ def _split(regions: DataFrame, rule: Rule) -> DataFrame:
         for i, p in enumerate(names):
             if p not in rows:
                 continue
-            is_home = rows[p][1] and not closed[i] and p not in heads
+            is_home = rows[p][1] and p not in heads
             for q in np.flatnonzero(near[i]).tolist():
-                out.append((_cell(region, names[q]), p, rows[p][0], bool(is_home and q == nearest[i]), None))
+                out.append((_cell(region, names[q]), p, rows[p][0], bool(is_home and q == nearest[i]), bool(closed[i]), not rows[p][1], None))
         a, b = here.forest()
-        out += [(None, x, None, None, y) for x, y in zip(a.tolist(), b.tolist())]
-        columns = list(zip(*out)) if out else [[]] * 5
+        out += [(None, x, None, None, None, None, y) for x, y in zip(a.tolist(), b.tolist())]
+        columns = list(zip(*out)) if out else [[]] * len(fields)
         return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
     return (
@@ -424,6 +430,13 @@ def _split(regions: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
+def _opened(cells: DataFrame) -> DataFrame:
+    """Sets of new regions; closed ones are at home only where open sets were lent, as in ``_Sets.cells``."""
+    lent = cells.where("foreign AND NOT closed").select("region").distinct().withColumn("mixed", F.lit(True))
+    home = F.col("home") & (~F.col("closed") | F.coalesce("mixed", F.lit(False)))
+    return cells.join(lent, "region", "left").select("region", "print", "shingles", home.alias("home"))
+
+
 def _cell(region: int, pivot: int) -> int:
     mixed = T.mix(np.array([region, pivot], np.int64).view(np.uint64) * T.ODD)
     return int(T.mix(mixed[:1] * T.ODD + mixed[1:]).view(np.int64)[0])
@@ -462,7 +475,7 @@ def _links(regions: DataFrame, rule: Rule) -> list[DataFrame]:
             return [*out, _joined_here(_blocks(rest), rule)]
         cells = materialise(_split(rest, rule), "cells")
         out.append(cells.where("region IS NULL").select(F.col("print").alias("a"), F.col("other").alias("b")))
-        regions = cells.where("region IS NOT NULL").drop("other")
+        regions = _opened(cells.where("region IS NOT NULL"))
         depth += 1
 
 
