@@ -12,6 +12,8 @@ from tsweave.llm import cost_packing, importance, jaccard, language, tiling
 from tsweave.session import materialise
 
 KEY = "pipeline_row_key"
+#: Near copies of the pipeline; op8's own rule is that of its query.
+NEAR = jaccard.Rule(words=5, percent=80)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +50,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that of the smallest id."""
-    linked = materialise(jaccard.jaccard_components(docs), "linked")
+    linked = materialise(jaccard.jaccard_components(docs, NEAR), "linked")
     keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
     kept = keyed.join(jaccard.losers(linked).withColumnRenamed("row_key", KEY), KEY, "left_anti")
     # Rows with the same id and text are one document; there are seldom any.

@@ -169,6 +169,34 @@ def test_pipeline(spark, folder):
     assert kept == {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").distinct().collect()}
 
 
+def test_pipeline_drops_near_copies_by_five_words(spark, make_docs, folder):
+    """Copies with one edited word in about fifty: 0.8 or more of five-word shingles, under 0.9 of three-word ones."""
+    rows = [(10 * i + k, edited(i + 1, 220, [25 + 53 * j + k for j in range(4)] if k else [])) for i in range(5) for k in range(2)]
+    rows += [(100 + k, edited(50, 220, [5 + 25 * j for j in range(8)] if k else [])) for k in range(2)]  # too far apart
+    assert len({c for _, _, c in brute_components(rows)}) == len(rows)
+    kept = corpus_pipeline.jaccard_join(spark, make_docs(rows), folder).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 10, 20, 30, 40, 100, 101]
+
+
+def test_parts_of_linked_sets_meet_and_others_seldom():
+    rng, rule = np.random.default_rng(3), jaccard.Rule(words=5, percent=80)
+    for size in (4, 5, 9, 20, 100, 150, 700):
+        sets = []
+        for _ in range(100):
+            one = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            apart = rule.most_apart(size)
+            gone = int(rng.integers(0, apart // 2 + 1))
+            other = np.concatenate([one[gone:], rng.integers(0, 1 << 63, apart // 2 - gone if apart > 1 else apart, dtype=np.uint64)])
+            common = size - gone
+            assert rule.linked(common, size, len(other))
+            sets += [np.sort(one), np.sort(other)]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        sig, own = jaccard._parts(np.concatenate(sets), first, np.arange(len(sets), dtype=np.uint64), rule)
+        held = [set(sig[own == i].tolist()) for i in range(len(sets))]
+        assert all(held[i] & held[i + 1] or np.array_equal(sets[i], sets[i + 1]) for i in range(0, len(sets), 2))
+        assert not any(held[i] & held[j] for i in range(0, len(sets), 2) for j in range(0, i, 2))
+
+
 def test_pipeline_of_odd_rows(spark, odd_docs, folder):
     docs = odd_docs
     for _, stage in corpus_pipeline.STAGES[:-1]:

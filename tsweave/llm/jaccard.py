@@ -38,8 +38,8 @@ from tsweave.session import materialise
 
 #: Ratio of the bounds of a size class.
 CLASS_RATIO = 1.5
-#: Parts beyond those needed, so that a set may have some empty ones.
-SPARE_PARTS = 3
+#: Parts beyond those needed, so that a set may have some empty ones, and how often a set with more of them is dealt anew.
+SPARE_PARTS, ROUNDS = 3, 6
 #: Entries of parts that one task sorts.
 SHARD_ENTRIES = 500_000
 #: Entries that a task holds before it packs them, and the buckets that it packs them in.
@@ -112,6 +112,17 @@ def _classes(most: int) -> list[tuple[int, int]]:
     return out
 
 
+def _spare(low: int, needed: int) -> int:
+    """Parts beyond those needed, so many that a set of ``low`` shingles seldom has more empty ones."""
+    if needed <= 3:
+        return 0
+    for spare in range(SPARE_PARTS, needed):
+        empty = (needed + spare) * np.exp(-low / (needed + spare))
+        if empty + 2 * np.sqrt(empty) <= spare:
+            return spare
+    return needed
+
+
 def _parts(shingle: np.ndarray, first: np.ndarray, prints: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Signature of every part of every distinct set, and the set's fingerprint."""
     size = np.diff(first)
@@ -124,22 +135,28 @@ def _parts(shingle: np.ndarray, first: np.ndarray, prints: np.ndarray, rule: Rul
         needed = rule.most_apart(high - 1) + 1
         if needed == 1:
             continue  # only equal sets link, and those have one fingerprint
-        spare = SPARE_PARTS if needed > 3 else 0
+        spare = _spare(low, needed)
         parts = needed + spare
-        length = size[member]
-        where = np.repeat(first[member] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        own = shingle[where]
-        cell = np.repeat(np.arange(len(member)) * parts, length) + (T.mix(own + np.uint64(c)) % np.uint64(parts)).astype(np.int64)
-        sums, full = np.zeros(len(member) * parts, np.uint64), np.zeros(len(member) * parts, np.int64)
-        np.add.at(sums, cell, T.mix(own ^ np.uint64(0xA5A5A5A5)))
-        np.add.at(full, cell, 1)
-        # Linked sets agree on spare + 1 parts at least, so with at most `spare` empty parts on a full one.
-        empty = (full == 0).reshape(len(member), parts).sum(1)
-        sent = (full > 0) | np.repeat(empty > spare, parts)
-        part = np.tile(np.arange(parts, dtype=np.uint64), len(member))
-        sig = T.mix(T.mix(sums * T.ODD + full.astype(np.uint64)) + part * np.uint64(1_000_003) + np.uint64((c + 1) * int(T.ODD) & (1 << 64) - 1))
-        out_sig.append(sig[sent])
-        out_print.append(np.repeat(prints[member], parts)[sent])
+        for r in range(ROUNDS):
+            length = size[member]
+            where = np.repeat(first[member] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            own = shingle[where]
+            cell = np.repeat(np.arange(len(member)) * parts, length) + (T.mix(own + np.uint64(c + 1000 * r)) % np.uint64(parts)).astype(np.int64)
+            sums, full = np.zeros(len(member) * parts, np.uint64), np.zeros(len(member) * parts, np.int64)
+            np.add.at(sums, cell, T.mix(own ^ np.uint64(0xA5A5A5A5)))
+            np.add.at(full, cell, 1)
+            # Linked sets agree on spare + 1 parts at least, so on a full one if either has at most `spare` empty parts.
+            # Sets with more are dealt anew; two linked ones that were in every round agree on empty parts in the last.
+            scarce = (full == 0).reshape(len(member), parts).sum(1) > spare
+            sent = (full > 0) | np.repeat(scarce & (r == ROUNDS - 1), parts)
+            part = np.tile(np.arange(parts, dtype=np.uint64), len(member))
+            salt = np.uint64((c + 1 + 1000 * r) * int(T.ODD) & (1 << 64) - 1)
+            sig = T.mix(T.mix(sums * T.ODD + full.astype(np.uint64)) + part * np.uint64(1_000_003) + salt)
+            out_sig.append(sig[sent])
+            out_print.append(np.repeat(prints[member], parts)[sent])
+            member = member[scarce]
+            if not len(member):
+                break
     if not out_sig:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return np.concatenate(out_sig), np.concatenate(out_print)
