@@ -216,3 +216,12 @@ def test_licences(spark, scanner, make_docs, small):
     true = lines.where("line rlike '^(Released under the MIT License|Licensed under (CC BY-NC|the Apache License)|This work is licensed under the GNU)'")
     got = scanner.scan(docs).where("confirmed")
     assert true.join(got, ["doc_id", "paragraph"], "left_anti").count() == got.join(true, ["doc_id", "paragraph"], "left_anti").count() == 0
+
+
+def test_licences_finds_every_notice(scanner, make_docs):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(1, f"{mit} {apache}"), (2, " ".join([prose(1, 100), apache, prose(2, 150), apache, prose(3, 90)])),
+            (3, f"{mit} {prose(6, 12)} {mit}"), (4, licences.TEMPLATES["agpl"][1])]
+    got = scanner.scan(make_docs(rows)).where("confirmed").collect()
+    assert sorted((r.doc_id, r.family) for r in got) == [(1, "apache"), (1, "mit"), (2, "apache"), (2, "apache"), (3, "mit"), (3, "mit"), (4, "agpl")]
+    assert sorted(r.first_word for r in got if r.doc_id == 2) == [100, 258]  # eight words without marks

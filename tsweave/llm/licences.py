@@ -6,13 +6,14 @@ and everything else apart. It is fitted on the templates below, whole and in
 parts and amid other words, and on paragraphs of a bounded sample of documents.
 A third of these is held out: its likelihood sets the temperature of the
 probabilities, and its unknown paragraphs set how probable a licence must be.
-What is found is then compared with the family's templates, word triple by
-word triple.
+Stretches of windows that pass are then compared with the templates of every
+family, word triple by word triple: each place that agrees with one is a notice.
 """
 
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -175,13 +176,16 @@ class LicenceScanner:
     def scan(self, docs: DataFrame) -> DataFrame:
         """``doc_id, paragraph, first_word, n_words, family, probability, similarity, confirmed``.
 
-        One row for each paragraph of each row of ``docs`` and family that the classifier finds in it, at the most
-        probable window, the first among equals; ``paragraph`` counts the lines of the text from 0. Null and
-        empty texts have none. Repeated rows are scanned alike, null ids kept, other columns not read.
+        One row for each notice in each row of ``docs``: each place, in windows that the classifier takes for a
+        licence, that agrees with a template of any family, with the family's highest probability there. Windows
+        whose most probable family has no such place are merged where they overlap and are one row, not confirmed,
+        at the most probable window, the first among equals. ``paragraph`` counts the lines of the text from 0.
+        Null and empty texts have none. Repeated rows are scanned alike, null ids kept, other columns not read.
         """
         weights = np.ascontiguousarray(self.weights.T.astype(np.float32))
         intercepts, temperature, threshold, classes = self.intercepts, self.temperature, self.threshold, self.classes
         templates = {k: [_triples(t) for t in texts] for k, texts in self.templates.items()}
+        places = _Places({classes.index(k): texts for k, texts in self.templates.items()})
         names = ["doc_id", "paragraph", "first_word", "n_words", "family", "probability", "similarity", "confirmed"]
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,18 +210,28 @@ class LicenceScanner:
                 chance = _softmax(logits / temperature)
                 best = chance[:, :-1].argmax(1)
                 hit = np.flatnonzero((1 - chance[:, -1] >= threshold) & (chance.argmax(1) < len(classes) - 1))
-                found: dict[tuple[int, int], tuple] = {}
-                for i in hit.tolist():
-                    key, p = (int(owner[i]), int(best[i])), float(chance[i, best[i]])
-                    if key not in found or p > found[key][0]:
-                        found[key] = (p, i)
                 rows = []
-                for (line, family), (p, i) in sorted(found.items()):
-                    own = word[low[i] : high[i]]
-                    triples = frozenset(T.grams(own, np.array([0, len(own)]), min(3, len(own)))[0].tolist())
-                    alike = max(_alike(triples, t) for t in templates[classes[family]])
+                for some in _stretches(hit.tolist(), owner, low, high):
+                    line, base = int(owner[some[0]]), int(low[some[0]])
                     doc = int(np.searchsorted(line_first, line, "right")) - 1
-                    rows.append((doc, line - int(line_first[doc]), int(start[i]), len(own), classes[family], p, alike, alike >= SIMILAR))
+                    at_line = (doc, line - int(line_first[doc]))
+                    notices = places.notices(word[base : high[some[-1]]])
+                    for family, begins, ends, alike in notices:
+                        p = max(float(chance[i, family]) for i in some if low[i] < base + ends and base + begins < high[i])
+                        rows.append((*at_line, int(start[some[0]]) + begins, ends - begins, classes[family], p, alike, True))
+                    for family in sorted(set(best[some].tolist())):
+                        known = [(base + x, base + y) for f, x, y, _ in notices if f == family]
+                        rest = [i for i in some if best[i] == family and not any(x < high[i] and low[i] < y for x, y in known)]
+                        for near in _stretches(rest, owner, low, high):
+                            checked = []
+                            for i in near:
+                                own = word[low[i] : high[i]]
+                                triples = frozenset(T.grams(own, np.array([0, len(own)]), min(3, len(own)))[0].tolist())
+                                alike = max(_alike(triples, t) for t in templates[classes[family]])
+                                checked.append((alike >= SIMILAR, float(chance[i, family]), -i, alike))
+                            sure, p, i, alike = max(checked)
+                            rows.append((*at_line, int(start[-i]), int(high[-i] - low[-i]), classes[family], p, alike, sure))
+                rows.sort(key=lambda r: r[:5])
                 columns = list(zip(*rows)) if rows else [()] * 8
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays(
@@ -230,6 +244,72 @@ class LicenceScanner:
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, schema)
 
 
+def _stretches(windows: list[int], owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[list[int]]:
+    """Runs of windows of one paragraph that overlap."""
+    out: list[list[int]] = []
+    for i in windows:
+        if out and owner[out[-1][-1]] == owner[i] and low[i] < high[out[-1][-1]]:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+class _Places:
+    """Where words agree with templates, each given by its family's number."""
+
+    def __init__(self, templates: dict[int, list[str]]):
+        self.family, self.times = [], []
+        self.by_triple: dict[int, list[int]] = {}
+        for family, texts in templates.items():
+            for text in texts:
+                word, first = _words(*T.laid_out(pa.array([text])))
+                if len(word) < 3:
+                    continue
+                self.times.append(Counter(T.grams(word, first, 3)[0].tolist()))
+                self.family.append(family)
+                for triple in self.times[-1]:
+                    self.by_triple.setdefault(triple, []).append(len(self.times) - 1)
+
+    def notices(self, word: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """Family, first word, end and similarity of each notice; where templates compete for words, the most similar has them."""
+        if len(word) < 3:
+            return []
+        triples = T.grams(word, np.array([0, len(word)]), 3)[0].tolist()
+        least = len(set(triples))
+        held: dict[int, list[tuple[int, int]]] = {}
+        found: list[tuple[float, int, int, list[int]]] = []
+
+        def share(t: int) -> float:
+            return len({x for _, x in held[t]}) / min(least, len(self.times[t]))
+
+        def close(t: int) -> None:
+            if held[t] and share(t) >= SIMILAR:
+                found.append((min(1.0, share(t)), len(held[t]), t, [k for k, _ in held[t]]))
+                held[t] = []
+
+        for k, x in enumerate(triples):
+            for t in self.by_triple.get(x, ()):
+                own, times = held.setdefault(t, []), self.times[t]
+                spread = 2 * times.total()
+                if own and (k - own[0][0] > spread or sum(y == x for _, y in own) == times[x]):
+                    close(t)
+                    own = held[t]
+                    # What does not suffice so far may yet be the beginning of a notice.
+                    while own and (k - own[0][0] > spread or sum(y == x for _, y in own) == times[x]):
+                        own.pop(0)
+                own.append((k, x))
+        for t in held:
+            close(t)
+        taken: set[int] = set()
+        out = []
+        for alike, n, t, places in sorted(found, key=lambda f: (-f[0], -f[1], f[2])):
+            if 2 * len(taken.intersection(places)) < n:
+                taken.update(range(places[0], places[-1] + 1))
+                out.append((self.family[t], places[0], places[-1] + 3, alike))
+        return sorted(out)
+
+
 def _alike(a: frozenset, b: frozenset) -> float:
     """Share of the smaller set that the sets have in common."""
     return len(a & b) / min(len(a), len(b)) if a and b else 0.0
