@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from tsweave.llm import importance, kneser_ney, language, licences, text as T, tiling, url_model
+from tsweave.llm import importance, kneser_ney, language, licences, text as T, tiling, trusted, url_model
 
 
 def base_counts(text):
@@ -225,3 +225,14 @@ def test_licences_finds_every_notice(scanner, make_docs):
     got = scanner.scan(make_docs(rows)).where("confirmed").collect()
     assert sorted((r.doc_id, r.family) for r in got) == [(1, "apache"), (1, "mit"), (2, "apache"), (2, "apache"), (3, "mit"), (3, "mit"), (4, "agpl")]
     assert sorted(r.first_word for r in got if r.doc_id == 2) == [100, 258]  # eight words without marks
+
+
+def test_all_trusted_labels_count(spark):
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 30_000, "good").otherwise("raw").alias("text"))
+    rows = trusted.flagged(docs, labels, "trusted")
+    assert rows.where("trusted").count() == 30_000 and rows.count() == 40_000
+    counts = importance.bucket_counts(rows, 64)
+    assert counts[1].sum() == 30_000 and counts[0].sum() == 40_000
+    bound = kneser_ney.PerplexityFilter.fit(docs.withColumn("lang", F.when(F.col("doc_id") < 60, "fi").otherwise("en")), labels).bounds
+    assert set(bound) == {"*", "en", "fi"}  # 60 trusted documents are enough, whatever the others' number

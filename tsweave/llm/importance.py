@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tsweave.llm import text as T
-from tsweave.llm.trusted import MOST_TRUSTED, flagged
+from tsweave.llm.trusted import flagged
 
 BUCKETS = 16_384
 #: Share of trusted documents that may fall below the threshold, and how far below it a document must lie.
@@ -111,13 +111,12 @@ class ImportanceFilter:
     threshold: float
 
     @staticmethod
-    def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tail: float = TAIL, margin: float = MARGIN,
-            most_trusted: int = MOST_TRUSTED) -> ImportanceFilter:
-        """Counts over all of ``docs``; ``labels`` name the trusted ones.
+    def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tail: float = TAIL, margin: float = MARGIN) -> ImportanceFilter:
+        """Counts over all of ``docs``; ``labels`` name the trusted ones, all of which count.
 
         Without trusted documents every ratio is 0 and every document is kept.
         """
-        rows = flagged(docs.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic"), "trusted", most_trusted)
+        rows = flagged(docs.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic"), "trusted")
         counts = bucket_counts(rows, buckets)
         if not counts[1].any():
             return ImportanceFilter(np.zeros(buckets), -np.inf)

@@ -1,18 +1,15 @@
-"""Trusted documents: a bounded sample of those labelled good and not toxic."""
+"""Trusted documents: all those labelled good and not toxic."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Labelled documents that models of trusted text are fitted on, at most.
-MOST_TRUSTED = 20_000
 
-
-def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
-    """Up to ``most`` distinct ``doc_id`` of good, non-toxic labelled documents, those of lowest hash.
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Distinct ``doc_id`` of all good, non-toxic labelled documents.
 
     Labels with nulls name no trusted document; a document with both good and
-    bad labels is not trusted. The result is small enough to broadcast.
+    bad labels is not trusted.
     """
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     return (
@@ -20,13 +17,11 @@ def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.min(F.coalesce(good, F.lit(False))).alias("good"))
         .where("good")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
         .select("doc_id")
     )
 
 
-def flagged(docs: DataFrame, labels: DataFrame, flag: str, most: int = MOST_TRUSTED) -> DataFrame:
-    """``docs`` with a boolean column that marks the trusted ones; bounded by ``most``, the ids are broadcast."""
-    ids = trusted_ids(labels, most).withColumn(flag, F.lit(True))
-    return docs.join(F.broadcast(ids), "doc_id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+def flagged(docs: DataFrame, labels: DataFrame, flag: str) -> DataFrame:
+    """``docs`` with a boolean column that marks the trusted ones; the ids grow with the corpus, so no broadcast is forced."""
+    ids = trusted_ids(labels).withColumn(flag, F.lit(True))
+    return docs.join(ids, "doc_id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
