@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsweave.llm import cost_packing, importance, jaccard, kneser_ney, language, licences, lm_score, tiling, token_matrix, url_model
+from tsweave.llm import (
+    cost_packing,
+    exact_dedup,
+    importance,
+    jaccard,
+    kneser_ney,
+    language,
+    lexical,
+    licences,
+    lm_score,
+    runs,
+    tiling,
+    token_matrix,
+    url_model,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +70,18 @@ def op10_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     return cost_packing.pack_balanced(table(spark, folder, "documents")).drop("ids")
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.document_runs(table(spark, folder, "documents")).drop("runs")
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_token_matrix": op1_token_matrix,
     "op5_url_filter": op5_url_filter,
@@ -67,6 +93,9 @@ QUERIES = {
     "op2_perplexity_filter": op2_perplexity_filter,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 JACCARD_SQL = r"""
@@ -85,5 +114,29 @@ r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JO
 SELECT r.a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id
 FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY 1"""
 
+SEARCH_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY 1),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+f AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * c.docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, c GROUP BY term, c.docs),
+m AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // terms AS m FROM n, c),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10"""
+
+DEDUP_SQL = r"""
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM n WINDOW same AS (PARTITION BY t)"""
+
 #: The other operators fit models, tokenise or tile, which SQL cannot express; they are tested against brute force.
-ORACLES: dict[str, str] = {"op8_jaccard_join": JACCARD_SQL}
+ORACLES: dict[str, str] = {"op8_jaccard_join": JACCARD_SQL, "op12_lexical_search": SEARCH_SQL, "op13_exact_dedup": DEDUP_SQL}
