@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from tsweave.llm import importance, kneser_ney, language, licences, text as T, tiling, trusted, url_model
+from tsweave.llm import importance, kneser_ney, language, licences, quantiles, text as T, tiling, trusted, url_model
 
 
 def base_counts(text):
@@ -230,9 +230,36 @@ def test_licences_finds_every_notice(scanner, make_docs):
 def test_all_trusted_labels_count(spark):
     labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 30_000, "good").otherwise("raw").alias("text"))
-    rows = trusted.flagged(docs, labels, "trusted")
-    assert rows.where("trusted").count() == 30_000 and rows.count() == 40_000
-    counts = importance.bucket_counts(rows, 64)
-    assert counts[1].sum() == 30_000 and counts[0].sum() == 40_000
+    rows = trusted.trusted_documents(docs, labels)
+    assert sorted(r.doc_id for r in rows.collect()) == list(range(30_000))
+    assert importance.bucket_counts(rows, 64).sum() == 30_000 and importance.bucket_counts(docs, 64).sum() == 40_000
     bound = kneser_ney.PerplexityFilter.fit(docs.withColumn("lang", F.when(F.col("doc_id") < 60, "fi").otherwise("en")), labels).bounds
     assert set(bound) == {"*", "en", "fi"}  # 60 trusted documents are enough, whatever the others' number
+
+
+@pytest.mark.parametrize("threshold", ["-1", "100m"])
+def test_trusted_documents_are_exact(spark, odd_docs, labels, threshold, monkeypatch):
+    """Whatever Spark would broadcast, and however full the bitmap is."""
+    from tsweave.llm import exact_dedup
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 15)
+    many = labels.select("doc_id", "quality", "toxic").unionByName(spark.range(1000, 40_000, 2).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.range(1000, 9000).selectExpr("id AS doc_id", "'t' AS text"))
+    try:
+        got = trusted.trusted_documents(docs, many).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.doc_id for r in got) == [1, 1, 1, *range(1000, 9000, 2)]
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=3001), "b": np.repeat([1.0, 2.0, 1e300, -1e300], 500), "c": [7.0], "d": np.exp(rng.normal(size=500) * 30)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("a", None), ("e", None), ("a", float("nan"))]
+    found = quantiles.order_statistics(spark.createDataFrame(rows, "group string, value double"), [0.001, 0.3, 0.5, 0.999])
+    assert set(found) == set(groups)
+    for g, values in groups.items():
+        kinds = ("lower", "lower", "lower", "higher")
+        assert found[g] == (len(values), [np.quantile(values, q, method=k) for q, k in zip([0.001, 0.3, 0.5, 0.999], kinds)])

@@ -98,7 +98,7 @@ def bitmap(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     return rows, size
 
 
-def _marked(key: str, size: int) -> tuple[Column, Column]:
+def marked(key: str, size: int) -> tuple[Column, Column]:
     """Row of the bitmap that has the key's bit, and whether ``bit_set`` has it."""
     bit = F.col(key).bitwiseAND(size - 1)
     byte = F.conv(F.hex(F.substring("bit_set", F.floor(bit % BITMAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -129,14 +129,14 @@ class ExtendibleIndex:
         n_keys, n_twice = keys.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
         slots = directory(keys, n_keys, capacity)
         bits, size = bitmap(keys.where("n > 1"), n_twice)
-        bit_row, marked = _marked("key", size)
+        bit_row, hit = marked("key", size)
         depth = slots.agg(F.max("depth")).first()[0] or 0
         owned = (
             docs.select(normal.alias("normal"))
             .withColumn("key", key_of(F.col("normal"), key_bits))
             .withColumn("bit_row", bit_row)
             .join(F.broadcast(bits), "bit_row")
-            .where(marked)
+            .where(hit)
             .withColumn("slot", _prefix("key", depth))
             .join(F.broadcast(slots.drop("depth")), "slot")
         )

@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tsweave.llm import text as T
-from tsweave.llm.trusted import flagged
+from tsweave.llm.quantiles import order_statistics
+from tsweave.llm.trusted import trusted_documents
+from tsweave.session import materialise
 
 BUCKETS = 16_384
 #: Share of trusted documents that may fall below the threshold, and how far below it a document must lie.
@@ -77,29 +79,20 @@ def buckets_of(raw: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarra
     return keys.astype(np.int64), np.concatenate([owner, owner[place]])
 
 
-def bucket_counts(docs: DataFrame, buckets: int, text: str = "text", trusted: str = "trusted") -> np.ndarray:
-    """Two rows of counts: all documents, trusted documents. At most twice ``buckets`` rows reach the driver."""
+def bucket_counts(docs: DataFrame, buckets: int, text: str = "text") -> np.ndarray:
+    """How many n-grams of all documents fall into each bucket. At most ``buckets`` rows reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, buckets), np.int64)
+        sums = np.zeros(buckets, np.int64)
         for batch in T.slices(batches, text):
-            raw, at = T.laid_out(batch.column(0))
-            keys, owner = buckets_of(raw, at, buckets)
-            sums[0] += np.bincount(keys, minlength=buckets)
-            good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[owner]
-            sums[1] += np.bincount(keys[good], minlength=buckets)
-        kind, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(bucket), pa.array(sums[kind, bucket])], ["kind", "bucket", "n"])
-
-    rows = (
-        docs.select(text, trusted)
-        .mapInArrow(count, "kind bigint, bucket bigint, n bigint")
-        .groupBy("kind", "bucket")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()
-    )
-    out = np.zeros((2, buckets), np.int64)
-    out[rows["kind"], rows["bucket"]] = rows["n"]
+            keys, _ = buckets_of(*T.laid_out(batch.column(0)), buckets)
+            sums += np.bincount(keys, minlength=buckets)
+        bucket = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(sums[bucket])], ["bucket", "n"])
+
+    rows = docs.select(text).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(buckets, np.int64)
+    out[rows["bucket"]] = rows["n"]
     return out
 
 
@@ -116,15 +109,15 @@ class ImportanceFilter:
 
         Without trusted documents every ratio is 0 and every document is kept.
         """
-        rows = flagged(docs.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic"), "trusted")
-        counts = bucket_counts(rows, buckets)
+        trusted = trusted_documents(docs.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic"))
+        counts = np.stack([bucket_counts(docs, buckets), bucket_counts(trusted, buckets)])
         if not counts[1].any():
             return ImportanceFilter(np.zeros(buckets), -np.inf)
         share = (counts + 1) / (counts.sum(1, keepdims=True) + buckets)
         model = ImportanceFilter(np.log(share[1]) - np.log(share[0]), -np.inf)
-        scored = model.apply(rows.where("trusted").select("doc_id", "text")).where("NOT base_failed")
-        least = scored.agg(F.percentile("score", tail)).first()[0]
-        return ImportanceFilter(model.ratios, -np.inf if least is None else least - margin)
+        scored = model.apply(trusted).where("NOT base_failed").select(F.lit("").alias("group"), F.col("score").alias("value"))
+        least = order_statistics(materialise(scored, "trusted-scores"), [tail])
+        return ImportanceFilter(model.ratios, least[""][1][0] - margin if least else -np.inf)
 
     def apply(self, docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         """``docs`` with the counts, ``score``, ``base_failed`` and ``kept``, each named after ``prefix``.
