@@ -42,4 +42,5 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .where(hit)
         .drop("bit_row", "bit_set", "trusted_key")
     )
-    return materialise(likely.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi"), "trusted-documents")
+    # The ids are distinct. A semi join would be pushed down below the bitmap, and all texts would travel.
+    return materialise(likely.join(ids.select("doc_id").hint("merge"), "doc_id"), "trusted-documents")
