@@ -178,23 +178,64 @@ def test_pipeline_drops_near_copies_by_five_words(spark, make_docs, folder):
     assert sorted(r.doc_id for r in kept) == [0, 10, 20, 30, 40, 100, 101]
 
 
-def test_parts_of_linked_sets_meet_and_others_seldom():
-    rng, rule = np.random.default_rng(3), jaccard.Rule(words=5, percent=80)
-    for size in (4, 5, 9, 20, 100, 150, 700):
-        sets = []
-        for _ in range(100):
+@pytest.mark.parametrize("words, percent", [(5, 80), (3, 90)])
+@pytest.mark.parametrize("buckets", [1, 300, 1 << 20])
+def test_linked_sets_meet_whatever_the_order(words, percent, buckets):
+    """Pairs just alike enough, all with the shingles of a common passage, under any table of counts."""
+    rng, rule = np.random.default_rng(3), jaccard.Rule(words, percent)
+    passage = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    sets = []
+    for size in (4, 5, 9, 10, 11, 20, 100, 150, 700):
+        for _ in range(40):
             one = rng.integers(0, 1 << 63, size, dtype=np.uint64)
-            apart = rule.most_apart(size)
-            gone = int(rng.integers(0, apart // 2 + 1))
-            other = np.concatenate([one[gone:], rng.integers(0, 1 << 63, apart // 2 - gone if apart > 1 else apart, dtype=np.uint64)])
-            common = size - gone
-            assert rule.linked(common, size, len(other))
+            if size > 20:
+                one[:12] = passage
+            most = next(k for k in range(size, -1, -1) if not rule.linked(size - k, size, size) and k or rule.linked(size - k, size, size))
+            gone = int(rng.integers(0, most + 1))
+            new = next(k for k in range(size, -1, -1) if rule.linked(size - gone, size, size - gone + k) or k == 0)
+            gone = gone if rule.linked(size - gone, size, size - gone + new) else 0
+            other = np.concatenate([rng.permutation(one)[gone:], rng.integers(0, 1 << 63, new if gone else 0, dtype=np.uint64)])
+            assert rule.linked(size - gone, size, len(other))
             sets += [np.sort(one), np.sort(other)]
-        first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        sig, own = jaccard._parts(np.concatenate(sets), first, np.arange(len(sets), dtype=np.uint64), rule)
-        held = [set(sig[own == i].tolist()) for i in range(len(sets))]
-        assert all(held[i] & held[i + 1] or np.array_equal(sets[i], sets[i + 1]) for i in range(0, len(sets), 2))
-        assert not any(held[i] & held[j] for i in range(0, len(sets), 2) for j in range(0, i, 2))
+    first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    shingle = np.concatenate(sets)
+    table = np.zeros(1 << jaccard.TABLE_BITS, np.int64)
+    place = jaccard._bucket(shingle)
+    counts = np.bincount(place % buckets, minlength=buckets)
+    table[place] = counts[place % buckets]
+    sig, owner = jaccard.rarest(shingle, first, table, rule)
+    size = np.diff(first)
+    kind = jaccard.size_class(size)[owner]
+    entries = jaccard._Entries(sig, owner.astype(np.uint64), kind, kind, np.zeros(len(sig), np.uint8))
+    assert jaccard._Entries.of([entries[:100], entries[100:]]).sig.tolist() == entries.sig.tolist()
+    sketch = jaccard.sketches(shingle, first).astype(int)
+    # In one go, and by way of blocks whose large runs have become one.
+    half = np.arange(len(entries.sig)) % 2 == 0
+    parts = [jaccard._Entries.of([entries[half]]).met(rule.class_gap), jaccard._Entries.of([entries[~half]]).met(rule.class_gap)]
+    both = jaccard._Entries.of([m[:] for m, _, _ in parts]).met(rule.class_gap)
+    for sure, weak in ([entries.met(rule.class_gap)[1:], (np.concatenate([parts[0][1], parts[1][1], both[1]]), both[2])]):
+        root = np.arange(len(sets))
+        apart = np.abs(sketch[weak[:, 0].astype(int)] - sketch[weak[:, 1].astype(int)]).sum(1)
+        fits = (100 + percent) * apart <= (100 - percent) * size[weak.astype(int)].sum(1)
+        for a, b in np.concatenate([sure, weak[fits]]).astype(int).tolist():
+            root[root == root[a]] = root[b]
+        assert all(root[i] == root[i + 1] or np.array_equal(sets[i], sets[i + 1]) for i in range(0, len(sets), 2))
+
+
+@pytest.mark.parametrize("rule", [jaccard.Rule(), jaccard.Rule(5, 80)])
+def test_jaccard_with_a_common_line(make_docs, rule):
+    """One line stands in every text: groups stay apart, and no link is lost."""
+    line = prose(99, 14)
+    rows = [(i, f"{edited(i // 6, 100, [13 * k for k in range(i % 6)])} {line}") for i in range(60)]
+    sets = [jaccard.shingle_sets(*T.laid_out(pa.array([t])), rule.words)[0] for _, t in rows]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if rule.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = [(i, min(j for j in range(60) if root[j] == root[i])) for i in range(60)]
+    got = jaccard.jaccard_components(make_docs(rows), rule).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == want and len({c for _, c in want}) >= 10
 
 
 def test_pipeline_of_odd_rows(spark, odd_docs, folder):

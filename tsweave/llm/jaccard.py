@@ -3,12 +3,17 @@
 Texts of one corpus mostly share no shingle: all distances between them are 1,
 and no pivot text tells them apart. So the join goes in two steps.
 
-*Coarse regions.* The universe of shingles is dealt into ``k + 1`` parts by
-hash, where ``k`` is the most shingles in which two linked sets of a size class
-can differ. Two linked sets then agree on all of some part, so sets that agree
-on a part are put into one region; regions that share a set are merged. No
-link crosses regions. Parts travel as packed arrays, one entry for each part
-and slice of the input, so a text copied a million times is no heavy key.
+*Coarse regions.* Shingles have one global order, the rare ones first: by the
+counts of a table of fixed size, then by hash. Two linked sets share one of
+their first ``size - ceil(t * size) + 1`` shingles, so only these are dealt out
+and met; shingles that only one text can have are not even sent. Sets that
+meet on a shingle and are alike enough in size may be linked. Where few meet,
+each pair is looked at once more: the counts of the shingles by 64 hash cells
+bound the distance from below. What is left makes the regions, and no link
+crosses them. Where many meet on a shingle they are one region without a
+further look; each task sends one of them, so a text copied a million times or
+a passage in every text is no heavy key. Any order of the shingles gives the
+same result; counts that the table blurs only make regions larger.
 
 *Voronoi regions.* Within a region, pivots are drawn among its sets and every
 set is measured against them. A set belongs to the cell of its nearest pivot
@@ -34,13 +39,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from tsweave.llm import text as T
 from tsweave.llm.components import components
+from tsweave.llm.exact_dedup import bitmap, marked
 from tsweave.session import materialise
 
+#: Buckets of the table of shingle counts (two bytes each), and how it is cut to be summed.
+TABLE_BITS, TABLE_PIECE = 22, 1 << 16
 #: Ratio of the bounds of a size class.
-CLASS_RATIO = 1.5
-#: Parts beyond those needed, so that a set may have some empty ones, and how often a set with more of them is dealt anew.
-SPARE_PARTS, ROUNDS = 3, 6
-#: Entries of parts that one task sorts.
+CLASS_RATIO = 1.07
+#: Up to so many sets that meet on a shingle are looked at pair by pair.
+FEW = 8
+#: Hash cells whose counts bound the distance of two sets.
+CELLS = 64
+#: Salts that rows of one text or component are dealt to.
+SALTS = 64
+#: Entries that one task sorts.
 SHARD_ENTRIES = 500_000
 #: Entries that a task holds before it packs them, and the buckets that it packs them in.
 HELD_ENTRIES, BUCKETS = 500_000, 1024
@@ -63,10 +75,14 @@ class Rule:
     def linked(self, common, a, b):
         return 100 * common >= self.percent * (a + b - common)
 
-    def most_apart(self, size: int) -> int:
-        """Most shingles in just one of two linked sets, the smaller of which has ``size`` at most."""
-        # |a ^ b| <= (1 - t) / (1 + t) * (|a| + |b|) and |b| <= |a| / t, so at most |a| * (1 - t) / t.
-        return size * (100 - self.percent) // self.percent
+    def shared_from(self, size: np.ndarray) -> np.ndarray:
+        """How many of the first shingles of a set there must be so that linked sets share one of them."""
+        return size + (-self.percent * size) // 100 + 1
+
+    @property
+    def class_gap(self) -> int:
+        """How many size classes two linked sets can be apart."""
+        return int(np.log(100 / self.percent) / np.log(CLASS_RATIO)) + 1
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,101 +118,159 @@ def _prints(shingle: np.ndarray, first: np.ndarray) -> np.ndarray:
     return T.mix((sums[first[1:]] - sums[first[:-1]]) * T.ODD + size)
 
 
-def _classes(most: int) -> list[tuple[int, int]]:
-    """Bounds of the size classes: from the first on, below the second."""
-    out, low = [], 1
-    while low <= most:
-        high = max(low + 1, int(low * CLASS_RATIO))
-        out.append((low, high))
-        low = high
+def _bucket(shingle: np.ndarray) -> np.ndarray:
+    return (T.mix(shingle ^ np.uint64(0x5851F42D)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """In how many texts the shingles of each bucket stand, 65,535 at most. The table has a fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << TABLE_BITS, np.int64)
+        for batch in T.slices(batches):
+            shingle, _ = shingle_sets(*T.laid_out(batch.column(0)), words)
+            table += np.bincount(_bucket(shingle), minlength=len(table))
+        pieces = np.minimum(table, 65_535).astype("<u2").reshape(-1, TABLE_PIECE)
+        full = np.flatnonzero(pieces.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([pieces[i].tobytes() for i in full], pa.binary())], ["piece", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, "<u2").astype(np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"piece": table.column("piece")[:1], "counts": pa.array([np.minimum(total, 65_535).astype("<u2").tobytes()], pa.binary())})
+
+    schema = "piece long, counts binary"
+    rows = docs.select("text").mapInArrow(count, schema).groupBy("piece").applyInArrow(add, schema).collect()
+    out = np.zeros(1 << TABLE_BITS, np.uint16)
+    for piece, counts in rows:
+        own = np.frombuffer(counts, "<u2")
+        out[piece * len(own) : (piece + 1) * len(own)] = own
     return out
 
 
-def _spare(low: int, needed: int) -> int:
-    """Parts beyond those needed, so many that a set of ``low`` shingles seldom has more empty ones."""
-    if needed <= 3:
-        return 0
-    for spare in range(SPARE_PARTS, needed):
-        empty = (needed + spare) * np.exp(-low / (needed + spare))
-        if empty + 2 * np.sqrt(empty) <= spare:
-            return spare
-    return needed
-
-
-def _parts(shingle: np.ndarray, first: np.ndarray, prints: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Signature of every part of every distinct set, and the set's fingerprint."""
-    size = np.diff(first)
-    out_sig, out_print = [], []
-    for c, (low, high) in enumerate(_classes(int(size.max(initial=0)))):
-        # Sets a little larger than the class can be linked to sets in it.
-        member = np.flatnonzero((size >= low) & (rule.percent * (size - (high - 1)) <= (100 - rule.percent) * (high - 1)))
-        if not len(member):
-            continue
-        needed = rule.most_apart(high - 1) + 1
-        if needed == 1:
-            continue  # only equal sets link, and those have one fingerprint
-        spare = _spare(low, needed)
-        parts = needed + spare
-        for r in range(ROUNDS):
-            length = size[member]
-            where = np.repeat(first[member] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            own = shingle[where]
-            cell = np.repeat(np.arange(len(member)) * parts, length) + (T.mix(own + np.uint64(c + 1000 * r)) % np.uint64(parts)).astype(np.int64)
-            sums, full = np.zeros(len(member) * parts, np.uint64), np.zeros(len(member) * parts, np.int64)
-            np.add.at(sums, cell, T.mix(own ^ np.uint64(0xA5A5A5A5)))
-            np.add.at(full, cell, 1)
-            # Linked sets agree on spare + 1 parts at least, so on a full one if either has at most `spare` empty parts.
-            # Sets with more are dealt anew; two linked ones that were in every round agree on empty parts in the last.
-            scarce = (full == 0).reshape(len(member), parts).sum(1) > spare
-            sent = (full > 0) | np.repeat(scarce & (r == ROUNDS - 1), parts)
-            part = np.tile(np.arange(parts, dtype=np.uint64), len(member))
-            salt = np.uint64((c + 1 + 1000 * r) * int(T.ODD) & (1 << 64) - 1)
-            sig = T.mix(T.mix(sums * T.ODD + full.astype(np.uint64)) + part * np.uint64(1_000_003) + salt)
-            out_sig.append(sig[sent])
-            out_print.append(np.repeat(prints[member], parts)[sent])
-            member = member[scarce]
-            if not len(member):
-                break
-    if not out_sig:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate(out_sig), np.concatenate(out_print)
-
-
-def _meet(sig: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Least fingerprint of each signature, and the distinct pairs of another fingerprint with it."""
-    order = np.lexsort((prints, sig))
-    sig, prints = sig[order], prints[order]
-    head = np.ones(len(sig), bool)
-    head[1:] = sig[1:] != sig[:-1]
-    least = prints[head][np.cumsum(head) - 1]
-    other = prints != least
-    left, right = prints[other], least[other]
-    _, one = np.unique(T.mix(left * T.ODD + right), return_index=True)
-    return sig[head], prints[head], left[one], right[one]
+def rarest(shingle: np.ndarray, first: np.ndarray, table: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each set on which it can meet linked ones, and the set of each."""
+    owner, size = T.owners(first), np.diff(first)
+    count = table[_bucket(shingle)]
+    order = np.lexsort((T.mix(shingle), count, owner))
+    rank = np.arange(len(shingle)) - first[owner]
+    # Sets of few shingles link with equal ones only, which have the same fingerprint.
+    alone = 100 * size < rule.percent * (size + 1)
+    equal_only = alone & (100 * (size - 1) < rule.percent * size)
+    wanted = np.where(equal_only, 0, rule.shared_from(size))
+    picked = order[rank < wanted[owner]]
+    picked = picked[count[picked] > 1]
+    return shingle[picked], owner[picked]
+
+
+def size_class(size: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log(np.maximum(size, 1)) / np.log(CLASS_RATIO) + 1e-9, 255).astype(np.uint8)
+
+
+def sketches(shingle: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Shingles of each set by hash cell, 255 at most: the sum of differences bounds that of the sets from below."""
+    cell = (T.mix(shingle ^ np.uint64(0x2545F491)) % np.uint64(CELLS)).astype(np.int64)
+    n = len(first) - 1
+    return np.minimum(np.bincount(T.owners(first) * CELLS + cell, minlength=n * CELLS), 255).astype(np.uint8).reshape(n, CELLS)
+
+
+class _Entries:
+    """What meets on a shingle: the shingle, a fingerprint, least and greatest size class, and whether it stands for many sets."""
+
+    KINDS = (np.uint64, np.uint64, np.uint8, np.uint8, np.uint8)
+
+    def __init__(self, *columns: np.ndarray):
+        order = np.lexsort((columns[1], columns[2], columns[0]))
+        sig, own, *rest = (c[order] for c in columns)
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1]) | rest[2][1:].astype(bool) | rest[2][:-1].astype(bool)
+        self.sig, self.own, self.low, self.high, self.many = (c[new] for c in (sig, own, *rest))
+
+    def runs(self, gap: int) -> np.ndarray:
+        """Number of the run of each entry: those of one shingle that are alike in size, or are by way of others."""
+        if not len(self.sig):
+            return np.zeros(0, np.int64)
+        group = np.concatenate([[0], np.cumsum(self.sig[1:] != self.sig[:-1])])
+        most = np.maximum.accumulate(group * 1024 + self.high)
+        cut = np.ones(len(self.sig), bool)
+        cut[1:] = group[1:] * 1024 + self.low[1:] > most[:-1] + gap
+        return np.cumsum(cut) - 1
+
+    def met(self, gap: int) -> tuple[_Entries, np.ndarray, np.ndarray]:
+        """Entries in which runs of many sets are one, pairs within such runs, and pairs of few sets to be looked at."""
+        run = self.runs(gap)
+        size = np.bincount(run)
+        large = (size > FEW) | (np.bincount(run, self.many) > 0)
+        least = np.full(len(size), ~np.uint64(0))
+        np.minimum.at(least, run, self.own)
+        low, high = np.full(len(size), 255, np.uint8), np.zeros(len(size), np.uint8)
+        np.minimum.at(low, run, self.low)
+        np.maximum.at(high, run, self.high)
+        head = np.searchsorted(run, np.arange(len(size)))
+        inside = large[run]
+        sure = _distinct(self.own[inside], least[run[inside]])
+        weak = []
+        for k in range(1, FEW):
+            i = np.flatnonzero((run[k:] == run[: max(0, len(run) - k)]) & ~inside[: max(0, len(run) - k)])
+            i = i[self.low[i + k].astype(np.int64) - self.high[i] <= gap]
+            weak.append((self.own[i], self.own[i + k]))
+        lone = ~inside
+        whole = np.flatnonzero(large)
+        merged = _Entries(
+            *(np.concatenate(x) for x in (
+                (self.sig[lone], self.sig[head[whole]]), (self.own[lone], least[whole]), (self.low[lone], low[whole]),
+                (self.high[lone], high[whole]), (self.many[lone], np.ones(len(whole), np.uint8)),
+            ))
+        )
+        return merged, sure, _distinct(*(np.concatenate(x) for x in zip(*weak)))
+
+    def __getitem__(self, some) -> bytes:
+        return b"".join(c[some].astype(k).tobytes() for c, k in zip((self.sig, self.own, self.low, self.high, self.many), self.KINDS))
+
+    @staticmethod
+    def of(packed: list[bytes]) -> _Entries:
+        columns: list[list[np.ndarray]] = [[] for _ in _Entries.KINDS]
+        for data in packed:
+            n, at = len(data) // sum(np.dtype(k).itemsize for k in _Entries.KINDS), 0
+            for column, kind in zip(columns, _Entries.KINDS):
+                column.append(np.frombuffer(data, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+        return _Entries(*(np.concatenate(c) for c in columns))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs of different fingerprints, the smaller one first, as rows."""
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b]
+    _, one = np.unique(T.mix(pairs[:, 0] * T.ODD + pairs[:, 1]), return_index=True)
+    return pairs[one]
 
 
 def _read(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One pass over the texts: a row for each document, packed parts and first meetings."""
-    schema = "doc_id long, row_key long, n_shingles long, print long, kind int, bucket int, n long, a binary, b binary"
-    names = ["doc_id", "row_key", "n_shingles", "print", "kind", "bucket", "n", "a", "b"]
+    """One pass over the texts: a row for each document (kind 0), packed entries (1) and pairs of runs of many sets (2)."""
+    schema = "doc_id long, row_key long, n_shingles long, print long, sketch binary, salt int, kind int, bucket int, n long, data binary"
+    names = ["doc_id", "row_key", "n_shingles", "print", "sketch", "salt", "kind", "bucket", "n", "data"]
+    # Read once by each worker.
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, rule.words))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in T.slices(batches):
             shingle, first = shingle_sets(*T.laid_out(batch.column(1)), rule.words)
             prints, size = _prints(shingle, first), np.diff(first)
-            rows, none = batch.num_rows, pa.nulls(batch.num_rows, pa.binary())
+            rows = batch.num_rows
+            sketch = pa.array([x.tobytes() for x in sketches(shingle, first)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(size), pa.array(prints.view(np.int64)), pa.array(np.zeros(rows, np.int32)),
-                 pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), none, none],
+                [batch.column(0), batch.column(2), pa.array(size), pa.array(prints.view(np.int64)), sketch, pa.array((np.arange(rows) % SALTS).astype(np.int32)), pa.array(np.zeros(rows, np.int32)),
+                 pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())],
                 names,
             )
             _, head = np.unique(prints, return_index=True)
             head = head[size[head] > 0]
             length = size[head]
             where = np.repeat(first[head] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            held.append(_parts(shingle[where], np.concatenate([[0], np.cumsum(length)]), prints[head], rule))
-            count += len(held[-1][0])
+            sig, owner = rarest(shingle[where], np.concatenate([[0], np.cumsum(length)]), shared.value, rule)
+            kind = size_class(length)[owner]
+            held.append((T.mix(sig), prints[head][owner], kind, kind, np.zeros(len(sig), np.uint8)))
+            count += len(sig)
             if count >= HELD_ENTRIES:
                 yield packed(held)
                 held, count = [], 0
@@ -204,16 +278,15 @@ def _read(docs: DataFrame, rule: Rule) -> DataFrame:
             yield packed(held)
 
     def packed(held) -> pa.RecordBatch:
-        sig, own, left, right = _meet(*(np.concatenate(x) for x in zip(*held)))
-        cut = np.searchsorted(sig, np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS.bit_length() + 1))
-        cut = np.append(cut, len(sig))
+        met, sure, _ = _Entries(*(np.concatenate(x) for x in zip(*held))).met(rule.class_gap)
+        cut = np.searchsorted(met.sig, np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS.bit_length() + 1))
+        cut = np.append(cut, len(met.sig))
         full = np.flatnonzero(np.diff(cut))
-        a = [sig[cut[i] : cut[i + 1]].tobytes() for i in full] + [left.tobytes()]
-        b = [own[cut[i] : cut[i + 1]].tobytes() for i in full] + [right.tobytes()]
+        data = [met[cut[i] : cut[i + 1]] for i in full] + [sure.tobytes()]
+        kinds, size = [1] * len(full) + [2], [*np.diff(cut)[full].tolist(), len(sure)]
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(a), pa.int64())] * 4
-            + [pa.array([1] * len(full) + [2], pa.int32()), pa.array([*full.tolist(), 0], pa.int32()),
-               pa.array([len(x) // 8 for x in a], pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+            [pa.nulls(len(data), pa.int64())] * 4
+            + [pa.nulls(len(data), pa.binary()), pa.nulls(len(data), pa.int32()), pa.array(kinds, pa.int32()), pa.array([*full.tolist(), 0], pa.int32()), pa.array(size, pa.int64()), pa.array(data, pa.binary())],
             names,
         )
 
@@ -222,38 +295,56 @@ def _read(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], ["a", "b"])
+        for data in batch.column(0).to_pylist():
+            pairs = np.frombuffer(data, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _coarse(read: DataFrame) -> DataFrame:
-    """Pairs of fingerprints that agree on a part, a star for each part."""
-    parts, near = read.where("kind = 1"), read.where("kind = 2 AND n > 0")
-    shards = max(1, -(-(parts.agg(F.sum("n")).first()[0] or 0) // SHARD_ENTRIES))
+def _coarse(read: DataFrame, prints: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of fingerprints that may be linked; every link is within a component of them."""
+    entries, near = read.where("kind = 1"), read.where("kind = 2 AND n > 0")
+    shards = max(1, -(-(entries.agg(F.sum("n")).first()[0] or 0) // SHARD_ENTRIES))
     finer = -(-shards // BUCKETS)
 
     def finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each bucket's entries cut once more, for inputs that need more shards than buckets."""
         for batch in batches:
             rows = []
-            for bucket, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                sig, own = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                part = (T.mix(sig) % np.uint64(finer)).astype(np.int64)
-                rows += [(bucket * finer + k, sig[part == k].tobytes(), own[part == k].tobytes()) for k in np.unique(part).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["shard", "a", "b"])
+            for bucket, data in zip(*(c.to_pylist() for c in batch.columns)):
+                own = _Entries.of([data])
+                part = (T.mix(own.sig) % np.uint64(finer)).astype(np.int64)
+                rows += [(bucket * finer + k, own[part == k]) for k in np.unique(part).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["shard", "data"])
 
     def meet(table: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(table.column("a").to_pylist()), np.uint64)
-        own = np.frombuffer(b"".join(table.column("b").to_pylist()), np.uint64)
-        _, _, left, right = _meet(sig, own)
-        return pa.table({"a": pa.array(left.view(np.int64)), "b": pa.array(right.view(np.int64))})
+        _, sure, weak = _Entries.of(table.column("data").to_pylist()).met(rule.class_gap)
+        pairs = np.concatenate([sure, weak]).view(np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "sure": pa.array(np.arange(len(pairs)) < len(sure))})
 
     if finer > 1:
-        sharded = parts.select("bucket", "a", "b").mapInArrow(finely, "shard long, a binary, b binary")
+        sharded = entries.select("bucket", "data").mapInArrow(finely, "shard long, data binary")
     else:
-        sharded = parts.select((F.col("bucket") % shards).cast("long").alias("shard"), "a", "b")
-    far = sharded.groupBy("shard").applyInArrow(meet, "a long, b long")
-    return near.select("a", "b").mapInArrow(_pairs_of, "a long, b long").unionByName(far)
+        sharded = entries.select((F.col("bucket") % shards).cast("long").alias("shard"), "data")
+    met = materialise(sharded.groupBy("shard").applyInArrow(meet, "a long, b long, sure boolean"), "met")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for k in (2, 3))
+            size = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            # Shingles of just one of two linked sets: at most (1 - t) / (1 + t) of all of both.
+            fits = (100 + rule.percent) * np.abs(left - right).sum(1) <= (100 - rule.percent) * size
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits)) for c in batch.columns[:2]], ["a", "b"])
+
+    side = lambda k: prints.select(F.col("print").alias(k), F.col("sketch").alias(f"sketch_{k}"), F.col("n_shingles").alias(f"size_{k}"))
+    weak = met.where("NOT sure").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    weak = weak.select("a", "b", "sketch_a", "sketch_b", "size_a", "size_b").mapInArrow(possible, "a long, b long")
+    return near.select("data").mapInArrow(_pairs_of, "a long, b long").unionByName(met.where("sure").select("a", "b")).unionByName(weak)
+
+
+def _dealt(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` (with ``salt``) with one row a key, the rows of a key being dealt by their salt."""
+    spread = rows.select(key, "salt").distinct().join(table, key)
+    return rows.join(spread, [key, "salt"], "left")
 
 
 class _Sets:
@@ -496,6 +587,17 @@ def _links(regions: DataFrame, rule: Rule) -> list[DataFrame]:
         depth += 1
 
 
+def _named_texts(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The text of each ``row_key`` of ``named``; others are left out by a bitmap before they would travel."""
+    keys = named.select("row_key").withColumn("key", F.xxhash64("row_key"))
+    bits, size = bitmap(keys, named.count())
+    bit_row, hit = marked("key", size)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").withColumn("key", F.xxhash64("row_key")).withColumn("bit_row", bit_row)
+    likely = rows.join(F.broadcast(bits), "bit_row").where(hit).select("row_key", "text")
+    # Rows of the same id and text travel once.
+    return likely.dropDuplicates(["row_key"]).join(named.hint("merge"), "row_key")
+
+
 def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``doc_id, n_shingles, component_id``, ``row_key`` and ``root`` for every row of ``docs``.
 
@@ -506,10 +608,12 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     a ``doc_id`` on several texts is in one component for each. Other columns are not read.
     """
     read = materialise(_read(docs, rule), "shingles")
-    rows = read.where("kind = 0").select("doc_id", "row_key", "n_shingles", "print")
-    coarse = components(_coarse(read))
-    named = rows.join(coarse, rows["print"] == coarse["node"]).groupBy("print", "component").agg(F.min("row_key").alias("row_key"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(named, "row_key").select("component", "print", "text")
+    rows = read.where("kind = 0").select("doc_id", "row_key", "n_shingles", "print", "salt")
+    texts_of = read.where("kind = 0 AND n_shingles > 0").groupBy("print").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
+    prints = materialise(texts_of, "prints")
+    coarse = components(_coarse(read, prints, rule))
+    named = materialise(prints.select("row_key", "print").join(coarse, prints["print"] == coarse["node"]).select("component", "print", "row_key"), "named")
+    texts = _named_texts(docs, named).select("component", "print", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
@@ -524,11 +628,11 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     for some in _links(regions, rule):
         links = some if links is None else links.unionByName(some)
     group = components(links).select(F.col("node").alias("print"), F.col("component").alias("root"))
-    rooted = rows.join(group, "print", "left").select(
-        "doc_id", "n_shingles", "row_key", F.when(F.col("n_shingles") > 0, F.coalesce("root", "print")).alias("root")
+    rooted = _dealt(rows, group, "print").select(
+        "doc_id", "n_shingles", "row_key", F.when(F.col("n_shingles") > 0, F.coalesce("root", "print")).alias("root"), "salt"
     )
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select(
+    return _dealt(rooted, least, "root").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "root"
     )
 
