@@ -6,9 +6,9 @@ before it kept. All but the last return the columns of ``docs``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tsweave.llm import cost_packing, importance, jaccard, language, tiling
+from tsweave.llm import apart, cost_packing, importance, jaccard, language, tiling
 from tsweave.session import materialise
 
 KEY = "pipeline_row_key"
@@ -43,31 +43,37 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .agg(F.min("language").alias("pipeline_language"), F.min("accepted").alias("pipeline_accepted")),
         "language-changes",
     )
-    marked = docs.withColumn(KEY, key).join(changed.withColumnRenamed("row_key", KEY), KEY, "left")
-    kept = marked.where(F.coalesce("pipeline_accepted", F.lit(True)))
-    return kept.withColumn("lang", F.coalesce("pipeline_language", "lang")).select(*(f"`{c}`" for c in docs.columns))
+    rest, likely = apart.parted(docs.withColumn(KEY, key), changed.withColumnRenamed("row_key", KEY).select(KEY), KEY)
+    met = likely.join(changed.withColumnRenamed("row_key", KEY).hint("merge"), KEY, "left")
+    kept = met.where(F.coalesce("pipeline_accepted", F.lit(True))).withColumn("lang", F.coalesce("pipeline_language", "lang"))
+    columns = [f"`{c}`" for c in docs.columns]
+    return rest.select(*columns).unionByName(kept.select(*columns))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that of the smallest id."""
     linked = materialise(jaccard.jaccard_components(docs, NEAR), "linked")
     keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
-    kept = keyed.join(jaccard.losers(linked).withColumnRenamed("row_key", KEY), KEY, "left_anti")
+    gone = materialise(jaccard.losers(linked).withColumnRenamed("row_key", KEY), "losers")
+    kept = apart.without(keyed, gone, KEY)
     # Rows with the same id and text are one document; there are seldom any.
-    twice = materialise(
-        linked.where("root IS NOT NULL").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row_key").alias(KEY)), "repeated"
-    )
-    if not twice.isEmpty():
-        first = F.row_number().over(Window.partitionBy(KEY).orderBy(F.lit(0)))
-        one = kept.join(twice, KEY, "left_semi").withColumn("pipeline_row", first).where("pipeline_row = 1").drop("pipeline_row")
-        kept = kept.join(twice, KEY, "left_anti").unionByName(one)
-    return kept.select(*(f"`{c}`" for c in docs.columns))
+    twice = linked.where("root IS NOT NULL").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1")
+    twice = materialise(twice.select(F.col("row_key").alias(KEY)), "repeated")
+    columns = [f"`{c}`" for c in docs.columns]
+    if twice.isEmpty():
+        return kept.select(*columns)
+    rest, likely = apart.parted(kept, twice, KEY)
+    met = likely.join(twice.withColumn("pipeline_twice", F.lit(True)).hint("merge"), KEY, "left")
+    # The one whose columns come first as text stays; equal rows are combined before they travel.
+    row = F.struct(*columns)
+    one = met.where("pipeline_twice").groupBy(KEY).agg(F.min_by(row, F.to_json(row)).alias("pipeline_row")).select("pipeline_row.*")
+    return rest.select(*columns).unionByName(met.where("pipeline_twice IS NULL").select(*columns)).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tiles cover no benchmark item."""
     leaks = tiling.overlaps(docs, _table(spark, sf_dir, "benchmark")).select(F.col("row_key").alias(KEY)).distinct()
-    kept = docs.withColumn(KEY, F.xxhash64("doc_id", "text")).join(leaks, KEY, "left_anti")
+    kept = apart.without(docs.withColumn(KEY, F.xxhash64("doc_id", "text")), materialise(leaks, "leaks"), KEY)
     return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
