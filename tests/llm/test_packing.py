@@ -13,7 +13,6 @@ from tsweave.llm import cost_packing, token_matrix, tokens
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -26,6 +25,11 @@ def test_ids_equal_the_library(reference, small):
     assert all([*ids[place[i] : place[i + 1]].tolist(), 1] == reference(t) for i, t in enumerate(texts))
 
 
+def test_added_tokens_are_one_id(reference):
+    ids, place = tokens.Encoder.of(tokens.default_path()).encode(pa.array(["<|endoftext|> hi", "a<|endoftext|>", "hi"]))
+    assert ids[place[0] : place[1]].tolist() == [50256, 23105] and len(ids[place[1] : place[2]]) == 2
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab' 1\n\té.", max_size=25), min_size=1, max_size=5))
 def test_any_text(texts):

@@ -3,8 +3,8 @@
 Ids are those of the ``tokenizers`` library for the given file. Texts are cut
 before every space that stands alone, where this vocabulary's pattern always
 cuts, and only the distinct pieces of a batch are encoded, by a faster encoder
-set up from the same file. Texts with other uses of white space go to
-``tokenizers`` whole.
+set up from the same file. Texts with other uses of white space, or with one of
+the vocabulary's added tokens, go to ``tokenizers`` whole.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tsweave.llm import text as T
 
@@ -48,9 +49,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path) as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        #: Texts that hold one of these are left to the library.
+        self.added = [t["content"] for t in file.get("added_tokens", []) if t["content"]]
         vocabulary, letters = model["vocab"], _byte_of_letter()
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         # Ranks stand for merges only if each merge made the next id.
@@ -115,6 +118,8 @@ class Encoder:
         raw, at = T.laid_out(column)
         texts = len(at) - 1
         unusual = self._unusual(raw, at) if self.ranked else np.ones(texts, bool)
+        for token in self.added:
+            unusual |= pc.match_substring(column, token).fill_null(False).to_numpy(zero_copy_only=False)
         cut = np.zeros(len(raw), bool)
         cut[raw == 32] = True
         cut[at[:-1][np.diff(at) > 0]] = True
