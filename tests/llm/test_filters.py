@@ -263,3 +263,18 @@ def test_order_statistics(spark):
     for g, values in groups.items():
         kinds = ("lower", "lower", "lower", "higher")
         assert found[g] == (len(values), [np.quantile(values, q, method=k) for q, k in zip([0.001, 0.3, 0.5, 0.999], kinds)])
+
+
+def test_all_pages_of_a_document_count(spark):
+    page = lambda url, lang: (url, f"<html lang='{lang}'>" if lang else "<html>")
+    rows = [page("http://a.org/x/1", None), page("http://b.net/fr/1", "fr"), page("http://b.net/fr/1.html", "fr"), page("http://c.com/de/1?q", "de"),
+            page("http://z.com/2", "de"), page("http://y.com/2", "en"), page("http://x.com/none", "it"), (None, None), ("http://q.com/3", None)]
+    pages = spark.createDataFrame([(k, u, h, 0, "v") for k, (u, h) in enumerate(rows)], "page_id long, url string, html string, n int, value string")
+    got = {r.doc_id: tuple(r)[1:] for r in language.page_evidence(pages).collect()}
+    assert got == {1: ("fr", "fr", "b.net"), 2: ("de", None, "y.com"), 3: (None, None, "q.com")}
+
+
+def test_classes_are_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_CLASSES", 2)
+    docs = spark.createDataFrame([("abc def", c) for c in ("aa", "bb", "bb", "cc", "cc", "dd", None)], "text string, lang string")
+    assert language.LanguageModel.fit(docs).languages == ["bb", "cc"]

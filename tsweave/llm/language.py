@@ -32,6 +32,8 @@ DECLARED_RIGHT, ADDRESS_RIGHT = 0.9, 0.8
 HOST_PULL, SITE_PULL = 5.0, 20.0
 NO_LANGUAGE, NO_LANGUAGE_PRIOR = "und", 0.01
 LEAST_POSTERIOR = 0.5
+#: Languages told apart: those that most documents declare. A document of another one is judged among these.
+MOST_CLASSES = 256
 
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[65:91] = np.arange(97, 123)
@@ -105,8 +107,12 @@ class LanguageModel:
                     [pa.array([name] * len(full), pa.string()), pa.array(full), pa.array(own[full])], ["language", "bucket", "n"]
                 )
 
+        code = code_of(F.col(declared)).alias("code")
+        # Reads one column. The list is of bounded size, and so are the table and what each task holds.
+        named = docs.select(code).where("code IS NOT NULL").groupBy("code").agg(F.count("*").alias("n"))
+        classes = [r["code"] for r in named.orderBy(F.desc("n"), "code").limit(MOST_CLASSES).collect()]
         rows = (
-            docs.select(text, code_of(F.col(declared)).alias("code")).where("code IS NOT NULL")
+            docs.select(text, code).where(F.col("code").isin(classes))
             .mapInArrow(count, "language string, bucket long, n long")
             .groupBy("language", "bucket").agg(F.sum("n").alias("n"))
             .toPandas()
@@ -123,10 +129,12 @@ class LanguageModel:
 
     def likelihoods(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` without the text, with the weighted log likelihood of each class in ``evidence``; null without letters."""
-        table = self.table
+        # A broadcast is read once by each worker.
+        shared = docs.sparkSession.sparkContext.broadcast(self.table)
         rest = [f for f in docs.schema.fields if f.name not in (text, "evidence")]
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = shared.value
             for batch in T.slices(batches, text):
                 bucket, first = _trigrams(*T.laid_out(batch.column(0)))
                 n = np.diff(first)
@@ -225,21 +233,26 @@ class LanguageModel:
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """``doc_id, page_lang, url`` from pages whose address ends in the number of a document; one page each, the first by address."""
+    """``doc_id, page_lang, page_address, page_host`` from all pages whose address ends in the number of a document.
+
+    Each is the most frequent one that any of the document's pages has, the first by alphabet among equals.
+    """
     number = F.regexp_extract("url", r"/([0-9]{1,18})(?:\.[a-z]+)?/?(?:[?#].*)?$", 1)
-    return (
-        pages.select(F.nullif(number, F.lit("")).cast("long").alias("doc_id"), "url", markup_code(F.col("html")).alias("page_lang"))
-        .where("doc_id IS NOT NULL")
-        .groupBy("doc_id")
-        .agg(F.min(F.struct("url", "page_lang")).alias("page"))
-        .select("doc_id", "page.url", "page.page_lang")
+    facts = {"page_lang": markup_code(F.col("html")), "page_address": address_code(F.col("url")), "page_host": host_of(F.col("url"))}
+    said = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in facts.items()))).alias("x")
+    counted = (
+        pages.select(F.nullif(number, F.lit("")).cast("long").alias("doc_id"), said)
+        .where("doc_id IS NOT NULL AND x.value IS NOT NULL")
+        .groupBy("doc_id", "x.kind", "x.value").agg(F.count("*").alias("n"))
     )
+    most = {kind: F.min(F.when(F.col("kind") == kind, F.struct(-F.col("n"), "value"))) for kind in facts}
+    return counted.groupBy("doc_id").agg(*(m["value"].alias(kind) for kind, m in most.items()))
 
 
 def document_languages(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Language of every row of ``docs`` (``doc_id, text, lang, source``): ``doc_id, row_key, language, ...``.
 
-    The page that a document was taken from, if there is one, adds its markup, address and host; else the
+    The pages that a document was taken from, if there are any, add their markup, address and host; else the
     document's own ``lang`` is the declaration and ``source`` the host. ``row_key`` is a hash of
     these four columns. Nulls in any column say nothing; other columns are not read. Empty tables give empty results.
     """
@@ -251,8 +264,8 @@ def document_languages(docs: DataFrame, pages: DataFrame | None = None) -> DataF
             return rows.withColumns({"declared": F.col("own_lang"), "address": F.lit(None).cast("string"), "host": F.col("own_host")})
         return rows.join(page_evidence(pages), "doc_id", "left").withColumns(
             {
-                "declared": F.coalesce("page_lang", "own_lang"), "address": address_code(F.col("url")),
-                "host": F.coalesce(host_of(F.col("url")), "own_host"),
+                "declared": F.coalesce("page_lang", "own_lang"), "address": F.col("page_address"),
+                "host": F.coalesce("page_host", "own_host"),
             }
         )
 
