@@ -126,10 +126,11 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
     """In how many texts the shingles of each bucket stand, 65,535 at most. The table has a fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, np.int64)
+        table = np.zeros(1 << TABLE_BITS, np.uint32)
         for batch in T.slices(batches):
             shingle, _ = shingle_sets(*T.laid_out(batch.column(0)), words)
-            table += np.bincount(_bucket(shingle), minlength=len(table))
+            bucket, n = np.unique(_bucket(shingle), return_counts=True)
+            table[bucket] += n.astype(np.uint32)
         pieces = np.minimum(table, 65_535).astype("<u2").reshape(-1, TABLE_PIECE)
         full = np.flatnonzero(pieces.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([pieces[i].tobytes() for i in full], pa.binary())], ["piece", "counts"])

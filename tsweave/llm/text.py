@@ -6,6 +6,7 @@ offsets, so that no Python code runs per word. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import sys
 import types
@@ -37,6 +38,14 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("tsweave_worker_cache", types.ModuleType("tsweave_worker_cache")).__dict__
 
 
+def give_back() -> None:
+    """Hand free memory back to the system: workers outlive their tasks, and keep what the largest slice took."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -67,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
 
 
 def spans(raw: np.ndarray, at: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
