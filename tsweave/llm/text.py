@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text handled at once. Arrays of a slice take some thirty times as much.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Spans longer than this are hashed one by one.
 LONG_SPAN = 4096
 
@@ -76,7 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
-    give_back()
+            give_back()
 
 
 def spans(raw: np.ndarray, at: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
