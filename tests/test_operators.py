@@ -387,7 +387,9 @@ def test_forecast_continues_the_in_sample_predictions(panel_of):
     """The first forecast is the one-step prediction of the row after the last."""
     y = np.random.default_rng(10).normal(size=121).cumsum()
     for order in [(2, 0, 0), (1, 1, 1), (2, 2, 2)]:
-        fits = arima.fit_orders(Panel.of(panel_of({"a": y[:120]})), [order])
+        short = Panel.of(panel_of({"a": y[:120]}))
+        fits = arima.fit_orders(short, [order])
+        fits = arima.with_last_errors(fits, arima.in_sample(short, fits, order), F.lit(120))
         ahead = arima.forecast(fits, "series_id", F.lit(1)).first().predicted
         held = arima.in_sample(Panel.of(panel_of({"a": y})), fits, order).df.where("pos = 120").first().predicted
         assert ahead == pytest.approx(held, rel=1e-9)
@@ -403,4 +405,57 @@ def test_in_sample_handles_mixed_orders(panel_of):
     np.testing.assert_allclose(
         np.array(values(both.where("series_id = 'a'"), "predicted"), dtype=float),
         np.array(values(alone.where("series_id = 'a'"), "predicted"), dtype=float))
-    assert values(both.where("series_id = 'b'"), "predicted").count(None) == 1 + 1 + 6
+    assert values(both.where("series_id = 'b'"), "predicted").count(None) == 1 + 2
+
+
+def sequential_predictions(y, d, c, phi, theta):
+    """One-step predictions by the plain recursion, row by row."""
+    z = np.diff(y, d) if d else np.asarray(y, float)
+    e, out = np.zeros(len(z)), [None] * len(y)
+    for t in range(len(phi), len(z)):
+        mean = c + sum(a * z[t - 1 - i] for i, a in enumerate(phi)) + sum(b * e[t - 1 - j] for j, b in enumerate(theta) if t - 1 - j >= 0)
+        e[t] = z[t] - mean
+        out[t + d] = y[t + d] - e[t]
+    return out
+
+
+@pytest.mark.parametrize("order", [(0, 0, 1), (1, 0, 2), (2, 1, 1), (1, 2, 3), (3, 0, 0)])
+def test_moving_average_residuals_are_those_of_the_recursion(spark, panel_of, order):
+    p, d, q = order
+    rng = np.random.default_rng(sum(order))
+    series = {"a": rng.normal(size=301).cumsum(), "b": rng.normal(size=40), "tiny": [1.0, 2.0]}
+    phi, theta = [0.4, -0.2, 0.1][:p], [0.5, 0.3, -0.2][:q]
+    fits = spark.createDataFrame(
+        [(k, d, 0.1, phi, theta) for k in series], "series_id string, d int, intercept double, phi array<double>, theta array<double>"
+    )
+    df = panel_of(series)
+    cut = Panel.of(df, layout="blocks", block_rows=23)
+    mixed = Panel.of(df, max_rows=100, block_rows=7)
+    for panel in (Panel.of(df, layout="series"), cut, mixed):
+        rows = arima.in_sample(panel, fits, order).df.orderBy("series_id", "pos").collect()
+        for key, y in series.items():
+            got = [r.predicted for r in rows if r.series_id == key]
+            want = sequential_predictions(y, d, 0.1, phi, theta)
+            assert [g is None for g in got] == [w is None for w in want]
+            np.testing.assert_allclose([g for g in got if g is not None], [w for w in want if w is not None], rtol=1e-9, atol=1e-9)
+
+
+def test_scan_passes_errors_on():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 17, 1000):
+        for theta in ([], [0.7], [0.5, -0.3, 0.2]):
+            u, before = rng.normal(size=n), rng.normal(size=len(theta))
+            e = list(before[::-1])
+            for x in u:
+                e.append(x - sum(t * e[-1 - j] for j, t in enumerate(theta)))
+            got, last = arima.ma_residuals(u, np.array(theta), before)
+            np.testing.assert_allclose(got, e[len(theta):], atol=1e-9)
+            np.testing.assert_allclose(last, e[::-1][: len(theta)], atol=1e-9)
+
+
+def test_fits_that_cannot_be_inverted_do_not_stop_the_rest(spark, panel_of):
+    y = list(np.random.default_rng(5).normal(size=3000))
+    fits = spark.createDataFrame([("a", 0, 0.0, [0.1], [3.0]), ("b", 0, 0.0, [0.1], [0.3])], "series_id string, d int, intercept double, phi array<double>, theta array<double>")
+    out = arima.in_sample(Panel.of(panel_of({"a": y, "b": y, "no fit": y})), fits, (1, 0, 1)).df
+    n = {r.series_id: r.n for r in out.groupBy("series_id").agg(F.count("predicted").alias("n")).collect()}
+    assert n["b"] == 2999 and 0 < n["a"] < 2999 and n["no fit"] == 0

@@ -1,7 +1,10 @@
 """ARIMA by regression: fit, order search, in-sample predictions, forecasts.
 
 The fits are conditional least squares (moving-average terms by regression on
-the residuals of a long autoregression), not exact likelihood. AIC values are
+the residuals of a long autoregression), not exact likelihood. Given the
+coefficients, the residuals of in-sample predictions and the errors that a
+forecast starts from are those of the moving-average recursion itself, worked
+out by a parallel scan. AIC values are
 therefore close to, not equal to, those of a likelihood fit, and the chosen
 order can differ on near ties. All orders of a series come from one row of lag
 products, so the search over 48 orders is a single pass over the panel.
@@ -13,10 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tsweave.operators.moments import Batch, difference_weights, lag_products, regress
-from tsweave.operators.panel import Panel
+from tsweave.operators.panel import Panel, join_series
 
 # The orders searched by default.
 P_VALUES, D_VALUES, Q_VALUES = range(4), range(3), range(4)
@@ -281,20 +286,131 @@ def forecast(fits: DataFrame, key: str, steps: Column, steps_per_row: int = STEP
     )
 
 
+def ma_residuals(u: np.ndarray, theta: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``e[t] = u[t] - theta[0] * e[t-1] - ...`` for all ``t``, and the last errors, newest first.
+
+    ``before`` holds the errors before the first, newest first. The sequence is
+    cut into pieces that start from zero errors; a piece's true start comes
+    from a scan over the pieces, whose response to it is the same for all.
+    """
+    q, n = len(theta), len(u)
+    if not q or not n:
+        return u.copy(), before.copy()
+    size = max(q, int(np.sqrt(n)))
+    pieces = -(-n // size)
+    e = np.zeros(pieces * size)
+    e[:n] = u
+    e = e.reshape(pieces, size)
+    # Column s + q of the response is what each start error adds at place s.
+    response = np.zeros((size + q, q))
+    response[:q] = np.eye(q)[::-1]
+    with np.errstate(all="ignore"):
+        for s in range(size):
+            for j in range(min(q, s)):
+                e[:, s] -= theta[j] * e[:, s - 1 - j]
+            response[s + q] = -theta @ response[s : s + q][::-1]
+        ends, start = e[:, ::-1][:, :q], before.astype(float)
+        for piece in range(pieces):
+            own = start
+            start = ends[piece] + response[size:][::-1][:q] @ own
+            e[piece] += response[q:] @ own
+    e = e.reshape(-1)[:n]
+    return e, np.concatenate([e[::-1][:q], before])[:q]
+
+
+def _ma_block(table: pa.Table, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of a block's rows, their errors and the last ones. Errors before the first usable row are zero."""
+    order = np.argsort(table.column("pos").to_numpy(), kind="stable")
+    theta = np.asarray(table.column("theta")[0].as_py() or [], float)
+    u = table.column("_u").to_numpy().astype(float)[order]
+    pos = table.column("pos").to_numpy()[order]
+    first = table.column("_first")[0].as_py()
+    q = len(theta)
+    out = np.full(len(u), np.nan)
+    usable = np.zeros(len(u), bool) if first is None else pos >= first
+    start = np.zeros(q) if before is None else before
+    out[usable], last = ma_residuals(u[usable], theta, start)
+    return order, out, last
+
+
+def _with_errors(panel: Panel) -> Panel:
+    """Add ``_error`` from ``_u`` (the row without its moving-average terms), ``theta`` and ``_first`` (its first usable row).
+
+    A whole series is one task's work. A cut one is worked out block by block
+    from zero errors; the blocks' last errors and how they pass on earlier ones
+    give every block its start, and a second pass the errors.
+    """
+    key = panel.spec.key
+
+    def schema(df: DataFrame) -> StructType:
+        return StructType([*df.schema.fields, StructField("_error", DoubleType())])
+
+    def done(table: pa.Table, before: np.ndarray | None = None) -> pa.Table:
+        order, error, _ = _ma_block(table, before)
+        placed = np.empty(len(error))
+        placed[order] = error
+        return table.append_column("_error", pa.array(placed, mask=np.isnan(placed)))
+
+    def on_whole(df: DataFrame) -> DataFrame:
+        return df.groupBy(key).applyInArrow(lambda table: done(table), schema(df))
+
+    def on_cut(df: DataFrame) -> DataFrame:
+        def ends(table: pa.Table) -> pa.Table:
+            _, error, last = _ma_block(table)
+            theta = np.asarray(table.column("theta")[0].as_py() or [], float)
+            # How each earlier error comes through the block: the block run without input.
+            rows = int((~np.isnan(error)).sum())
+            through = [ma_residuals(np.zeros(rows), theta, one)[1] for one in np.eye(len(theta))]
+            return pa.table(
+                {
+                    key: table.column(key)[:1], "_block": table.column("_block")[:1], "last": pa.array([last.tolist()], pa.list_(pa.float64())),
+                    "through": pa.array([np.stack(through, 1).ravel().tolist() if through else []], pa.list_(pa.float64())),
+                }
+            )
+
+        def starts(table: pa.Table) -> pa.Table:
+            order = np.argsort(table.column("_block").to_numpy())
+            before = [None] * len(order)
+            now = None
+            for i in order.tolist():
+                last = np.asarray(table.column("last")[i].as_py(), float)
+                through = np.asarray(table.column("through")[i].as_py(), float).reshape(len(last), len(last))
+                now = np.zeros(len(last)) if now is None else now
+                before[i] = now.tolist()
+                now = last + through @ now
+            return pa.table({key: table.column(key), "_block": table.column("_block"), "_before": pa.array(before, pa.list_(pa.float64()))})
+
+        kind = df.schema[key].dataType.simpleString()
+        ran = df.select(key, "_block", "pos", "_u", "theta", "_first").groupBy(key, "_block")
+        # One row a block.
+        summary = ran.applyInArrow(ends, f"{key} {kind}, _block bigint, last array<double>, through array<double>")
+        start = summary.groupBy(key).applyInArrow(starts, f"{key} {kind}, _block bigint, _before array<double>")
+        joined = join_series(df, start, [key, "_block"])
+
+        def again(table: pa.Table) -> pa.Table:
+            before = np.asarray(table.column("_before")[0].as_py() or [], float)
+            return done(table.drop_columns(["_before"]), before)
+
+        return joined.groupBy(key, "_block").applyInArrow(again, schema(df))
+
+    return panel._each(on_whole, on_cut)
+
+
 def in_sample(panel: Panel, fits: DataFrame, max_order: tuple[int, int, int]) -> Panel:
     """Add ``predicted``: the one-step prediction of every row from the rows before it.
 
     ``max_order`` bounds the orders in ``fits``. Rows with too little history
-    have a null prediction.
+    have a null prediction: the first ``p + d``. Errors before these rows are
+    taken as zero. A fit whose moving-average part cannot be inverted leaves
+    null predictions once its errors are no longer finite.
     """
     p, d, q = max_order
-    long_ar = _long_ar([max_order])
-    lags = d + max(p, (q + long_ar) if q else 0)
-    columns = ["d", "intercept", "phi", "theta", "long_intercept", "long_phi"]
+    lags = d + p
+    columns = ["d", "intercept", "phi", "theta"]
     value = F.col(panel.spec.value)
-    ready = panel.attach(fits.select(panel.spec.key, *columns)).over(
-        lags, lambda w: {f"_y{k}": F.lag(value, k).over(w) for k in range(1, lags + 1)}
-    )
+    ready = panel.attach(fits.select(panel.spec.key, *columns))
+    if lags:
+        ready = ready.over(lags, lambda w: {f"_y{k}": F.lag(value, k).over(w) for k in range(1, lags + 1)})
     y = [value, *[F.col(f"_y{k}") for k in range(1, lags + 1)]]
 
     def z(i: int) -> Column:
@@ -306,31 +422,32 @@ def in_sample(panel: Panel, fits: DataFrame, max_order: tuple[int, int, int]) ->
             out = out.when(F.col("d") == k, options[k]())
         return out
 
-    def term(coefficients: str, i: int, factor: Column) -> Column:
-        """A coefficient times its factor; orders without that coefficient add 0."""
-        return F.when(F.size(coefficients) < i, F.lit(0.0)).otherwise(
-            F.try_element_at(F.col(coefficients), F.lit(i)) * factor
-        )
-
-    def residual(j: int) -> Column:
-        out = z(j) - F.col("long_intercept")
-        for i in range(1, long_ar + 1):
-            out = out - term("long_phi", i, z(j + i))
-        return out
-
     change = F.col("intercept")
     for i in range(1, p + 1):
-        change = change + term("phi", i, z(i))
-    for j in range(1, q + 1):
-        change = change + term("theta", j, residual(j))
-    predicted = F.when(F.col("d") == 0, change)
-    if d >= 1:
-        predicted = predicted.when(F.col("d") == 1, y[1] + change)
-    if d >= 2:
-        predicted = predicted.when(F.col("d") == 2, 2 * y[1] - y[2] + change)
-    # Enough rows before this one for the row's own order.
-    before = F.col("d") + F.greatest(
-        F.size("phi"), F.when(F.size("theta") > 0, F.size("theta") + F.size("long_phi")).otherwise(0)
+        # Orders without that coefficient add 0.
+        change = change + F.when(F.size("phi") < i, F.lit(0.0)).otherwise(F.try_element_at(F.col("phi"), F.lit(i)) * z(i))
+    first = F.when(F.col("phi").isNotNull(), F.col("d") + F.size("phi"))
+    # What is left of the row without its moving-average terms; differences cancel out.
+    ready = ready.with_columns({"_u": z(0) - change, "_first": first.cast("bigint")})
+    if q:
+        ready = _with_errors(ready)
+    else:
+        ready = ready.with_columns({"_error": F.col("_u")})
+    finite = F.col("_error").isNotNull() & ~F.isnan("_error") & (F.abs("_error") < F.lit(float("inf")))
+    out = ready.with_columns({"predicted": F.when((F.col("pos") >= F.col("_first")) & finite, value - F.col("_error"))})
+    return out.map(lambda d: d.drop(*columns, "_u", "_first", "_error", *[f"_y{k}" for k in range(1, lags + 1)]))
+
+
+def with_last_errors(fits: DataFrame, predicted: Panel, rows: Column) -> DataFrame:
+    """``fits`` with ``e_last`` taken from in-sample predictions of the first ``rows`` rows of each series."""
+    key = predicted.spec.key
+    width = F.greatest(F.coalesce(F.size("theta"), F.lit(0)), F.lit(0))
+    error = F.col(predicted.spec.value) - F.col("predicted")
+    # Few rows a series: the errors that its order looks back at, newest first.
+    late = predicted.attach(fits.select(key, width.alias("_width"))).df.where(
+        (F.col("pos") < rows) & (F.col("pos") >= rows - F.col("_width"))
     )
-    out = ready.with_columns({"predicted": F.when(F.col("pos") >= before, predicted)})
-    return out.map(lambda d: d.drop(*columns, *[f"_y{k}" for k in range(1, lags + 1)]))
+    last = late.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("pos"), error.alias("e")))), lambda s: s["e"]).alias("_last"))
+    none = F.array_repeat(F.lit(0.0), width)
+    full = F.slice(F.concat(F.transform(F.coalesce("_last", none), lambda e: F.coalesce(e, F.lit(0.0))), none), F.lit(1), width)
+    return join_series(fits, last, [key]).withColumn("e_last", full).drop("_last")

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame, functions as F
 
 from tsweave.functions.calendar import add_date_parts
 from tsweave.operators.features import drop_warmup, feature_names, forecasting_features
+from tsweave.operators.forest import FlatForest, is_trees, running_losses
 from tsweave.operators.panel import Panel
 from tsweave.operators.splits import split_floor
 from tsweave.session import materialise
@@ -108,38 +110,22 @@ def loss_curve(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
 
     Every tree scores every row once: the running sums of a row's scores are
     its predictions after each round, and their running means those of a
-    forest, so one pass gives the whole curve. A linear model is fitted at
-    once and has one row.
+    forest. Tasks send sums, so one pass gives the whole curve. A linear model
+    is fitted at once and has one row.
     """
-    if not isinstance(model, PipelineModel) or not hasattr(model.stages[-1], "trees"):
+    if isinstance(model, PipelineModel) and is_trees(model.stages[-1]):
+        *prepare, trees = model.stages
+        ready = df.select("split", label, *[c for c in df.columns if c not in ("split", label, "predicted")])
+        for stage in prepare:
+            ready = stage.transform(ready)
+        rows = ready.select("split", F.col(label).alias("label"), vector_to_array("features").alias("features"))
+        losses = running_losses(rows, FlatForest.of(trees))
+    else:
         error = F.col("predicted") - F.col(label)
-        loss = model.transform(df).select("split", (error * error).alias("_loss"), F.lit(0).alias("_round"))
-        return _mean_losses(loss)
-    *prepare, boosted = model.stages
-    averaged = isinstance(boosted, RandomForestRegressionModel)
-    scored = df.select("split", label, *[c for c in df.columns if c not in ("split", label, "predicted")])
-    for stage in prepare:
-        scored = stage.transform(scored)
-    scored = scored.select("split", label, "features")
-    trees, scores = boosted.trees, []
-    for i, (tree, weight) in enumerate(zip(trees, boosted.treeWeights)):
-        scored = tree.setPredictionCol(f"_tree_{i}").transform(scored)
-        scores.append(F.lit(1.0 if averaged else float(weight)) * F.col(f"_tree_{i}"))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("trees"), F.array().cast("array<double>").alias("losses"))
-
-    def step(state: Column, score: Column) -> Column:
-        total = state["sum"] + score
-        count = state["trees"] + 1
-        error = F.col(label) - (total / count if averaged else total)
-        return F.struct(total.alias("sum"), count.alias("trees"), F.concat(state["losses"], F.array(error * error)).alias("losses"))
-
-    losses = F.aggregate(F.array(*scores), start, step, lambda s: s["losses"])
-    rows = scored.select("split", F.posexplode(losses).alias("_round", "_loss"))
-    return _mean_losses(rows)
-
-
-def _mean_losses(rows: DataFrame) -> DataFrame:
-    return rows.groupBy((F.col("_round") + 1).cast("bigint").alias("iteration")).agg(
-        F.avg(F.when(F.col("split") == "train", F.col("_loss"))).alias("train_loss"),
-        F.avg(F.when(F.col("split") == "test", F.col("_loss"))).alias("validation_loss"),
+        scored = model.transform(df).withColumn("iteration", F.lit(1).cast("bigint"))
+        losses = scored.groupBy("split", "iteration").agg(F.sum(error * error).alias("loss_sum"), F.count(F.lit(1)).alias("n_rows"))
+    mean = F.col("loss_sum") / F.col("n_rows")
+    return losses.groupBy("iteration").agg(
+        F.max(F.when(F.col("split") == "train", mean)).alias("train_loss"),
+        F.max(F.when(F.col("split") == "test", mean)).alias("validation_loss"),
     )

@@ -123,6 +123,10 @@ class Panel:
         """
         return self._each(change, change)
 
+    def written(self, name: str) -> Panel:
+        """The same rows, written once to the shared folder."""
+        return self.map(lambda d: materialise(d, name))
+
     def where(self, condition: Column) -> Panel:
         """Keep some rows; positions and lengths stay those of the whole series."""
         return self.map(lambda d: d.where(condition))

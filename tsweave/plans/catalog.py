@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tsweave.functions import calendar, cleaning, dates
 from tsweave.operators import (
@@ -330,6 +330,24 @@ def arima_ar_eval(spark, folder):
     return rounded(errors.select(KEY, "split", "n_rows", "mse", "rmse", "mae"), 4)
 
 
+def _fixed_ma(panel: Panel) -> DataFrame:
+    """The same ARIMA(1,1,1) for every series."""
+    numbers = {"d": F.lit(1), "intercept": F.lit(0.01), "phi": F.array(F.lit(0.5)), "theta": F.array(F.lit(0.4))}
+    return panel.df.select(KEY).distinct().withColumns(numbers)
+
+
+def arima_ma_in_sample(spark, folder):
+    """One-step predictions of a given ARIMA(1,1,1), whose errors depend on all errors before."""
+    panel = _hourly_panel(spark, folder)
+    return rounded(arima.in_sample(panel, _fixed_ma(panel), (1, 1, 1)).rows(KEY, "pos", "predicted"), 5)
+
+
+def long_series_ma_in_sample(spark, folder):
+    """The same on one series that is cut into blocks: errors are passed on from block to block."""
+    panel = Panel.of(all_events(spark, folder), layout="blocks")
+    return rounded(arima.in_sample(panel, _fixed_ma(panel), (1, 1, 1)).rows("seq", "pos", "predicted"), 5)
+
+
 def linear_window_forecast(spark, folder):
     out = forecaster.series_linear_forecast(Panel.of(user_events(spark, folder)), HORIZON, length=1)
     return rounded(out)
@@ -400,42 +418,30 @@ def baseline_side_by_side(spark, folder):
     return rounded(evaluate.side_by_side(errors, KEY, ["persistence", "train_mean"]), 5)
 
 
-def _tree_report(fitted: forecaster.FittedEnsemble) -> DataFrame:
-    """What can be known of a fitted tree model without fitting it: rows scored, and that it learned its train rows."""
-    learned = F.sqrt(F.avg(F.pow(F.col("predicted") - F.col("actual"), 2))) < F.stddev_pop("actual")
-    out = fitted.predictions().groupBy(KEY, "split").agg(
-        F.count("predicted").alias("n_rows"), F.count_if(F.col("actual") == 0).alias("n_zero"), learned.alias("learned")
-    )
-    return out.select(
-        KEY, F.lit(fitted.name).alias("model"), "split", "n_rows", "n_zero", F.when(F.col("split") == "train", F.col("learned")).alias("learned")
-    )
-
-
 def rf_eval(spark, folder):
-    return _tree_report(forecaster.EnsembleForecaster("random_forest").fit(Panel.of(user_events(spark, folder))))
+    """Errors of a hundred trees on lags, by series and part."""
+    return rounded(forecaster.EnsembleForecaster("random_forest").fit(Panel.of(user_events(spark, folder))).errors(), 5)
 
 
 def rf_date_parts_eval(spark, folder):
-    return _tree_report(forecaster.EnsembleForecaster("random_forest", features="date_parts").fit(_hourly_panel(spark, folder)))
+    return rounded(forecaster.EnsembleForecaster("random_forest", features="date_parts").fit(_hourly_panel(spark, folder)).errors(), 5)
 
 
 def gbt_eval(spark, folder):
-    return _tree_report(forecaster.EnsembleForecaster("boosted_trees").fit(Panel.of(user_events(spark, folder))))
+    """Errors after a hundred rounds, by series and part."""
+    return rounded(forecaster.EnsembleForecaster("boosted_trees").fit(Panel.of(user_events(spark, folder))).errors(), 5)
 
 
 def gbt_loss_curve(spark, folder):
-    """A hundred rounds; each lowers the train loss."""
-    curve = forecaster.SequenceForecaster("boosted_trees_slow").fit(_hourly_panel(spark, folder)).loss_curve()
-    falls = F.col("train_loss") < F.lag("train_loss").over(Window.orderBy("iteration"))
-    return curve.select("iteration", falls.alias("falls"), (F.col("validation_loss") > 0).alias("validated"))
+    """Train and validation loss after each of a hundred rounds."""
+    return rounded(forecaster.SequenceForecaster("boosted_trees_slow").fit(Panel.of(user_events(spark, folder))).loss_curve(), 8)
 
 
 def model_compare(spark, folder):
-    """The three tree models and both baselines, each with its test rows and a place in the ranking."""
+    """Errors and rank of the three tree models and both baselines on the test part."""
     names = ["random_forest", "boosted_trees", "boosted_trees_slow"]
     errors = compare.compare_models(_hourly_panel(spark, folder), [forecaster.EnsembleForecaster(n) for n in names])
-    ranked = evaluate.rank_models(errors, KEY)
-    return ranked.select(KEY, "model", "n_rows", F.col("rank").between(1, len(names) + 2).alias("ranked"))
+    return rounded(evaluate.rank_models(errors, KEY).select(KEY, "model", "n_rows", "rmse", "mae", "rank"), 5)
 
 
 def sequence_predictions(spark, folder):
@@ -460,12 +466,13 @@ def sequence_eval(spark, folder):
 
 
 def tree_forecast(spark, folder):
-    """A forest's forecasts lie between the bounds of the series' train values."""
-    panel = _hourly_panel(spark, folder)
-    fitted = forecaster.SequenceForecaster("random_forest").fit(panel)
-    out = join_series(fitted.forecast(HORIZON, step="infer"), fitted.state.select(KEY, "lo", "hi"), [KEY])
-    inside = F.col("predicted").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)
-    return out.select(KEY, "step", "date", inside.alias("inside"), "reason")
+    """A forest's forecasts, steps as long as the data's own."""
+    return rounded(forecaster.SequenceForecaster("random_forest").fit(_hourly_panel(spark, folder)).forecast(HORIZON, step="infer"), 5)
+
+
+def tree_forecast_year(spark, folder):
+    """365 steps of a forest of a hundred trees, in one stage."""
+    return rounded(forecaster.SequenceForecaster("random_forest").fit(_hourly_panel(spark, folder)).forecast(365), 5)
 
 
 # Saving, many datasets, one long series
@@ -572,11 +579,11 @@ QUERIES = {
         sliding_windows, split_sliding_windows, last_window, slide_append, window_null_gate,
         hour_profile_sum, hour_profile_mean, differenced, acf_20, pacf_2, pacf_20, adf_lag0, adf_auto,
         line_extract, line_buckets,
-        ar1_fit_aic, ar1_in_sample, ar1_forecast, best_ar_order, arima_grid, arima_eval, arima_ar_eval,
+        ar1_fit_aic, ar1_in_sample, ar1_forecast, best_ar_order, arima_grid, arima_eval, arima_ar_eval, arima_ma_in_sample, long_series_ma_in_sample,
         linear_window_forecast, linear_window_forecast_12, future_dates,
         persistence_eval, messy_pipeline_eval, persistence_windows_eval, mean_benchmark, baseline_compare, baseline_side_by_side,
         rf_eval, rf_date_parts_eval, gbt_eval, gbt_loss_curve, model_compare,
-        sequence_predictions, sequence_predictions_1, sequence_eval, sequence_eval_1, sequence_forecast, tree_forecast,
+        sequence_predictions, sequence_predictions_1, sequence_eval, sequence_eval_1, sequence_forecast, tree_forecast, tree_forecast_year,
         save_load_forecast, series_roundtrip, csv_roundtrip, quoted_csv_roundtrip, strict_timestamps, reuse_forecast, panel_union, long_series_features, long_series_acf,
     )
 }

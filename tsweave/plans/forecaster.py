@@ -237,7 +237,12 @@ def arima_run(panel: Panel, orders: list[tuple[int, int, int]] | None = None) ->
     fits = materialise(arima.refit_best(panel, orders, rows=cut), "arima-fits")
     chosen = fits.select(spec.key, "p", "d", "q", F.col("search_aic").alias("aic"))
     largest = tuple(max(o[i] for o in orders) for i in range(3))
-    train = arima.in_sample(panel, fits, largest).where(F.col("pos") < cut)
+    fitted = arima.in_sample(panel, fits, largest)
+    if largest[2]:
+        # Read for the train part and for the errors that forecasts start from.
+        fitted = fitted.written("arima-in-sample")
+        fits = arima.with_last_errors(fits, fitted, cut)
+    train = fitted.where(F.col("pos") < cut)
     lengths = panel.df.groupBy(spec.key).agg(F.max("n").alias("_n"))
     ahead = join_series(fits, lengths, [spec.key], "inner")
     steps = arima.forecast(ahead, spec.key, F.col("_n") - floor_cut(F.col("_n")))

@@ -52,14 +52,6 @@ def errors(digits: int, *names: str) -> str:
     return ", ".join(pieces[n] for n in (names or pieces))
 
 
-def trees(placed: str, model: str, warm_up: int) -> str:
-    """Rows that a tree model scores, and that it fits its train rows better than their mean does."""
-    return f"""WITH {placed}, k AS (SELECT series_id, value, pos - {warm_up} AS q, n - {warm_up} AS m FROM p WHERE pos >= {warm_up}),
-      l AS (SELECT *, CASE WHEN q < floor(m * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM k)
-      SELECT series_id, '{model}' AS model, split, count(*) AS n_rows, count(*) FILTER (value = 0) AS n_zero,
-        CASE WHEN split = 'train' THEN TRUE END AS learned FROM l GROUP BY 1, 3"""
-
-
 def _profile() -> str:
     kinds = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string",
              "value": "double", "props": "string"}
@@ -383,19 +375,18 @@ ORACLES: dict[str, str] = {
     "quoted_csv_roundtrip": "SELECT event_id, event_type, value, date_trunc('second', ts) AS ts FROM events",
     "strict_timestamps": "SELECT event_id, date_trunc('second', ts) AS parsed FROM events",
     "reuse_forecast": SAVED_1,
-    "rf_eval": trees(PLACED, "random_forest", 3),
-    "rf_date_parts_eval": trees(HOURLY_PLACED, "random_forest", 0),
-    "gbt_eval": trees(PLACED, "boosted_trees", 3),
-    "gbt_loss_curve": "SELECT i AS iteration, CASE WHEN i > 1 THEN TRUE END AS falls, TRUE AS validated FROM generate_series(1, 100) AS g(i)",
-    "model_compare": f"""WITH {HOURLY_PLACED}, m AS (SELECT * FROM (VALUES ('persistence', 0), ('train_mean', 0),
-      ('random_forest', 3), ('boosted_trees', 3), ('boosted_trees_slow', 3)) AS v(model, warm))
-      SELECT series_id, model, CAST(max(n - warm) - floor(max(n - warm) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS n_rows, TRUE AS ranked
-      FROM p, m GROUP BY 1, 2""",
-    "tree_forecast": f"""WITH {HOURLY_PLACED}, g AS (
-      SELECT *, epoch(ts) - epoch(lag(ts) OVER ({W})) AS gap FROM p),
-      s AS (SELECT series_id, median(gap) AS step_s, max(CASE WHEN pos = n - 2 THEN ts END) AS last_ts FROM g GROUP BY 1)
-      SELECT series_id, CAST(i AS BIGINT) AS step, last_ts + to_microseconds(CAST(i * step_s * 1e6 AS BIGINT)) AS date,
-        TRUE AS inside, CAST(NULL AS VARCHAR) AS reason FROM s, generate_series(1, 10) AS h(i)""",
+    "arima_ma_in_sample": f"""WITH RECURSIVE {HOURLY_PLACED}, z AS (SELECT series_id, pos, value, value - lag(value) OVER ({W}) AS z, ts, seq FROM p),
+      u AS (SELECT series_id, pos, value, z - 0.01 - 0.5 * lag(z) OVER ({W}) AS u FROM z),
+      e AS (SELECT series_id, pos, u AS e FROM u WHERE pos = 2
+        UNION ALL SELECT u.series_id, u.pos, u.u - 0.4 * e.e FROM e JOIN u ON u.series_id = e.series_id AND u.pos = e.pos + 1)
+      SELECT u.series_id, CAST(u.pos AS BIGINT) AS pos, {r('value - e', 5)} AS predicted FROM u LEFT JOIN e ON u.series_id = e.series_id AND u.pos = e.pos""",
+    # The weight of an error fades with 0.4 to the power of its distance: sixty rows back it is below any double's last digit.
+    "long_series_ma_in_sample": f"""WITH p AS (SELECT event_id AS seq, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events),
+      z AS (SELECT *, value - lag(value) OVER (ORDER BY pos) AS z FROM p),
+      u AS (SELECT *, z - 0.01 - 0.5 * lag(z) OVER (ORDER BY pos) AS u FROM z),
+      k AS (SELECT range AS k FROM range(0, 61)),
+      e AS (SELECT a.pos, sum(pow(-0.4, k) * b.u) AS e FROM u a, k JOIN u b ON b.pos = a.pos - k WHERE b.pos >= 2 GROUP BY 1)
+      SELECT seq, CAST(u.pos AS BIGINT) AS pos, {r('value - e', 5)} AS predicted FROM u LEFT JOIN e USING (pos)""",
     "series_roundtrip": f"WITH {USER} SELECT ts, series_id, seq, value FROM u",
     "panel_union": PANEL_UNION,
     "long_series_features": f"""WITH u AS (SELECT 'all' AS series_id, ts, event_id AS seq, value FROM events),
