@@ -1,11 +1,15 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage
-before it kept. All but the last return the columns of ``docs``.
+before it kept. All but the last return the columns of ``docs``. A stage sets
+the session's limit on the bytes of an Arrow batch where it has Spark's default.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tsweave.llm import apart, cost_packing, importance, jaccard, language, tiling
@@ -16,10 +20,28 @@ KEY = "pipeline_row_key"
 NEAR = jaccard.Rule(words=5, percent=80)
 
 
+#: Bytes of text that travel to a Python worker at once: Spark's default, and what stages set in its place. Executors hold
+#: a batch for each running task beside their heap, and the worker holds it once more.
+BATCH, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    @wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH, DEFAULT_BATCH) == DEFAULT_BATCH:
+            spark.conf.set(BATCH, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@in_small_batches
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are as likely under trusted text as trusted documents are.
 
@@ -30,6 +52,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("quality_rules_kept").select(*(f"`{c}`" for c in docs.columns))
 
 
+@in_small_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language, with ``lang`` set to it where it was declared otherwise."""
     found = language.document_languages(docs, _table(spark, sf_dir, "pages"))
@@ -50,6 +73,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rest.select(*columns).unionByName(kept.select(*columns))
 
 
+@in_small_batches
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that of the smallest id."""
     linked = materialise(jaccard.jaccard_components(docs, NEAR), "linked")
@@ -70,6 +94,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return rest.select(*columns).unionByName(met.where("pipeline_twice IS NULL").select(*columns)).unionByName(one)
 
 
+@in_small_batches
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tiles cover no benchmark item."""
     leaks = tiling.overlaps(docs, _table(spark, sf_dir, "benchmark")).select(F.col("row_key").alias(KEY)).distinct()
@@ -77,6 +102,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
+@in_small_batches
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of cost-balanced sequences, ids included."""
     return cost_packing.pack_balanced(docs)
