@@ -144,10 +144,13 @@ class LicenceScanner:
 
     @staticmethod
     def fit(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> LicenceScanner:
-        """Fitted on ``templates`` and on the paragraphs of at most ``MOST_DOCUMENTS`` documents, those of lowest hash."""
+        """Fitted on ``templates`` and on the paragraphs of at most ``MOST_DOCUMENTS`` documents, those of lowest hash; repeated rows are one."""
         spark, templates = docs.sparkSession, templates or TEMPLATES
         key = F.xxhash64("doc_id", "text")
-        sample = docs.select("text", key.alias("k")).where("text IS NOT NULL").orderBy("k").limit(MOST_DOCUMENTS)
+        named = docs.select("text", key.alias("k")).where("text IS NOT NULL")
+        # The keys alone are sorted; texts are picked by the greatest of them where they lie.
+        least = [r["k"] for r in named.select("k").distinct().orderBy("k").limit(MOST_DOCUMENTS).collect()]
+        sample = named.where(F.col("k") <= F.lit(max(least, default=-(1 << 63))))
         lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) > 0").distinct()
         rows = lines.orderBy(F.xxhash64("line"), "line").limit(MOST_PARAGRAPHS).collect()
         known = [_triples(t) for texts in templates.values() for t in texts]
