@@ -142,6 +142,40 @@ def test_tiling_against_brute_force(item, text):
             assert item[i : i + 3] != text[j : j + 3] or any(used_item[i : i + 3]) or any(used_text[j : j + 3])
 
 
+def _longest_first(item, text, least):
+    """Plain tiling: of all unmarked common runs the longest is marked, ties by place, until none is left."""
+    used_item, used_text, found = [False] * len(item), [False] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                n = 0
+                while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and not used_item[i + n] and not used_text[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < least:
+            return found
+        used_item[i : i + n] = used_text[j : j + n] = [True] * n
+        found.append((i, j, n))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=30), st.lists(st.integers(1, 3), max_size=40))
+def test_tiling_is_longest_first(item, text):
+    assert tiling.tiles(item, text, 3) == _longest_first(item, text, 3)
+
+
+def test_seed_bound_loses_no_pair(spark, make_docs):
+    words = prose(5, 30).split()
+    fives = [w for k in range(0, 20, 5) for w in [*words[k : k + 5], f"cut{k}"]]
+    same = "again " * 12
+    docs = make_docs([(1, " ".join(fives[:18])), (2, " ".join(fives[:12])), (3, same[:36]), (4, "again again again again again")])
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, same)], "item_id long, text string").withColumn("words", F.lit("x")).withColumn("seeds", F.lit(0))
+    rows = tiling.overlaps(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched_words) for r in rows) == [(1, 1, 15), (3, 2, 6)]
+
+
 def test_url_rules(spark):
     urls = [None, "", "a.b/c", "http://A.NET", "http://A.NET/", "http://x.example.net/en/1", "http://q.net?x", "http://notnet/", "http://org/fr/x",
             "https://m.example.com/de/9#t", "https://m.example.com/dex", "http://a.net:80/", "x://y://org/fr/"]

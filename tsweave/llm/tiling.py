@@ -4,16 +4,20 @@
    fixed size over all seeds tells, while documents are read once, which of
    their words can lie in a match; the rest of a text never leaves its task.
 2. The surviving runs meet the items in a join on the seed.
-3. Each pair that shares a seed is tiled: the longest common runs that do not
+3. A tile of ``n`` words holds ``n - min_match + 1`` seeds of the item, at least
+   one for each ``min_match`` words, so a pair with fewer shared seeds than the
+   coverage needs is left out. The others are tiled: the longest common runs that do not
    overlap are marked again and again, found by rolling (Karp-Rabin) hashes of
-   falling length, until none of ``min_match`` words is left. The share of an
-   item's words that lie in tiles is its coverage, whatever their order.
+   falling length, until none of ``min_match`` words is left. What a longer
+   tile leaves of a match waits for its turn by length. The share of an item's
+   words that lie in tiles is its coverage, whatever their order.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -70,6 +74,17 @@ def tiles(item: list[int], text: list[int], min_match: int) -> list[tuple[int, i
             n += 1
         return n
 
+    def rest(n: int, i: int, j: int) -> Iterator[tuple[int, int, int]]:
+        """The unmarked parts of a match, as heap entries: longest first, then by place."""
+        begin = None
+        for k in range(n + 1):
+            free = k < n and not taken_item[i + k] and not taken_text[j + k]
+            if free and begin is None:
+                begin = k
+            elif not free and begin is not None:
+                yield begin - k, i + begin, j + begin
+                begin = None
+
     size = max(min_match, min(len(item), 4 * min_match))
     while True:
         places = defaultdict(list)
@@ -82,24 +97,29 @@ def tiles(item: list[int], text: list[int], min_match: int) -> list[tuple[int, i
                 if i and j and item[i - 1] == text[j - 1] and not taken_item[i - 1] and not taken_text[j - 1]:
                     continue
                 if (n := reach(i, j)) >= size:
-                    matches.append((n, i, j))
-        matches.sort(key=lambda m: (-m[0], m[1], m[2]))
-        again = False
-        for n, i, j in matches:
-            if any(taken_item[i : i + n]) or any(taken_text[j : j + n]):
-                again = True  # what is left of it may still be a match
+                    matches.append((-n, i, j))
+        heapq.heapify(matches)
+        while matches:
+            n, i, j = heapq.heappop(matches)
+            parts = list(rest(-n, i, j))
+            if parts == [(n, i, j)]:
+                taken_item[i : i - n] = taken_text[j : j - n] = [True] * -n
+                found.append((i, j, -n))
                 continue
-            taken_item[i : i + n] = taken_text[j : j + n] = [True] * n
-            found.append((i, j, n))
-        if again:
-            continue
+            # What longer tiles left of it waits for its turn by length; parts below this size are met in a later pass.
+            for part in parts:
+                if -part[0] >= size:
+                    heapq.heappush(matches, part)
         if size == min_match:
             return found
         size = max(min_match, size // 2)
 
 
 def _items(benchmark: DataFrame, min_match: int) -> DataFrame:
-    """Each distinct item with its words and its distinct seeds; items too short for a seed are left out."""
+    """Each distinct item with its words, their number, and its distinct seeds and how often each stands there.
+
+    Items too short for a seed are left out.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
@@ -109,18 +129,20 @@ def _items(benchmark: DataFrame, min_match: int) -> DataFrame:
                 own = word[first[i] : first[i + 1]]
                 if len(own) >= min_match:
                     seeds, _ = T.grams(own, np.array([0, len(own)]), min_match)
-                    rows.append((i, own.tobytes(), np.unique(seeds).view(np.int64)))
+                    seeds, times = np.unique(seeds, return_counts=True)
+                    rows.append((i, own.tobytes(), len(own), seeds.view(np.int64), times))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
                     pa.array([r[1] for r in rows], pa.binary()),
-                    pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                    pa.array([r[2] for r in rows], pa.int64()),
+                    *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (3, 4)),
                 ],
-                ["item_id", "item", "seeds"],
+                ["item_id", "item", "words", "seeds", "times"],
             )
 
     items = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
-    return items.mapInArrow(read, "item_id long, item binary, seeds array<long>").withColumn("item_key", F.xxhash64("item_id", "item"))
+    return items.mapInArrow(read, "item_id long, item binary, words long, seeds array<long>, times array<long>").withColumn("item_key", F.xxhash64("item_id", "item"))
 
 
 def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
@@ -180,13 +202,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
     columns are not read.
     """
     items = materialise(_items(benchmark, min_match), "benchmark-items")
-    seeds = items.select("item_key", F.explode("seeds").alias("seed"))
+    seeds = items.select("item_key", "words", F.inline(F.arrays_zip(F.col("seeds").alias("seed"), F.col("times").alias("times"))))
     hits = materialise(_runs(docs, _bitmap(seeds, bits), min_match), "benchmark-runs").dropDuplicates(["row_key"])
     shared = (
         hits.select("row_key", F.explode("seeds").alias("seed"))
         .join(seeds, "seed")
         .groupBy("row_key", "item_key")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("times").alias("n"), F.max("words").alias("words"))
+        # Exact: tiles that cover enough words hold at least so many places of seeds.
+        .where(F.col("n") * min_match >= F.floor(F.col("words") * coverage))
     )
     pairs = (
         shared.select("row_key", "item_key")
