@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 import corpus_pipeline
 from tests.llm.conftest import prose
 from tsweave.llm import jaccard, lm_score, text as T
-from tsweave.llm.components import components
+from tsweave.llm.components import _forest, components
 from tsweave.llm.trie import EliasFano, Trie
 
 
@@ -100,6 +100,18 @@ def test_jaccard_of_nothing(make_docs):
     assert jaccard.jaccard_components(make_docs([(1, None), (1, None)])).count() == 2
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9, 30), st.integers(-9, 30)).filter(lambda e: e[0] != e[1]), min_size=1, max_size=60))
+def test_thinned_edges_keep_components(edges):
+    a, b = np.array(edges, np.int64).T
+    least = {n: n for n in {*a.tolist(), *b.tolist()}}
+    for _ in least:
+        for x, y in edges:
+            least[x] = least[y] = min(least[x], least[y])
+    got = dict(zip(*(c.tolist() for c in _forest(a, b))))
+    assert got == {n: c for n, c in least.items() if n != c}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (100, 101), (7, 7), (60, 61), (61, 60)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
