@@ -459,3 +459,26 @@ def test_fits_that_cannot_be_inverted_do_not_stop_the_rest(spark, panel_of):
     out = arima.in_sample(Panel.of(panel_of({"a": y, "b": y, "no fit": y})), fits, (1, 0, 1)).df
     n = {r.series_id: r.n for r in out.groupBy("series_id").agg(F.count("predicted").alias("n")).collect()}
     assert n["b"] == 2999 and 0 < n["a"] < 2999 and n["no fit"] == 0
+
+
+@pytest.mark.parametrize("layout", ["series", "blocks"])
+@pytest.mark.parametrize("block", [50, 1 << 16])
+def test_many_lags_by_blocks_equal_direct_sums(spark, panel_of, monkeypatch, layout, block):
+    monkeypatch.setattr(moments, "FFT_BLOCK_ROWS", block)
+    rng = np.random.default_rng(8)
+    long, short = np.cumsum(rng.normal(size=3000)), rng.normal(size=40)
+    panel = Panel.of(panel_of({"a": list(long), "b": list(short), "c": [5.0]}), layout=layout, **({"block_rows": 1200} if layout == "blocks" else {}))
+    got = {r.series_id: r for r in moments.lag_products(panel, 1000, keep=3).collect()}
+    for name, y in (("a", long), ("b", short), ("c", np.array([5.0]))):
+        u = y - y.mean()
+        direct = [float(u[k:] @ u[: len(u) - k]) if k < len(u) else 0.0 for k in range(1001)]
+        np.testing.assert_allclose(got[name].products, direct, atol=1e-9 * max(1.0, direct[0]))
+    assert np.allclose(got["a"].tail, (long - long.mean())[::-1][:3])
+
+
+def test_many_lags_over_nulls(spark, panel_of):
+    y = [1.0, None, 4.0, 2.0, None, 7.0] * 20
+    got = moments.lag_products(Panel.of(panel_of({"a": y})), 60, keep=0).first()
+    mean = np.mean([v for v in y if v is not None])
+    u = np.array([0.0 if v is None else v - mean for v in y])
+    np.testing.assert_allclose(got.products, [u[k:] @ u[: len(u) - k] for k in range(61)], atol=1e-9)

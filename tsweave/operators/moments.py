@@ -12,12 +12,15 @@ work on those rows.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tsweave.operators.panel import Panel
+from tsweave.operators.panel import Panel, join_series
 
-# Up to here every lag is its own aggregate; beyond, lags become rows.
+# Up to here every lag is its own aggregate; beyond, blocks are transformed.
 MAX_LAG_COLUMNS = 48
+# Least rows of a block that one task transforms at once.
+FFT_BLOCK_ROWS = 1 << 16
 
 
 def lag_products(panel: Panel, max_lag: int, rows: Column | None = None, keep: int | None = None) -> DataFrame:
@@ -60,12 +63,10 @@ def lag_products(panel: Panel, max_lag: int, rows: Column | None = None, keep: i
         return sums.select(spec.key, "m", "present", "centre", "total", *[a.alias(k) for k, a in arrays.items()])
 
     sums = part.df.groupBy(spec.key).agg(*base)
-    held = F.collect_list(F.struct(u.alias("v")))
-    lagged = part.over(max_lag, lambda w: {"_past": held.over(w.rowsBetween(-max_lag, 0))})
     products = (
-        lagged.df.select(spec.key, "_u", F.posexplode(F.reverse("_past")).alias("k", "_then"))
+        _block_products(part.df.select(spec.key, "pos", "_u"), spec.key, max_lag)
         .groupBy(spec.key, "k")
-        .agg(F.sum(u * F.col("_then.v")).alias("p"))
+        .agg(F.sum("p").alias("p"))
         .groupBy(spec.key)
         .agg(F.map_from_entries(F.collect_list(F.struct("k", "p"))).alias("_p"))
     )
@@ -80,10 +81,13 @@ def lag_products(panel: Panel, max_lag: int, rows: Column | None = None, keep: i
     )
 
     def as_array(entries: str, size: int, kind: str) -> Column:
+        if not size:
+            return F.array().cast("array<double>")
         places = F.sequence(F.lit(0).cast(kind), F.lit(size - 1).cast(kind))
         return F.transform(places, lambda i: F.try_element_at(F.col(entries), i))
 
-    return sums.join(products, spec.key).join(ends, spec.key).select(
+    found = join_series(join_series(sums, products, [spec.key], "left"), ends, [spec.key], "left")
+    return found.select(
         spec.key, "m", "present", "centre", "total",
         F.transform(as_array("_p", max_lag + 1, "int"), lambda p: F.coalesce(p, F.lit(0.0))).alias("products"),
         as_array("_h", keep, "bigint").alias("head"),
@@ -91,6 +95,40 @@ def lag_products(panel: Panel, max_lag: int, rows: Column | None = None, keep: i
     )
 
 
+def _block_products(rows: DataFrame, key: str, max_lag: int) -> DataFrame:
+    """``key, k, p``: for each block of consecutive positions the sums of u[t]*u[t-k], t in the block, k up to ``max_lag``.
+
+    ``rows`` has ``key, pos, _u``. A block is lent the ``max_lag`` rows before it, and its products with all of
+    them come from one Fourier transform, so a row costs the logarithm of the block's length and not
+    one product a lag. Nulls and missing positions count as zero.
+    """
+    # Blocks at least as long as the lags lend to the next one alone, and at least half of what a task reads is its own.
+    size = max(FFT_BLOCK_ROWS, max_lag)
+    own = F.floor(F.col("pos") / size)
+    dealt = F.when(F.col("pos") % size >= size - max_lag, F.array(own, own + 1)).otherwise(F.array(own))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def products(table: pa.Table) -> pa.Table:
+        block = table.column("_block")[0].as_py()
+        at = table.column("pos").to_numpy() - block * size + max_lag
+        u = np.nan_to_num(table.column("_u").to_numpy())
+        if at.max() < max_lag:  # lent rows alone: the series ends before this block
+            at = at[:0]
+            u = u[:0]
+        first = at.min() if len(at) else 0
+        both = np.zeros(at.max() - first + 1 if len(at) else 1)
+        both[at - first] = u
+        here = both.copy()
+        here[: max(0, max_lag - first)] = 0.0
+        width = 1 << int(len(both) + max_lag - 1).bit_length()
+        sums = np.fft.irfft(np.fft.rfft(here, width) * np.conj(np.fft.rfft(both, width)), width)
+        lags = np.arange(min(max_lag, len(both) - 1) + 1)
+        name = pa.array([table.column(key)[0].as_py()], table.schema.field(key).type).take(pa.array(np.zeros(len(lags), np.int64)))
+        return pa.table({key: name, "k": pa.array(lags.astype(np.int32)), "p": pa.array(sums[lags])})
+
+    return rows.withColumn("_block", F.explode(dealt)).groupBy(key, "_block").applyInArrow(products, f"`{key}` {kind}, k int, p double")
+
+
 class Batch:
     """Lag products of many series as numpy arrays, one row per series."""
 

@@ -568,6 +568,16 @@ def long_series_acf(spark, folder):
     return rounded(diagnostics.acf(panel, 20))
 
 
+def long_series_acf_1000(spark, folder):
+    """A thousand lags of one series that is cut: blocks are transformed, no lag is a column or a row of its own."""
+    return rounded(diagnostics.acf(Panel.of(all_events(spark, folder), layout="blocks"), 1000))
+
+
+def acf_240(spark, folder):
+    """Ten days of hourly lags for every series."""
+    return rounded(diagnostics.acf(_hourly_panel(spark, folder), 240))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -584,6 +594,6 @@ QUERIES = {
         persistence_eval, messy_pipeline_eval, persistence_windows_eval, mean_benchmark, baseline_compare, baseline_side_by_side,
         rf_eval, rf_date_parts_eval, gbt_eval, gbt_loss_curve, model_compare,
         sequence_predictions, sequence_predictions_1, sequence_eval, sequence_eval_1, sequence_forecast, tree_forecast, tree_forecast_year,
-        save_load_forecast, series_roundtrip, csv_roundtrip, quoted_csv_roundtrip, strict_timestamps, reuse_forecast, panel_union, long_series_features, long_series_acf,
+        save_load_forecast, series_roundtrip, csv_roundtrip, quoted_csv_roundtrip, strict_timestamps, reuse_forecast, panel_union, long_series_features, long_series_acf, long_series_acf_1000, acf_240,
     )
 }

@@ -172,6 +172,28 @@ SELECT w.series_id, CAST(w.step AS BIGINT) AS step, last_ts + to_days(CAST(w.ste
   {r('lo + (w.y + 1) / 2 * (hi - lo)', 4)} AS predicted, CAST(NULL AS VARCHAR) AS reason
 FROM walk w JOIN seed USING (series_id)"""
 
+def long_acf(lags: int) -> str:
+    """Autocorrelation of all events as one series, by a self-join on positions."""
+    return f"""WITH d AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i,
+    value - avg(value) OVER () AS u, count(*) OVER () AS m FROM events),
+  k AS (SELECT range AS lag FROM range(0, {lags + 1})),
+  c AS (SELECT k.lag, a.m, sum(a.u * b.u) AS p FROM k, d a, d b WHERE b.i = a.i - k.lag GROUP BY 1, 2),
+  z AS (SELECT c.lag, c.m, c.p / c0.p AS acf FROM c, c c0 WHERE c0.lag = 0)
+  SELECT 'all' AS series_id, CAST(lag AS BIGINT) AS lag, {r('acf')} AS acf, CASE WHEN lag = 0 THEN 0 ELSE
+  {r('''1.959963984540054 * sqrt((1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN acf * acf END) OVER (
+    ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / m)''')} END AS band FROM z"""
+
+
+PER_HOUR_ACF = f"""WITH {HOURLY_PLACED}, d AS (
+  SELECT series_id, pos, count(*) OVER (PARTITION BY series_id) AS m, value - avg(value) OVER (PARTITION BY series_id) AS u FROM p),
+k AS (SELECT range AS lag FROM range(0, 241)),
+c AS (SELECT a.series_id, k.lag, a.m, sum(a.u * b.u) AS p FROM d a, k, d b
+  WHERE b.series_id = a.series_id AND b.pos = a.pos - k.lag GROUP BY 1, 2, 3),
+z AS (SELECT c.series_id, c.lag, c.m, c.p / c0.p AS acf FROM c JOIN c c0 ON c0.series_id = c.series_id AND c0.lag = 0)
+SELECT series_id, CAST(lag AS BIGINT) AS lag, {r('acf')} AS acf, CASE WHEN lag = 0 THEN 0 ELSE
+  {r('''1.959963984540054 * sqrt((1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN acf * acf END) OVER (PARTITION BY series_id
+    ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / m)''')} END AS band FROM z"""
+
 PACF = f"""WITH RECURSIVE {HOURLY_PLACED}, t AS (SELECT *, {CUT} AS m FROM p), d AS (
   SELECT series_id, pos, m, value - avg(value) OVER (PARTITION BY series_id) AS u FROM t WHERE pos < m),
 k AS (SELECT range AS lag FROM range(0, 21)),
@@ -393,12 +415,7 @@ ORACLES: dict[str, str] = {
       f AS (SELECT *, {FEATURES}, row_number() OVER ({W}) - 1 AS pos, {history()} AS x FROM u)
       SELECT seq, CAST(pos AS BIGINT) AS pos, {r('lag1')} AS lag1, {r('lag2')} AS lag2, {r('rm')} AS rolling_mean_3,
       coalesce(x, '') AS x FROM f""",
-    "long_series_acf": """WITH d AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i,
-        value - avg(value) OVER () AS u, count(*) OVER () AS m FROM events),
-      k AS (SELECT range AS lag FROM range(0, 21)),
-      c AS (SELECT k.lag, a.m, sum(a.u * b.u) AS p FROM k, d a, d b WHERE b.i = a.i - k.lag GROUP BY 1, 2),
-      z AS (SELECT c.lag, c.m, c.p / c0.p AS acf FROM c, c c0 WHERE c0.lag = 0)
-      SELECT 'all' AS series_id, CAST(lag AS BIGINT) AS lag, """ + r("acf") + """ AS acf, CASE WHEN lag = 0 THEN 0 ELSE """
-    + r("""1.959963984540054 * sqrt((1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN acf * acf END) OVER (
-        ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / m)""") + """ END AS band FROM z""",
+    "long_series_acf": long_acf(20),
+    "long_series_acf_1000": long_acf(1000),
+    "acf_240": PER_HOUR_ACF,
 }
