@@ -56,6 +56,11 @@ SPECIFIC = [
 ]
 
 
+def test_unread_layouts(spark):
+    df = spark.createDataFrame([("25.11.2021",), ("01.2.2021",), ("2021-11-25",), (None,), ("",), ("soon",)], "t string")
+    assert sorted(map(tuple, dates.unread_layouts(df, "t").collect())) == [("", 1, ""), ("9.9.9", 2, "01.2.2021"), ("a", 1, "soon")]
+
+
 def test_most_specific(spark):
     assert column(spark, [t for t, _ in SPECIFIC], dates.parse_dates) == [v for _, v in SPECIFIC]
 

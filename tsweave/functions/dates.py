@@ -7,7 +7,7 @@ the first layout that yields a timestamp wins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The pieces a layout is made of. Every piece is one group.
 DAY = r"(3[0-1]|[1-2][0-9]|0[1-9]|[1-9]| [1-9])"
@@ -113,6 +113,20 @@ def parse_dates(text: Column, mode: str = "most_specific") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def unread_layouts(df: DataFrame, text: str, mode: str = "most_specific") -> DataFrame:
+    """``shape, n, example``: what texts that no layout reads look like, and how many there are of each.
+
+    A shape has 9 for each run of digits and ``a`` for each run of letters. Nulls are not counted;
+    the example is the least text of its shape.
+    """
+    shape = F.regexp_replace(F.regexp_replace(text, "[0-9]+", "9"), r"\p{L}+", "a")
+    return (
+        df.where(F.col(text).isNotNull() & parse_dates(F.col(text), mode).isNull())
+        .groupBy(shape.alias("shape"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(text).alias("example"))
+    )
+
+
 def parse_timestamp(text: Column, fmt: str | None = None, strict: bool = False) -> Column:
     """ISO text, or text in the given pattern, to ``timestamp_ntz``.
 

@@ -100,6 +100,11 @@ def parse_dates_first_match(spark, folder):
     )
 
 
+def unread_dates(spark, folder):
+    """Shapes of the texts that no short layout reads, with counts."""
+    return dates.unread_layouts(series.text_dates(spark, folder), "text", "first_match")
+
+
 def parse_dates_most_specific(spark, folder):
     return series.text_dates(spark, folder).select(
         "event_id", "text", dates.parse_dates(F.col("text")).alias("parsed")
@@ -581,7 +586,7 @@ def acf_240(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        table_profile, null_counts, clean_numeric, parse_dates_first_match, parse_dates_most_specific,
+        table_profile, null_counts, clean_numeric, parse_dates_first_match, parse_dates_most_specific, unread_dates,
         parse_iso, concat_day_hour, dropna_then_project, preview_head_tail, first_rows,
         calendar_features, cyclical_features, lag_rolling_features, leak_safe_features, warmup_drop,
         split_floor, split_ceil_overlap, split_ceil_overlap_hourly, split_counts,

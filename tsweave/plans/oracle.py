@@ -265,6 +265,10 @@ ORACLES: dict[str, str] = {
       WHEN event_id % 19 IN (0, 8, 9, 10) THEN CAST(date_trunc('month', ts) AS TIMESTAMP)
       WHEN event_id % 19 = 16 THEN CASE WHEN month(ts) = 5 THEN CAST(date_trunc('month', ts) AS TIMESTAMP) END
       WHEN event_id % 19 < 16 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) END AS parsed FROM t""",
+    "unread_dates": f"""WITH {TEXT_DATES}, s AS (
+        SELECT text, regexp_replace(regexp_replace(text, '[0-9]+', '9', 'g'), '[A-Za-z]+', 'a', 'g') AS shape
+        FROM t WHERE event_id % 19 = 17 OR (event_id % 19 = 16 AND month(ts) <> 5))
+      SELECT shape, count(*) AS n, min(text) AS example FROM s GROUP BY 1""",
     "parse_dates_most_specific": f"""WITH {TEXT_DATES} SELECT event_id, text, try_strptime(text, [
       '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M', '%d-%m-%Y %H:%M:%S', '%m/%d/%Y %I:%M %p', '%a, %d %b %Y %H:%M:%S GMT',
       '%A, %B %d, %Y', '%Y-%m-%d', '%d-%m-%Y', '%m/%d/%Y', '%Y/%m/%d', '%B %d, %Y', '%b %d, %Y', '%d-%b-%Y',
