@@ -101,6 +101,7 @@ def recursive_path(seeds: DataFrame, forest: FlatForest, horizon: int, window: s
 
     Windows run from the oldest value to the newest. A window with a null or a
     not-a-number has a path of nulls; windows of one table are equally long.
+    ``forest`` may be any model with a ``predict`` of its own.
     """
     shared = seeds.sparkSession.sparkContext.broadcast(forest)
     kept = [f for f in seeds.schema.fields if f.name != "path"]

@@ -480,6 +480,24 @@ def tree_forecast_year(spark, folder):
     return rounded(forecaster.SequenceForecaster("random_forest").fit(_hourly_panel(spark, folder)).forecast(365), 5)
 
 
+RECURRENT = {"units": 16, "epochs": 12, "batches": 4, "rate": 0.02}
+
+
+def recurrent_eval(spark, folder):
+    """Errors of a recurrent model on twelve values, by series and part."""
+    return rounded(forecaster.SequenceForecaster("recurrent", settings=RECURRENT).fit(_hourly_panel(spark, folder)).errors(), 5)
+
+
+def recurrent_loss_curve(spark, folder):
+    """Train and validation loss of a recurrent model after each epoch."""
+    return rounded(forecaster.SequenceForecaster("recurrent", settings=RECURRENT).fit(Panel.of(user_events(spark, folder))).loss_curve(), 6)
+
+
+def recurrent_forecast(spark, folder):
+    """A month of a recurrent model fed with its own output, steps as long as the data's own."""
+    return rounded(forecaster.SequenceForecaster("recurrent", settings=RECURRENT).fit(_hourly_panel(spark, folder)).forecast(30, step="infer"), 5)
+
+
 # Saving, many datasets, one long series
 
 
@@ -599,6 +617,7 @@ QUERIES = {
         persistence_eval, messy_pipeline_eval, persistence_windows_eval, mean_benchmark, baseline_compare, baseline_side_by_side,
         rf_eval, rf_date_parts_eval, gbt_eval, gbt_loss_curve, model_compare,
         sequence_predictions, sequence_predictions_1, sequence_eval, sequence_eval_1, sequence_forecast, tree_forecast, tree_forecast_year,
+        recurrent_eval, recurrent_loss_curve, recurrent_forecast,
         save_load_forecast, series_roundtrip, csv_roundtrip, quoted_csv_roundtrip, strict_timestamps, reuse_forecast, panel_union, long_series_features, long_series_acf, long_series_acf_1000, acf_240,
     )
 }

@@ -12,6 +12,7 @@ from tsweave.operators.evaluate import evaluate
 from tsweave.operators.forecast import dated, recursive_linear, recursive_model, step_lengths
 from tsweave.operators.linear import LinearWindowModel, fit_linear
 from tsweave.operators.panel import Panel, join_series
+from tsweave.operators.recurrent import RecurrentModel, fit_recurrent
 from tsweave.operators.scaling import RANGE, minmax, unscale
 from tsweave.operators.splits import OVERLAP, TRAIN_SHARE, floor_cut, split_ceil_overlap
 from tsweave.operators.windows import WINDOW_LENGTH, clean_windows, require_clean_windows, seed_windows, split_windows
@@ -32,6 +33,9 @@ class SequenceForecaster:
     ``seed_in_test`` it must lie in the test part, and a series whose test part
     is too short for it has null predictions. ``strict`` stops a run at the
     first null or NaN in a window; otherwise it only costs the windows it is in.
+
+    ``model`` is ``linear``, ``recurrent`` or a tree model; ``settings`` are those of
+    ``fit_recurrent`` or of the trees.
     """
 
     model: str = "linear"
@@ -62,6 +66,9 @@ class SequenceForecaster:
         if self.model == "linear":
             used = F.col("train_rows") - (0 if self.aligned else 1)
             fitted = fit_linear(replace(scaled, spec=replace(spec, value="scaled")), self.length, used, self.strict)
+        elif self.model == "recurrent":
+            usable = windows if self.strict else clean_windows(windows)
+            fitted = fit_recurrent(usable, spec.key, **self.settings)
         else:
             pipeline = models.window_pipeline(self.model, self.length, **self.settings)
             usable = windows if self.strict else clean_windows(windows)
@@ -82,7 +89,7 @@ class SequenceForecaster:
 @dataclass(frozen=True)
 class FittedSequence:
     config: SequenceForecaster
-    model: PipelineModel | LinearWindowModel
+    model: PipelineModel | LinearWindowModel | RecurrentModel
     state: DataFrame
     steps: DataFrame
     spec: SeriesSpec = PANEL
@@ -107,6 +114,8 @@ class FittedSequence:
         return evaluate(scored, [self.spec.key, "model", "split"])
 
     def loss_curve(self) -> DataFrame:
+        if isinstance(self.model, RecurrentModel):
+            return self.model.loss_curve(self.state.sparkSession)
         windows = self.windows if self.config.strict else clean_windows(self.windows)
         return models.loss_curve(self.model, windows.select("split", "x", "y"), "y")
 
@@ -134,6 +143,8 @@ class FittedSequence:
         pipeline = self.model
         if isinstance(self.model, LinearWindowModel):
             pipeline, settings["linear"] = None, asdict(self.model)
+        elif isinstance(self.model, RecurrentModel):
+            pipeline, settings["recurrent"] = None, asdict(self.model)
         save_artefact(path, pipeline, join_series(self.state, self.steps, [self.spec.key]), settings)
 
     @classmethod
@@ -142,6 +153,9 @@ class FittedSequence:
         if "linear" in settings:
             line = settings["linear"]
             model = LinearWindowModel(tuple(line["weights"]), line["intercept"])
+        elif "recurrent" in settings:
+            cells = settings["recurrent"]
+            model = RecurrentModel(cells["units"], tuple(cells["weights"]), tuple(map(tuple, cells["losses"])))
         else:
             model = load_pipeline(path)
         config = settings["config"]
