@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from tsweave.llm import cost_packing, token_matrix, tokens
+from tsweave.llm import cost_packing, packing, token_matrix, tokens
 
 
 @pytest.fixture(scope="module")
@@ -80,6 +81,22 @@ def test_little_padding(spark, small, reference):
         assert 1 - sum(r.length for r in rows) / (2048 * len(sequences)) < share
 
 
+def test_a_shard_is_gathered_piece_by_piece(monkeypatch):
+    """A full shard leaves its worker in small batches, and takes less memory than its ids do."""
+    ids = np.arange(4 << 20, dtype=np.uint32)
+    place = np.append(np.arange(0, len(ids), 3000), len(ids))
+    shard = packing.Shard(pa.array(np.arange(len(place) - 1)), ids, place)
+    monkeypatch.setattr(packing, "numbered", lambda *_: iter([(0, shard)]))
+    found, largest = 0, 0
+    tracemalloc.start()
+    for batch in cost_packing.packed(iter([]), "", 2048, cost_packing.QUADRATIC_AT, 4 << 20):
+        found += sum(batch.column(2).to_pylist())
+        largest = max(largest, batch.column(3).nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == len(ids) and largest < 8 * cost_packing.BATCH_TOKENS and peak < ids.nbytes
+
+
 def test_matrix_round_trip(spark, small, tmp_path, reference):
     path = f"file:{tmp_path}/blocks"
     token_matrix.write_matrices(small("documents"), path, length=256)

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from tsweave.llm import packing, tokens
 
 QUADRATIC_AT = 4096
+#: Token ids that leave a worker at once.
+BATCH_TOKENS = 1 << 18
 
 
 class _Room:
@@ -110,6 +112,45 @@ def balance(length: np.ndarray, capacity: int, quadratic_at: int = QUADRATIC_AT)
     return out
 
 
+def rows_of(count: np.ndarray) -> Iterator[slice]:
+    """Runs of pieces of about ``BATCH_TOKENS`` ids each."""
+    ends, begin = np.cumsum(count), 0
+    while begin < len(count):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + BATCH_TOKENS, "right")))
+        yield slice(begin, end)
+        begin = end
+
+
+def packed(batches: Iterator[pa.RecordBatch], path: str, length: int, quadratic_at: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of a task's documents, about ``BATCH_TOKENS`` ids at a time."""
+    for first, shard in packing.numbered(batches, path, shard_tokens):
+        doc, start, size = shard.cut(length)
+        placed = np.array(balance(size, length, quadratic_at), np.int64).reshape(-1, 5)
+        placed = placed[np.lexsort((placed[:, 4], placed[:, 3]))]
+        piece, within, count, sequence, offset = placed.T
+        begin = shard.place[doc[piece]] + start[piece] + within
+        tokens_of = np.diff(shard.place)
+        for some in rows_of(count):
+            # Only the ids of one batch are gathered at a time.
+            own = packing.gathered(shard.ids, begin[some], count[some]).astype("<u4")
+            at = np.concatenate([[0], np.cumsum(count[some])])
+            bounds = (at * 4).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    shard.doc_id.take(pa.array(doc[piece[some]])),
+                    pa.array(start[piece[some]] + within[some]),
+                    pa.array(count[some]),
+                    pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(own))]),
+                    pa.array(packing.crc32_of(own, at[:-1], count[some])),
+                    pa.array(tokens_of[doc[piece[some]]]),
+                    pa.array(sequence[some] + first),
+                    pa.array(offset[some]),
+                ],
+                ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            )
+
+
 def pack_balanced(docs: DataFrame, length: int = packing.LENGTH, quadratic_at: int = QUADRATIC_AT,
                   tokenizer: str | None = None, shard_tokens: int = packing.SHARD_TOKENS) -> DataFrame:
     """Pieces of all documents, each with its sequence.
@@ -122,32 +163,7 @@ def pack_balanced(docs: DataFrame, length: int = packing.LENGTH, quadratic_at: i
     path = tokenizer or tokens.default_path()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, shard in packing.numbered(batches, path, shard_tokens):
-            doc, start, size = shard.cut(length)
-            placed = np.array(balance(size, length, quadratic_at), np.int64).reshape(-1, 5)
-            placed = placed[np.lexsort((placed[:, 4], placed[:, 3]))]
-            piece, within, count, sequence, offset = placed.T
-            begin = shard.place[doc[piece]] + start[piece] + within
-            ids = packing.gathered(shard.ids, begin, count).astype("<u4")
-            at = np.concatenate([[0], np.cumsum(count)])
-            step = max(1, 1 << 13)
-            for k in range(0, len(piece), step):
-                some = slice(k, k + step)
-                own = ids[at[k] : at[min(k + step, len(piece))]]
-                bounds = ((at[k : min(k + step, len(piece)) + 1] - at[k]) * 4).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        shard.doc_id.take(pa.array(doc[piece[some]])),
-                        pa.array(start[piece[some]] + within[some]),
-                        pa.array(count[some]),
-                        pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(own))]),
-                        pa.array(packing.crc32_of(ids, at[:-1][some], count[some])),
-                        pa.array(np.diff(shard.place)[doc[piece[some]]]),
-                        pa.array(sequence[some] + first),
-                        pa.array(offset[some]),
-                    ],
-                    ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-                )
+        return packed(batches, path, length, quadratic_at, shard_tokens)
 
     schema = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, schema)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
-from tsweave.llm import tokens
+from tsweave.llm import text as T, tokens
 
 LENGTH = 2048
 #: Tokens that a task holds before it packs them.
@@ -48,16 +48,20 @@ def shards(batches: Iterator[pa.RecordBatch], path: str, most: int = SHARD_TOKEN
     def joined() -> Shard:
         begin = np.cumsum([0, *(len(ids) for _, ids, _ in kept)])
         place = np.concatenate([p[:-1] + b for (_, _, p), b in zip(kept, begin)] + [begin[-1:]])
-        return Shard(pa.concat_arrays([d for d, _, _ in kept]), np.concatenate([ids for _, ids, _ in kept]), place)
+        out = Shard(pa.concat_arrays([d for d, _, _ in kept]), np.concatenate([ids for _, ids, _ in kept]), place)
+        kept.clear()
+        T.give_back()
+        return out
 
     for part in tokens.documents_of(batches, path):
         kept.append(part)
         held += len(part[1])
         if held >= most:
             yield joined()
-            kept, held = [], 0
+            held = 0
     if kept:
         yield joined()
+    T.give_back()
 
 
 def numbered(batches: Iterator[pa.RecordBatch], path: str, most: int = SHARD_TOKENS) -> Iterator[tuple[int, Shard]]:

@@ -39,7 +39,8 @@ def worker_cache() -> dict:
 
 
 def give_back() -> None:
-    """Hand free memory back to the system: workers outlive their tasks, and keep what the largest slice took."""
+    """Hand free memory back to the system, Arrow's too: workers outlive their tasks, and keep what the largest slice took."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not this C library

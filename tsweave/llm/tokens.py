@@ -72,6 +72,7 @@ class Encoder:
         kept = T.worker_cache().setdefault("encoders", {})
         if path not in kept:
             kept[path] = Encoder(path)
+            T.give_back()
         return kept[path]
 
     def _unusual(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -143,10 +144,10 @@ class Encoder:
         place = np.append(before, length.sum())[first]
         if unusual.any():
             chosen = np.flatnonzero(unusual)
-            other = self.whole.encode_batch(column.take(pa.array(chosen)).to_pylist(), add_special_tokens=False)
             parts = [ids[place[i] : place[i + 1]] for i in range(texts)]
-            for i, e in zip(chosen, other):
-                parts[i] = np.array(e.ids, np.uint32)
+            # The library's answers take a hundred bytes a token: only the ids of a text are kept.
+            for i in chosen:
+                parts[i] = np.array(self.whole.encode(column[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
             ids = np.concatenate(parts)
             place = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, place
