@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from tsweave.llm import cost_packing, packing, token_matrix, tokens
+from tsweave.llm import cost_packing, packing, text as T, token_matrix, tokens
 
 
 @pytest.fixture(scope="module")
@@ -160,3 +160,22 @@ def test_vocabulary_merges_are_ranked():
     with open(tokens.default_path()) as f:
         assert len(json.load(f)["model"]["vocab"]) >= 50256
     assert tokens.Encoder.of(tokens.default_path()).ranked
+
+
+def test_workers_hand_back_arrow_memory(monkeypatch):
+    """A worker that waits for its next task holds no free memory of the last one."""
+    released = []
+    pool = type("Pool", (), {"release_unused": lambda self: released.append(1)})()
+    monkeypatch.setattr(T.pa, "default_memory_pool", lambda: pool)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"])], ["text"])
+    assert list(T.tidy(lambda rows: rows)(iter([batch]))) == [batch] and len(released) == 1
+    assert T.tidy_group(lambda table: table)(batch) is batch and len(released) == 2
+    assert len(list(T.slices(iter([batch])))) == 1 and len(released) == 3
+
+
+def test_the_library_is_loaded_when_needed():
+    encoder = tokens.Encoder(tokens.default_path())
+    encoder.encode(pa.array(["plain words"]))
+    assert "whole" not in vars(encoder)
+    encoder.encode(pa.array(["two  spaces"]))
+    assert "whole" in vars(encoder)

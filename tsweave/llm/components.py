@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tsweave.llm import text as T
 from tsweave.session import materialise
 
 
@@ -78,7 +79,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges are stars, after about the logarithm of the longest path.
     """
     known = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    now = materialise(known.mapInArrow(_thinned, "a long, b long").distinct(), "edges")
+    now = materialise(known.mapInArrow(T.tidy(_thinned), "a long, b long").distinct(), "edges")
     while not _settled(now):
         now = materialise(_stars(now), "stars")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tsweave.llm import packing, tokens
+from tsweave.llm import packing, text as T, tokens
 
 QUADRATIC_AT = 4096
 #: Token ids that leave a worker at once.
@@ -166,4 +166,4 @@ def pack_balanced(docs: DataFrame, length: int = packing.LENGTH, quadratic_at: i
         return packed(batches, path, length, quadratic_at, shard_tokens)
 
     schema = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.tidy(pack), schema)

@@ -90,7 +90,7 @@ def bucket_counts(docs: DataFrame, buckets: int, text: str = "text") -> np.ndarr
         bucket = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(sums[bucket])], ["bucket", "n"])
 
-    rows = docs.select(text).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(text).mapInArrow(T.tidy(count), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(buckets, np.int64)
     out[rows["bucket"]] = rows["n"]
     return out
@@ -141,7 +141,7 @@ class ImportanceFilter:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
         schema = StructType([*kept, *(StructField(c, DoubleType() if c.endswith("score") else LongType()) for c in names)])
-        out = docs.select(*(f"`{f.name}`" for f in kept)).mapInArrow(score, schema)
+        out = docs.select(*(f"`{f.name}`" for f in kept)).mapInArrow(T.tidy(score), schema)
         n, repeat = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
         failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
         return out.withColumns(

@@ -140,7 +140,7 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
         return pa.table({"piece": table.column("piece")[:1], "counts": pa.array([np.minimum(total, 65_535).astype("<u2").tobytes()], pa.binary())})
 
     schema = "piece long, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).groupBy("piece").applyInArrow(add, schema).collect()
+    rows = docs.select("text").mapInArrow(T.tidy(count), schema).groupBy("piece").applyInArrow(add, schema).collect()
     out = np.zeros(1 << TABLE_BITS, np.uint16)
     for piece, counts in rows:
         own = np.frombuffer(counts, "<u2")
@@ -291,7 +291,7 @@ def _read(docs: DataFrame, rule: Rule) -> DataFrame:
             names,
         )
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(read, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(T.tidy(read), schema)
 
 
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,10 +323,10 @@ def _coarse(read: DataFrame, prints: DataFrame, rule: Rule) -> DataFrame:
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "sure": pa.array(np.arange(len(pairs)) < len(sure))})
 
     if finer > 1:
-        sharded = entries.select("bucket", "data").mapInArrow(finely, "shard long, data binary")
+        sharded = entries.select("bucket", "data").mapInArrow(T.tidy(finely), "shard long, data binary")
     else:
         sharded = entries.select((F.col("bucket") % shards).cast("long").alias("shard"), "data")
-    met = materialise(sharded.groupBy("shard").applyInArrow(meet, "a long, b long, sure boolean"), "met")
+    met = materialise(sharded.groupBy("shard").applyInArrow(T.tidy_group(meet), "a long, b long, sure boolean"), "met")
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,8 +338,8 @@ def _coarse(read: DataFrame, prints: DataFrame, rule: Rule) -> DataFrame:
 
     side = lambda k: prints.select(F.col("print").alias(k), F.col("sketch").alias(f"sketch_{k}"), F.col("n_shingles").alias(f"size_{k}"))
     weak = met.where("NOT sure").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    weak = weak.select("a", "b", "sketch_a", "sketch_b", "size_a", "size_b").mapInArrow(possible, "a long, b long")
-    return near.select("data").mapInArrow(_pairs_of, "a long, b long").unionByName(met.where("sure").select("a", "b")).unionByName(weak)
+    weak = weak.select("a", "b", "sketch_a", "sketch_b", "size_a", "size_b").mapInArrow(T.tidy(possible), "a long, b long")
+    return near.select("data").mapInArrow(T.tidy(_pairs_of), "a long, b long").unionByName(met.where("sure").select("a", "b")).unionByName(weak)
 
 
 def _dealt(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -484,7 +484,7 @@ def _joined_here(regions: DataFrame, rule: Rule) -> DataFrame:
         regions.select("region", "print", "shingles", "home")
         .repartition("region")
         .sortWithinPartitions("region")
-        .mapInArrow(join, "a long, b long")
+        .mapInArrow(T.tidy(join), "a long, b long")
     )
 
 
@@ -624,7 +624,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
                 [batch.column(0), batch.column(1), packed, pa.array(np.ones(batch.num_rows, bool))], ["region", "print", "shingles", "home"]
             )
 
-    regions = materialise(texts.mapInArrow(sets, "region long, print long, shingles binary, home boolean"), "sets")
+    regions = materialise(texts.mapInArrow(T.tidy(sets), "region long, print long, shingles binary, home boolean"), "sets")
     links = None
     for some in _links(regions, rule):
         links = some if links is None else links.unionByName(some)

@@ -113,7 +113,7 @@ class LanguageModel:
         classes = [r["code"] for r in named.orderBy(F.desc("n"), "code").limit(MOST_CLASSES).collect()]
         rows = (
             docs.select(text, code).where(F.col("code").isin(classes))
-            .mapInArrow(count, "language string, bucket long, n long")
+            .mapInArrow(T.tidy(count), "language string, bucket long, n long")
             .groupBy("language", "bucket").agg(F.sum("n").alias("n"))
             .toPandas()
         )
@@ -148,7 +148,7 @@ class LanguageModel:
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], evidence], [*(f.name for f in rest), "evidence"])
 
         schema = StructType([*rest, StructField("evidence", ArrayType(DoubleType()))])
-        return docs.select(text, *(f"`{f.name}`" for f in rest)).mapInArrow(score, schema)
+        return docs.select(text, *(f"`{f.name}`" for f in rest)).mapInArrow(T.tidy(score), schema)
 
     def identify(self, scored: DataFrame, voters: DataFrame, keys: list[str]) -> DataFrame:
         """Language of rows with ``evidence, declared, address, host``; null evidence says nothing.
@@ -229,7 +229,7 @@ class LanguageModel:
             *sorted(kept, key=lambda f: keys.index(f.name)), StructField("language", StringType()), StructField("posterior", DoubleType()),
             StructField("text_language", StringType()), StructField("accepted", BooleanType()),
         ])
-        return joined.mapInArrow(fuse, schema)
+        return joined.mapInArrow(T.tidy(fuse), schema)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

@@ -61,7 +61,6 @@ def shards(batches: Iterator[pa.RecordBatch], path: str, most: int = SHARD_TOKEN
             held = 0
     if kept:
         yield joined()
-    T.give_back()
 
 
 def numbered(batches: Iterator[pa.RecordBatch], path: str, most: int = SHARD_TOKENS) -> Iterator[tuple[int, Shard]]:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Parts into which an interval is cut in each round.
 BINS = 4096
+KINDS = (pa.string(), pa.int32(), pa.float64(), pa.float64())
 
 
 def order_statistics(values: DataFrame, shares: list[float]) -> dict[str, tuple[int, list[float]]]:
@@ -35,8 +37,9 @@ def order_statistics(values: DataFrame, shares: list[float]) -> dict[str, tuple[
                 del wanted[key]
         if not wanted:
             break
+        # An Arrow table needs no Python worker to be read; a list would start one more kind on every executor.
         targets = values.sparkSession.createDataFrame(
-            [(group, k, low, high) for (group, k), (low, high, _) in wanted.items()], "group string, share int, low double, high double"
+            pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*key, low, high) for key, (low, high, _) in wanted.items())), KINDS)], ["group", "share", "low", "high"])
         )
         place = F.least(F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
         bins = (

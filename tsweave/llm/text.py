@@ -10,7 +10,7 @@ import ctypes
 import hashlib
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +39,37 @@ def worker_cache() -> dict:
 
 
 def give_back() -> None:
-    """Hand free memory back to the system, Arrow's too: workers outlive their tasks, and keep what the largest slice took."""
-    pa.default_memory_pool().release_unused()
+    """Hand free memory back to the system: workers outlive their tasks, and keep what the largest slice took."""
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not this C library
         pass
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, a function on a task's batches, after which the worker hands back all free memory, Arrow's too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        give_back()
+
+    return run
+
+
+def tidy_group(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a function on one large group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = work(table)
+        del table
+        pa.default_memory_pool().release_unused()
+        give_back()
+        return out
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -78,6 +101,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(begin, end - begin)
             begin = end
             give_back()
+        pa.default_memory_pool().release_unused()
 
 
 def spans(raw: np.ndarray, at: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -142,7 +142,7 @@ def _items(benchmark: DataFrame, min_match: int) -> DataFrame:
             )
 
     items = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
-    return items.mapInArrow(read, "item_id long, item binary, words long, seeds array<long>, times array<long>").withColumn("item_key", F.xxhash64("item_id", "item"))
+    return items.mapInArrow(T.tidy(read), "item_id long, item binary, words long, seeds array<long>, times array<long>").withColumn("item_key", F.xxhash64("item_id", "item"))
 
 
 def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
@@ -189,7 +189,7 @@ def _runs(docs: DataFrame, bitmap: np.ndarray, min_match: int) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    return rows.mapInArrow(read, "doc_id long, row_key long, runs binary, seeds array<long>")
+    return rows.mapInArrow(T.tidy(read), "doc_id long, row_key long, runs binary, seeds array<long>")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE,
@@ -233,5 +233,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
             )
 
     schema = "doc_id long, row_key long, item_id long, item_words long, matched_words long, n_tiles long, longest_tile long"
-    covered = pairs.mapInArrow(tile, schema).withColumn("coverage", F.col("matched_words") / F.col("item_words"))
+    covered = pairs.mapInArrow(T.tidy(tile), schema).withColumn("coverage", F.col("matched_words") / F.col("item_words"))
     return covered.where(F.col("coverage") >= coverage)

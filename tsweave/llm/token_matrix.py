@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tsweave.llm import packing, tokens
+from tsweave.llm import packing, text as T, tokens
 
 #: Sequences in one block.
 BLOCK = 64
@@ -141,7 +141,7 @@ def matrices(docs: DataFrame, length: int = packing.LENGTH, tokenizer: str | Non
             ["shard", "first_sequence", "n_sequences", "length", "ids", "cu_seqlens", "positions", "pieces"],
         )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, BLOCKS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.tidy(pack), BLOCKS)
 
 
 def write_matrices(docs: DataFrame, path: str, **options) -> None:
@@ -181,4 +181,4 @@ def pieces(blocks: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return blocks.mapInArrow(read, schema)
+    return blocks.mapInArrow(T.tidy(read), schema)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ import pyarrow.compute as pc
 
 from tsweave.llm import text as T
 
-#: Encoding pays for distinct pieces only, so larger slices are cheaper.
-SLICE_BYTES = 4 << 20
+#: Encoding pays for distinct pieces only, so larger slices are cheaper; a slice takes some twenty times as much memory.
+SLICE_BYTES = 2 << 20
 END_ID = 1
 #: Fixed pattern of the vocabulary's family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -46,9 +47,8 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path) as f:
             file = json.load(f)
         model = file["model"]
@@ -67,6 +67,13 @@ class Encoder:
         for piece, i in ranks.items():
             self.size[i] = len(piece)
 
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer, loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def of(path: str) -> Encoder:
         kept = T.worker_cache().setdefault("encoders", {})
