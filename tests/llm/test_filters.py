@@ -109,6 +109,84 @@ def test_perplexity_of_odd_texts(spark, small, odd_docs):
     assert all(not r.kept for r in rows if r.perplexity is None)
 
 
+def _perplexity(training, text):
+    """Perplexity by recursion over whole characters, with the classes' probabilities from their own brute-force counts."""
+    pad = lambda t: "\0" * 4 + t
+    levels = {5: Counter(pad(t)[i : i + 5] for t in training for i in range(len(t)))}
+    for k in (4, 3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    keys = Counter(k for t in training for k in kneser_ney._grams(*T.laid_out(pa.array([t])))[0].tolist())
+    classes = {4: keys}
+    for k in (3, 2, 1):
+        classes[k] = Counter(g & (1 << 5 * k) - 1 for g in classes[k + 1])
+
+    def discount(level, n):
+        of = Counter(level.values())
+        i = min(n, 3)
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0
+        value = i - (i + 1) * y * of[i + 1] / of[i] if of[1] and of[i] else 0
+        return min(value, i) if value > 0 else i / 2
+
+    def share(level, own, after, lower):
+        total = sum(after)
+        if not total:
+            return lower
+        n = level.get(own, 0)
+        return ((n - discount(level, n) if n else 0) + sum(discount(level, x) for x in after) * lower) / total
+
+    def of_class(k, g):
+        if not k:
+            return 1 / 32
+        return share(classes[k], g, [n for x, n in classes[k].items() if x >> 5 == g >> 5], of_class(k - 1, g & (1 << 5 * (k - 1)) - 1))
+
+    def p(gram, base):
+        if not gram:
+            return base
+        level = levels[len(gram)]
+        return share(level, gram, [n for x, n in level.items() if x[:-1] == gram[:-1]], p(gram[1:], base))
+
+    total = 0
+    for i, g in enumerate(kneser_ney._grams(*T.laid_out(pa.array([text])))[0].tolist()):
+        base = of_class(4, g) / (1 - of_class(4, g & ~31)) / int(kneser_ney._SIZE[g & 31])
+        total += math.log(p(pad(text)[i : i + 5], base))
+    return math.exp(-total / len(text))
+
+
+def test_whole_characters_against_brute_force(spark, make_docs, monkeypatch):
+    """Counts of all blocks and shards meet; unseen characters and contexts back off; null ids and repeated rows are kept."""
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 200)
+    training = ["мама мыла раму", "мама мыла Милу", "abab abc \U0001F600", "", "语言 语言模型"]
+    asked = ["мама раму мыла", "ямам алым умар", "语模言", "ab\U0001F601ж", "q"]
+    docs = make_docs([*enumerate(training), *((10 + k, t) for k, t in enumerate(asked)), (None, asked[0]), (10, asked[0]), (30, None)]).repartition(3)
+    labels = spark.range(5).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    for column in (docs, kneser_ney.stored(docs)):
+        rows = kneser_ney.PerplexityFilter.fit(column, labels).classify(column).collect()
+        assert len(rows) == 13 and sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == [-1, 0, 1, 2, 3, 4, 10, 10, 11, 12, 13, 14, 30]
+        found = {r.doc_id: r for r in rows}
+        for k, text in [*enumerate(training), *((10 + k, t) for k, t in enumerate(asked)), (None, asked[0])]:
+            if text:
+                assert found[k].n_chars_scored == len(text) and found[k].perplexity == pytest.approx(_perplexity(training, text), rel=1e-4)
+        assert found[3].perplexity is None and not found[3].kept and not found[30].kept
+        # All of these letters were one class before, and both texts the same to it.
+        assert found[11].perplexity > 2 * found[10].perplexity
+
+
+def test_bounds_are_quantiles(spark, small):
+    docs, labels = small("documents"), small("labels")
+    model = kneser_ney.PerplexityFilter.fit(docs, labels)
+    rows = model.classify(docs).collect()
+    trusted_rows = {r.doc_id for r in labels.where("quality = 1 AND toxic = 0").collect()}
+    for name, (low, high) in model.bounds.items():
+        values = [r.perplexity for r in rows if r.doc_id in trusted_rows and r.model == name and r.perplexity is not None]
+        if name != kneser_ney.ANY:
+            assert low == pytest.approx(np.quantile(values, 0.001, method="lower") / 1.03) and high == pytest.approx(np.quantile(values, 0.999, method="higher") * 1.03)
+    for r in rows:
+        stray = math.exp(1.5 / math.sqrt(max(1, r.n_chars_scored)))
+        low, high = model.bounds[r.model]
+        assert r.kept == (r.perplexity is not None and low / stray <= r.perplexity <= high * stray)
+
+
 def test_quality_labels_are_met(spark, small):
     got = kneser_ney.PerplexityFilter.fit(small("documents"), small("labels")).classify(small("documents"))
     good = got.join(small("labels").where("quality = 1 AND toxic = 0"), "doc_id")

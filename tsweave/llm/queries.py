@@ -37,8 +37,8 @@ def op1_token_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_perplexity_filter(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return kneser_ney.PerplexityFilter.fit(docs, table(spark, folder, "labels")).classify(docs)
+    texts = kneser_ney.stored(table(spark, folder, "documents"))
+    return kneser_ney.PerplexityFilter.fit(texts, table(spark, folder, "labels")).classify(texts)
 
 
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
