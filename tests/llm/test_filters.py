@@ -187,6 +187,21 @@ def test_bounds_are_quantiles(spark, small):
         assert r.kept == (r.perplexity is not None and low / stray <= r.perplexity <= high * stray)
 
 
+def test_one_pass_gives_the_same(spark, small, monkeypatch):
+    """Scoring all documents once, and what is done where some have no language of their own, against fit and classify."""
+    docs, labels = small("documents"), small("labels")
+    rows = lambda df: sorted((r.doc_id, r.model, r.kept, round(r.perplexity or 0, 6), round(r.low, 6), round(r.high, 6)) for r in df.collect())
+    known = docs.withColumn("lang", F.lit("en"))
+    plain = rows(kneser_ney.PerplexityFilter.fit(known, labels).classify(known))
+    full = kneser_ney.PerplexityFilter.fit
+    monkeypatch.setattr(kneser_ney.PerplexityFilter, "fit", None)
+    assert rows(kneser_ney.filtered(known, labels)) == plain
+    monkeypatch.setattr(kneser_ney.PerplexityFilter, "fit", full)
+    some = known.withColumn("lang", F.when(F.col("doc_id") % 9 != 0, F.col("lang")))
+    got = kneser_ney.filtered(some, labels)
+    assert got.count() == known.count() and got.where("model = '*'").count() == known.where("doc_id % 9 = 0").count()
+
+
 def test_quality_labels_are_met(spark, small):
     got = kneser_ney.PerplexityFilter.fit(small("documents"), small("labels")).classify(small("documents"))
     good = got.join(small("labels").where("quality = 1 AND toxic = 0"), "doc_id")

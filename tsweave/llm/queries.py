@@ -37,8 +37,7 @@ def op1_token_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_perplexity_filter(spark: SparkSession, folder: str) -> DataFrame:
-    texts = kneser_ney.stored(table(spark, folder, "documents"))
-    return kneser_ney.PerplexityFilter.fit(texts, table(spark, folder, "labels")).classify(texts)
+    return kneser_ney.filtered(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
