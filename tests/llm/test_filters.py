@@ -172,6 +172,43 @@ def test_whole_characters_against_brute_force(spark, make_docs, monkeypatch):
         assert found[11].perplexity > 2 * found[10].perplexity
 
 
+def test_lists_of_ngrams_are_whole_and_short(spark, make_docs, monkeypatch):
+    """Packed lists hold every n-gram and class with its count; a context lies in one shard, and its rest is sent back once."""
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 60)
+    said = ["мама мыла раму", "abab abc \U0001F600\U0010FFFF", "", "语言 语言模型", "abca\0cab abab", None]
+    texts = kneser_ney.stored(make_docs(list(enumerate(said))).repartition(3))
+    named = kneser_ney._places(texts).select("block", "place", F.lit("xx").alias("model"))
+    rows = kneser_ney._lists(texts, named, 5, True).collect()
+    assert len({r.block for r in rows}) > 1
+    found, shards, classes = Counter(), {}, Counter()
+    for r in rows:
+        a, b = kneser_ney._unpacked(r.grams)
+        n = kneser_ney._unpack(r.n, "<u4")
+        for x, y, k in zip(a.tolist(), b.tolist(), n.tolist()):
+            if x == kneser_ney.OF_CLASSES:
+                classes[y] += k
+            else:
+                gram = [x >> 21, x & 0x1FFFFF, y >> 42, y >> 21 & 0x1FFFFF, y & 0x1FFFFF]
+                found["".join("^" if c == 0 else chr(c - 1) for c in gram)] += k
+                shards.setdefault((x, y >> 21), set()).add(r.shard)
+    assert found == Counter(("^^^^" + t)[i : i + 5] for t in said if t for i in range(len(t)))
+    assert classes == Counter(k for t in said if t for k in kneser_ney._grams(*T.laid_out(pa.array([t])))[0].tolist())
+    assert all(len(x) == 1 for x in shards.values()) and len({r.shard for r in rows}) > 1
+    sums = {(r.a, r.b): r.n for r in kneser_ney._sums(spark.createDataFrame(rows, "block long, model string, shard long, grams binary, n binary")).collect()}
+    assert sum(sums.values()) == 2 * sum(found.values()) and len(sums) == len(found) + len(classes)
+
+    a, b, _ = kneser_ney._distinct(*T.laid_out(pa.array([prose(1, 4000)])))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    contexts = len({(x, y >> 21) for x, y in zip(a.tolist(), b.tolist())})
+    asked = pa.Table.from_pylist([{"shard": 0, "block": 7, "model": "xx", "grams": kneser_ney._packed(a, b)}])
+    known = pa.table({"language": ["xx"] * len(a), "a": a, "b": b, "own": np.full(len(a), 0.5, np.float32), "rest": np.full(len(a), 0.25, np.float32)})
+    answer = kneser_ney._answer(asked, known).to_pylist()[0]
+    assert len(kneser_ney._unpack(answer["own"], "<f4")) == len(a) > 2 * contexts
+    assert len(kneser_ney._unpack(answer["rest"], "<f4")) == contexts
+    assert len(asked.column("grams")[0].as_py()) < 1.5 * len(a)
+
+
 def test_bounds_are_quantiles(spark, small):
     docs, labels = small("documents"), small("labels")
     model = kneser_ney.PerplexityFilter.fit(docs, labels)
