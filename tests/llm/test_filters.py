@@ -172,6 +172,17 @@ def test_whole_characters_against_brute_force(spark, make_docs, monkeypatch):
         assert found[11].perplexity > 2 * found[10].perplexity
 
 
+def test_gibberish_of_another_script_is_rejected(spark, make_docs):
+    """All letters here are one class: only whole characters tell words from the same letters turned round."""
+    other = str.maketrans({chr(97 + k): chr(0x430 + k) for k in range(26)})
+    words = [prose(k, 60).translate(other) for k in range(80)]
+    turned = [" ".join(w[::-1] for w in t.split()) for t in words[60:]]
+    docs = make_docs([(k, t, "ru") for k, t in enumerate(words + turned)])
+    labels = spark.range(60).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    kept = {r.doc_id for r in kneser_ney.PerplexityFilter.fit(docs, labels).classify(docs).where("kept").collect()}
+    assert not kept & set(range(80, 100)) and len(kept & set(range(60, 80))) >= 18
+
+
 def test_lists_of_ngrams_are_whole_and_short(spark, make_docs, monkeypatch):
     """Packed lists hold every n-gram and class with its count; a context lies in one shard, and its rest is sent back once."""
     monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 60)
