@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import prose
@@ -250,6 +251,68 @@ def test_jaccard_with_a_common_line(make_docs, rule):
     assert sorted(map(tuple, got)) == want and len({c for _, c in want}) >= 10
 
 
+@pytest.mark.parametrize("size", [40, 700, 5_000, 20_000])
+@pytest.mark.parametrize("rule", [jaccard.Rule(), jaccard.Rule(5, 80)])
+def test_sketches_tell_sets_of_any_size_apart(size, rule):
+    """Sets without a common shingle are never taken for linked ones; sets just alike enough always are."""
+    rng = np.random.default_rng(size)
+    sets = [rng.integers(0, 1 << 63, size + k, dtype=np.uint64) for k in range(8)]
+    gone = size * (100 - rule.percent) // 100
+    sets += [x[gone:] for x in sets]
+    shingle, first = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    sketch = jaccard._sketched(shingle, first).to_pylist()
+    fits = lambda i, j: (100 + rule.percent) * jaccard.sketch_distance([sketch[i]], [sketch[j]])[0] <= (100 - rule.percent) * (len(sets[i]) + len(sets[j]))
+    assert [[fits(i, 8 + j) for j in range(8)] for i in range(8)] == np.eye(8, dtype=bool).tolist()
+
+
+def blurred_corpus(alike):
+    """Texts of random words, the first ``alike`` of which each have lines that some others have too."""
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{w}" for w in rng.integers(0, 1 << 40, n))
+    lines = [word(14) for _ in range(alike // 4)]
+    rows = [(i, "\n".join([word(100), *(lines[k] for k in rng.integers(0, len(lines), 3))])) for i in range(alike)]
+    copies = [(alike + i, text + " end") for i, (_, text) in enumerate(rows[:40])]
+    return rows + copies + [(10_000 + i, word(100)) for i in range(4_000)], dict((alike + i, i) for i in range(40))
+
+
+def test_jaccard_cuts_wide_regions_by_their_own_counts(make_docs, monkeypatch):
+    """In a table that the corpus blurs, common lines pass for rare; the regions that they make are not joined as they are."""
+    for name, value in {"TABLE_BITS": 12, "TABLE_PIECE": 1 << 12, "AGAIN_SETS": 20}.items():
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    sizes, joined = [], jaccard._joined_here
+    monkeypatch.setattr(jaccard, "_joined_here", lambda regions, rule: sizes.append(regions.groupBy("region").count().agg(F.max("count")).first()[0] or 0) or joined(regions, rule))
+    rows, copy_of = blurred_corpus(300)
+    got = jaccard.jaccard_components(make_docs(rows), jaccard.Rule(5, 80)).select("doc_id", "component_id").collect()
+    assert dict(map(tuple, got)) == {i: copy_of.get(i, i) for i, _ in rows}
+    assert max(sizes) <= 20
+
+
+def test_jaccard_does_not_lend_sets_to_many_cells(make_docs, monkeypatch):
+    """Texts of one template, all as far from each other: pivots cannot tell them apart."""
+    for name, value in {"REGION_SETS": 40, "CHUNK_SETS": 40}.items():
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    cells, write = [], jaccard.materialise
+
+    def watched(df, name):
+        out = write(df, name)
+        cells.append(out.count() if name == "cells" else 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", watched)
+    pool = [prose(100 + k, 8) for k in range(12)]
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join([prose(99, 60), *(pool[k] for k in sorted(rng.permutation(12)[:6]))])) for i in range(200)]
+    sets = [jaccard.shingle_sets(*T.laid_out(pa.array([t])), 3)[0] for _, t in rows]
+    root = list(range(200))
+    for i in range(200):
+        for j in range(i):
+            if jaccard.Rule().linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
+                root = [root[j] if r == root[i] else r for r in root]
+    got = jaccard.jaccard_components(make_docs(rows)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(i, min(j for j in range(200) if root[j] == root[i])) for i in range(200)]
+    assert sum(cells) <= 3 * 200
+
+
 def test_pipeline_of_odd_rows(spark, odd_docs, folder):
     docs = odd_docs
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -8,12 +8,14 @@ counts of a table of fixed size, then by hash. Two linked sets share one of
 their first ``size - ceil(t * size) + 1`` shingles, so only these are dealt out
 and met; shingles that only one text can have are not even sent. Sets that
 meet on a shingle and are alike enough in size may be linked. Where few meet,
-each pair is looked at once more: the counts of the shingles by 64 hash cells
-bound the distance from below. What is left makes the regions, and no link
+each pair is looked at once more: the counts of the shingles by hash cells, more
+cells for larger sets, bound the distance from below. What is left makes the regions, and no link
 crosses them. Where many meet on a shingle they are one region without a
 further look; each task sends one of them, so a text copied a million times or
 a passage in every text is no heavy key. Any order of the shingles gives the
-same result; counts that the table blurs only make regions larger.
+same result; counts that the table blurs only make regions larger. So regions
+of many sets are cut once more in the same way, by the counts of their own
+shingles, which the table holds apart better than those of the whole corpus.
 
 *Voronoi regions.* Within a region, pivots are drawn among its sets and every
 set is measured against them. A set belongs to the cell of its nearest pivot
@@ -23,14 +25,16 @@ within ``eps`` of a pivot is linked to it. Such a set is closed, and need not
 be compared with other closed sets, if all pivots within ``2 * eps`` of it are
 linked among themselves. A closed set of a cell to which open sets are lent is
 compared all the same, as those may be closed where they are at home. Cells are joined in the same way again. Regions that
-fit a task are joined there; larger ones are split over the cluster.
+fit a task are joined there; larger ones are split over the cluster, if their
+pivots tell the sets apart. Where most sets would be lent to many cells, the
+region goes on as pairs of chunks.
 
 The result is the connected components of all links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,10 +50,10 @@ from tsweave.session import materialise
 TABLE_BITS, TABLE_PIECE = 22, 1 << 16
 #: Ratio of the bounds of a size class.
 CLASS_RATIO = 1.07
-#: Up to so many sets that meet on a shingle are looked at pair by pair.
-FEW = 8
-#: Hash cells whose counts bound the distance of two sets.
-CELLS = 64
+#: Up to so many sets that meet on a shingle are looked at pair by pair, in the whole corpus and in a region of many sets.
+FEW, FEW_AGAIN = 8, 32
+#: Hash cells whose counts bound the distance of two sets, at least and at most: one for eight shingles, or chance differences hide those of sets.
+CELLS, MOST_CELLS, SET_A_CELL = 64, 1024, 8
 #: Salts that rows of one text or component are dealt to.
 SALTS = 64
 #: Entries that one task sorts.
@@ -59,6 +63,10 @@ HELD_ENTRIES, BUCKETS = 500_000, 1024
 #: Sets, and shingles in them, of a region that one task joins.
 REGION_SETS, REGION_SHINGLES = 4_000, 4_000_000
 PIVOTS, SMALL_CELL, DEPTH = 16, 48, 3
+#: Regions of more sets are cut again by their own counts, in so many rounds at most.
+AGAIN_SETS, AGAIN_ROUNDS = 500, 3
+#: Sets, and shingles in them, that a task measures against pivots; cells that a set may be in on average.
+CHUNK_SETS, CHUNK_SHINGLES, LENT = 1_000, 500_000, 2
 
 
 @dataclass(frozen=True)
@@ -125,10 +133,19 @@ def _bucket(shingle: np.ndarray) -> np.ndarray:
 def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
     """In how many texts the shingles of each bucket stand, 65,535 at most. The table has a fixed size."""
 
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in T.slices(batches):
+            yield shingle_sets(*T.laid_out(batch.column(0)), words)[0]
+
+    return _counts(docs.select("text"), shingles)
+
+
+def _counts(rows: DataFrame, shingles: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
+    """The table of what ``shingles`` gives for the batches of ``rows``."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << TABLE_BITS, np.uint32)
-        for batch in T.slices(batches):
-            shingle, _ = shingle_sets(*T.laid_out(batch.column(0)), words)
+        for shingle in shingles(batches):
             bucket, n = np.unique(_bucket(shingle), return_counts=True)
             table[bucket] += n.astype(np.uint32)
         pieces = np.minimum(table, 65_535).astype("<u2").reshape(-1, TABLE_PIECE)
@@ -140,9 +157,9 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
         return pa.table({"piece": table.column("piece")[:1], "counts": pa.array([np.minimum(total, 65_535).astype("<u2").tobytes()], pa.binary())})
 
     schema = "piece long, counts binary"
-    rows = docs.select("text").mapInArrow(T.tidy(count), schema).groupBy("piece").applyInArrow(add, schema).collect()
+    summed = rows.mapInArrow(T.tidy(count), schema).groupBy("piece").applyInArrow(add, schema).collect()
     out = np.zeros(1 << TABLE_BITS, np.uint16)
-    for piece, counts in rows:
+    for piece, counts in summed:
         own = np.frombuffer(counts, "<u2")
         out[piece * len(own) : (piece + 1) * len(own)] = own
     return out
@@ -167,11 +184,41 @@ def size_class(size: np.ndarray) -> np.ndarray:
     return np.minimum(np.log(np.maximum(size, 1)) / np.log(CLASS_RATIO) + 1e-9, 255).astype(np.uint8)
 
 
-def sketches(shingle: np.ndarray, first: np.ndarray) -> np.ndarray:
+def sketches(shingle: np.ndarray, first: np.ndarray, cells: int = CELLS) -> np.ndarray:
     """Shingles of each set by hash cell, 255 at most: the sum of differences bounds that of the sets from below."""
-    cell = (T.mix(shingle ^ np.uint64(0x2545F491)) % np.uint64(CELLS)).astype(np.int64)
+    cell = (T.mix(shingle ^ np.uint64(0x2545F491)) % np.uint64(cells)).astype(np.int64)
     n = len(first) - 1
-    return np.minimum(np.bincount(T.owners(first) * CELLS + cell, minlength=n * CELLS), 255).astype(np.uint8).reshape(n, CELLS)
+    return np.minimum(np.bincount(T.owners(first) * cells + cell, minlength=n * cells), 255).astype(np.uint8).reshape(n, cells)
+
+
+def _sketched(shingle: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The sketch of each set, of as many cells as its size asks for: a power of two, so that halves can be laid on each other."""
+    size = np.diff(first)
+    wanted = np.maximum(size // SET_A_CELL, CELLS)
+    cells = np.minimum(1 << np.ceil(np.log2(wanted)).astype(np.int64), MOST_CELLS)
+    out = np.empty(len(size), object)
+    for n in np.unique(cells).tolist():
+        some = np.flatnonzero(cells == n)
+        length = size[some]
+        before = np.cumsum(length) - length
+        own = shingle[np.repeat(first[some] - before, length) + np.arange(length.sum())]
+        out[some] = [x.tobytes() for x in sketches(own, np.append(before, length.sum()), n)]
+    return pa.array(out.tolist(), pa.binary())
+
+
+def sketch_distance(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Sum of differences of each pair of sketches, the larger one laid together to the cells of the smaller."""
+    out = np.zeros(len(a), np.int64)
+    left, right = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    for m, n in np.unique(np.stack([left, right], 1), axis=0).tolist():
+        some = np.flatnonzero((left == m) & (right == n))
+        cells = min(m, n)
+        for part in np.array_split(some, -(-len(some) * max(m, n) // (1 << 20))):
+            x, y = (
+                np.frombuffer(b"".join(side[i] for i in part.tolist()), np.uint8).reshape(len(part), -1, cells).sum(1, dtype=np.int64) for side in (a, b)
+            )
+            out[part] = np.abs(x - y).sum(1)
+    return out
 
 
 class _Entries:
@@ -196,11 +243,11 @@ class _Entries:
         cut[1:] = group[1:] * 1024 + self.low[1:] > most[:-1] + gap
         return np.cumsum(cut) - 1
 
-    def met(self, gap: int) -> tuple[_Entries, np.ndarray, np.ndarray]:
+    def met(self, gap: int, few: int = FEW) -> tuple[_Entries, np.ndarray, np.ndarray]:
         """Entries in which runs of many sets are one, pairs within such runs, and pairs of few sets to be looked at."""
         run = self.runs(gap)
         size = np.bincount(run)
-        large = (size > FEW) | (np.bincount(run, self.many) > 0)
+        large = (size > few) | (np.bincount(run, self.many) > 0)
         least = np.full(len(size), ~np.uint64(0))
         np.minimum.at(least, run, self.own)
         low, high = np.full(len(size), 255, np.uint8), np.zeros(len(size), np.uint8)
@@ -210,7 +257,7 @@ class _Entries:
         inside = large[run]
         sure = _distinct(self.own[inside], least[run[inside]])
         weak = []
-        for k in range(1, FEW):
+        for k in range(1, few):
             i = np.flatnonzero((run[k:] == run[: max(0, len(run) - k)]) & ~inside[: max(0, len(run) - k)])
             i = i[self.low[i + k].astype(np.int64) - self.high[i] <= gap]
             weak.append((self.own[i], self.own[i + k]))
@@ -245,6 +292,29 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return pairs[one]
 
 
+def _dealt_out(prints: np.ndarray, shingle: np.ndarray, first: np.ndarray, table: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
+    """Columns of the entries of sets, equal sets counted once."""
+    size = np.diff(first)
+    _, head = np.unique(prints, return_index=True)
+    head = head[size[head] > 0]
+    length = size[head]
+    where = np.repeat(first[head] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    sig, owner = rarest(shingle[where], np.concatenate([[0], np.cumsum(length)]), table, rule)
+    kind = size_class(length)[owner]
+    return T.mix(sig), prints[head][owner], kind, kind, np.zeros(len(sig), np.uint8)
+
+
+def _packed(held: list[tuple[np.ndarray, ...]], rule: Rule, few: int) -> list[pa.Array]:
+    """``kind, bucket, n, data`` of entries: those of each bucket (kind 1), and the pairs of runs of many sets (2)."""
+    met, sure, _ = _Entries(*(np.concatenate(x) for x in zip(*held))).met(rule.class_gap, few)
+    cut = np.searchsorted(met.sig, np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS.bit_length() + 1))
+    cut = np.append(cut, len(met.sig))
+    full = np.flatnonzero(np.diff(cut))
+    data = [met[cut[i] : cut[i + 1]] for i in full] + [sure.tobytes()]
+    kinds, size = [1] * len(full) + [2], [*np.diff(cut)[full].tolist(), len(sure)]
+    return [pa.array(kinds, pa.int32()), pa.array([*full.tolist(), 0], pa.int32()), pa.array(size, pa.int64()), pa.array(data, pa.binary())]
+
+
 def _read(docs: DataFrame, rule: Rule) -> DataFrame:
     """One pass over the texts: a row for each document (kind 0), packed entries (1) and pairs of runs of many sets (2)."""
     schema = "doc_id long, row_key long, n_shingles long, print long, sketch binary, salt int, kind int, bucket int, n long, data binary"
@@ -258,20 +328,14 @@ def _read(docs: DataFrame, rule: Rule) -> DataFrame:
             shingle, first = shingle_sets(*T.laid_out(batch.column(1)), rule.words)
             prints, size = _prints(shingle, first), np.diff(first)
             rows = batch.num_rows
-            sketch = pa.array([x.tobytes() for x in sketches(shingle, first)], pa.binary())
+            sketch = _sketched(shingle, first)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(size), pa.array(prints.view(np.int64)), sketch, pa.array((np.arange(rows) % SALTS).astype(np.int32)), pa.array(np.zeros(rows, np.int32)),
                  pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())],
                 names,
             )
-            _, head = np.unique(prints, return_index=True)
-            head = head[size[head] > 0]
-            length = size[head]
-            where = np.repeat(first[head] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            sig, owner = rarest(shingle[where], np.concatenate([[0], np.cumsum(length)]), shared.value, rule)
-            kind = size_class(length)[owner]
-            held.append((T.mix(sig), prints[head][owner], kind, kind, np.zeros(len(sig), np.uint8)))
-            count += len(sig)
+            held.append(_dealt_out(prints, shingle, first, shared.value, rule))
+            count += len(held[-1][0])
             if count >= HELD_ENTRIES:
                 yield packed(held)
                 held, count = [], 0
@@ -279,17 +343,9 @@ def _read(docs: DataFrame, rule: Rule) -> DataFrame:
             yield packed(held)
 
     def packed(held) -> pa.RecordBatch:
-        met, sure, _ = _Entries(*(np.concatenate(x) for x in zip(*held))).met(rule.class_gap)
-        cut = np.searchsorted(met.sig, np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS.bit_length() + 1))
-        cut = np.append(cut, len(met.sig))
-        full = np.flatnonzero(np.diff(cut))
-        data = [met[cut[i] : cut[i + 1]] for i in full] + [sure.tobytes()]
-        kinds, size = [1] * len(full) + [2], [*np.diff(cut)[full].tolist(), len(sure)]
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(data), pa.int64())] * 4
-            + [pa.nulls(len(data), pa.binary()), pa.nulls(len(data), pa.int32()), pa.array(kinds, pa.int32()), pa.array([*full.tolist(), 0], pa.int32()), pa.array(size, pa.int64()), pa.array(data, pa.binary())],
-            names,
-        )
+        columns = _packed(held, rule, FEW)
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), *columns], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(T.tidy(read), schema)
 
@@ -301,10 +357,10 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _coarse(read: DataFrame, prints: DataFrame, rule: Rule) -> DataFrame:
+def _coarse(read: DataFrame, prints: DataFrame, rule: Rule, few: int = FEW) -> DataFrame:
     """Pairs of fingerprints that may be linked; every link is within a component of them."""
     entries, near = read.where("kind = 1"), read.where("kind = 2 AND n > 0")
-    shards = max(1, -(-(entries.agg(F.sum("n")).first()[0] or 0) // SHARD_ENTRIES))
+    shards = max(1, -(-(entries.agg(F.sum("n")).first()[0] or 0) // (SHARD_ENTRIES * FEW // few)))
     finer = -(-shards // BUCKETS)
 
     def finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +374,7 @@ def _coarse(read: DataFrame, prints: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["shard", "data"])
 
     def meet(table: pa.Table) -> pa.Table:
-        _, sure, weak = _Entries.of(table.column("data").to_pylist()).met(rule.class_gap)
+        _, sure, weak = _Entries.of(table.column("data").to_pylist()).met(rule.class_gap, few)
         pairs = np.concatenate([sure, weak]).view(np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "sure": pa.array(np.arange(len(pairs)) < len(sure))})
 
@@ -330,10 +386,10 @@ def _coarse(read: DataFrame, prints: DataFrame, rule: Rule) -> DataFrame:
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for k in (2, 3))
+            apart = sketch_distance(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             size = batch.column(4).to_numpy() + batch.column(5).to_numpy()
             # Shingles of just one of two linked sets: at most (1 - t) / (1 + t) of all of both.
-            fits = (100 + rule.percent) * np.abs(left - right).sum(1) <= (100 - rule.percent) * size
+            fits = (100 + rule.percent) * apart <= (100 - rule.percent) * size
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits)) for c in batch.columns[:2]], ["a", "b"])
 
     side = lambda k: prints.select(F.col("print").alias(k), F.col("sketch").alias(f"sketch_{k}"), F.col("n_shingles").alias(f"size_{k}"))
@@ -488,20 +544,80 @@ def _joined_here(regions: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
-def _split(regions: DataFrame, rule: Rule) -> DataFrame:
+def _read_sets(regions: DataFrame, rule: Rule) -> DataFrame:
+    """As ``_read``, for sets of regions: a row for each set, packed entries and pairs. Shingles of two regions are different ones."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        for whole in batches:
+            for batch in _slices(whole, "shingles"):
+                data = batch.column(2).to_pylist()
+                size = np.array([len(x) // 8 for x in data], np.int64)
+                region = T.mix(batch.column(0).to_numpy().view(np.uint64) * T.ODD)
+                yield batch, T.mix(np.frombuffer(b"".join(data), np.uint64) ^ np.repeat(region, size)), np.concatenate([[0], np.cumsum(size)])
+
+    sets = regions.select("region", "print", "shingles")
+    shared = regions.sparkSession.sparkContext.broadcast(_counts(sets, lambda batches: (shingle for _, shingle, _ in keyed(batches))))
+    names = ["print", "n_shingles", "sketch", "kind", "bucket", "n", "data"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch, shingle, first in keyed(batches):
+            rows = batch.num_rows
+            sketch = _sketched(shingle, first)
+            nothing = [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(first)), sketch, pa.array(np.zeros(rows, np.int32)), *nothing], names)
+            held.append(_dealt_out(batch.column(1).to_numpy().view(np.uint64), shingle, first, shared.value, rule))
+            count += len(held[-1][0])
+            if count >= HELD_ENTRIES * FEW // FEW_AGAIN:
+                yield packed(held)
+                held, count = [], 0
+        if count:
+            yield packed(held)
+
+    def packed(held) -> pa.RecordBatch:
+        columns = _packed(held, rule, FEW_AGAIN)
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 2 + [pa.nulls(n, pa.binary()), *columns], names)
+
+    return sets.mapInArrow(T.tidy(read), "print long, n_shingles long, sketch binary, kind int, bucket int, n long, data binary")
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of some ``T.SLICE_BYTES`` of a binary column, or one longer value."""
+    ends = np.cumsum([len(x) for x in batch.column(batch.schema.get_field_index(column)).to_pylist()])
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + T.SLICE_BYTES, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _cut_again(regions: DataFrame, rule: Rule) -> DataFrame:
+    """The regions that are left of regions when their own shingles' counts give the order; sets that meet no other are left out."""
+    read = materialise(_read_sets(regions, rule), "again")
+    parts = components(_coarse(read, read.where("kind = 0").select("print", "n_shingles", "sketch"), rule, FEW_AGAIN))
+    parts = parts.select(F.col("node").alias("print"), F.col("component").alias("part"))
+    return materialise(regions.join(parts, "print").select(F.col("part").alias("region"), "print", "shingles", "home"), "sets")
+
+
+def _split(regions: DataFrame, rule: Rule, trial: bool = False) -> DataFrame:
     """One round of pivots over large regions: cells, and links to pivots.
 
     Rows with a null ``region`` are links: ``print`` and ``other``. The rest are sets of new regions,
     ``closed`` by the pivots or not, and ``foreign`` where they were lent to the old region.
+    A trial measures one chunk of each region and gives ``region, rate``, the cells that a set is in on average.
     """
     from pyspark.sql import Window
 
     order = Window.partitionBy("region").orderBy(F.xxhash64("print"), "print")
     pivots = regions.where("home").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS)
-    counts = regions.groupBy("region").agg(F.ceil(F.count("*") / (REGION_SETS // 2)).cast("int").alias("salts"))
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum(F.length("shingles") / 8) / CHUNK_SHINGLES)).cast("int")
+    counts = regions.groupBy("region").agg(chunks.alias("salts"))
     salted = regions.join(counts, "region").withColumn("salt", F.pmod(F.xxhash64("print"), F.col("salts")))
-    lent = pivots.join(counts, "region").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1).cast("array<bigint>")))
-    schema = "region long, print long, shingles binary, home boolean, closed boolean, foreign boolean, other long"
+    salts = F.array(F.lit(0).cast("long")) if trial else F.sequence(F.lit(0), F.col("salts") - 1).cast("array<bigint>")
+    lent = pivots.join(counts, "region").withColumn("salt", F.explode(salts))
+    salted = salted.where("salt = 0") if trial else salted
+    schema = "region long, rate double" if trial else "region long, print long, shingles binary, home boolean, closed boolean, foreign boolean, other long"
     fields = [("region", pa.int64()), ("print", pa.int64()), ("shingles", pa.binary()), ("home", pa.bool_())]
     fields += [("closed", pa.bool_()), ("foreign", pa.bool_()), ("other", pa.int64())]
 
@@ -509,7 +625,7 @@ def _split(regions: DataFrame, rule: Rule) -> DataFrame:
         rows = {p: (s, h) for p, s, h in zip(*(left.column(c).to_pylist() for c in ("print", "shingles", "home")))}
         heads = dict(sorted(zip(*(right.column(c).to_pylist() for c in ("pivot_print", "pivot_shingles")))))
         if not left.num_rows:
-            return pa.Table.from_pylist([], pa.schema(fields))
+            return pa.Table.from_pylist([], pa.schema([("region", pa.int64()), ("rate", pa.float64())] if trial else fields))
         names = [*heads, *(p for p in rows if p not in heads)]
         here = _Sets(rule, np.array(names, np.int64), [np.frombuffer(heads.get(p) or rows[p][0], np.uint64) for p in names])
         every, region = np.arange(len(names)), left.column("region")[0].as_py()
@@ -519,6 +635,8 @@ def _split(regions: DataFrame, rule: Rule) -> DataFrame:
         for p in range(len(heads)):
             common.measured(p, np.arange(len(heads)))
         nearest, closed, near = voronoi(distance, common.roots(np.arange(len(heads))), rule.eps)
+        if trial:
+            return pa.table({"region": [region], "rate": [float(near.sum(1).mean())]})
         out = []
         for i, p in enumerate(names):
             if p not in rows:
@@ -572,7 +690,14 @@ def _blocks(regions: DataFrame) -> DataFrame:
 
 def _links(regions: DataFrame, rule: Rule) -> list[DataFrame]:
     """Links of all regions, whatever their size."""
-    out, depth = [], 0
+    out, depth, before = [], 0, None
+    for _ in range(AGAIN_ROUNDS):
+        wide = materialise(_sizes(regions).where(F.col("sets") > AGAIN_SETS).select("region", "sets"), "wide")
+        now = wide.agg(F.sum("sets")).first()[0]
+        if not now or before and now > 0.9 * before:
+            break
+        out.append(_joined_here(regions.join(wide, "region", "left_anti"), rule))
+        regions, before = _cut_again(regions.join(wide, "region", "left_semi"), rule), now
     fits = (F.col("sets") <= REGION_SETS) & (F.col("shingle_count") <= REGION_SHINGLES)
     while True:
         large = materialise(_sizes(regions).where(~fits).select("region"), "regions")
@@ -582,6 +707,11 @@ def _links(regions: DataFrame, rule: Rule) -> list[DataFrame]:
         rest = regions.join(large, "region", "left_semi")
         if depth == DEPTH:
             return [*out, _joined_here(_blocks(rest), rule)]
+        apart = materialise(_split(rest, rule, trial=True).where(F.col("rate") <= LENT).select("region"), "apart")
+        out.append(_joined_here(_blocks(rest.join(apart, "region", "left_anti")), rule))
+        if apart.isEmpty():
+            return out
+        rest = rest.join(apart, "region", "left_semi")
         cells = materialise(_split(rest, rule), "cells")
         out.append(cells.where("region IS NULL").select(F.col("print").alias("a"), F.col("other").alias("b")))
         regions = _opened(cells.where("region IS NOT NULL"))
