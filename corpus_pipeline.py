@@ -13,25 +13,20 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tsweave.llm import apart, cost_packing, importance, jaccard, language, tiling
-from tsweave.session import materialise
+from tsweave.session import bound_batches, materialise
 
 KEY = "pipeline_row_key"
 #: Near copies of the pipeline; op8's own rule is that of its query.
 NEAR = jaccard.Rule(words=5, percent=80)
 
 
-#: Bytes of text that travel to a Python worker at once: Spark's default, and what stages set in its place. Executors hold
-#: a batch for each running task beside their heap, and the worker holds it once more.
-BATCH, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def in_small_batches(stage: Stage) -> Stage:
     @wraps(stage)
     def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if spark.conf.get(BATCH, DEFAULT_BATCH) == DEFAULT_BATCH:
-            spark.conf.set(BATCH, BATCH_BYTES)
+        bound_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return bounded

@@ -96,6 +96,29 @@ def test_jaccard_keeps_chains_over_split_regions(make_docs, monkeypatch):
     assert [r[0] for r in got] == [0]
 
 
+def test_common_shingles_are_looked_up_in_bounded_pieces(monkeypatch):
+    shingle, first = jaccard.shingle_sets(*T.laid_out(pa.array(sliding(60))), 3)
+    here = jaccard._Sets(jaccard.Rule(), np.arange(60), [shingle[first[i] : first[i + 1]] for i in range(60)])
+    most, found = [], np.searchsorted
+    monkeypatch.setattr(jaccard, "LOOKED_UP", 2_000, raising=False)
+    monkeypatch.setattr(jaccard.np, "searchsorted", lambda a, v, *x: most.append(np.size(v)) or found(a, v, *x))
+    got = here.common(7, np.arange(60))
+    monkeypatch.undo()
+    assert got.tolist() == [len(np.intersect1d(shingle[first[7] : first[8]], shingle[first[i] : first[i + 1]])) for i in range(60)]
+    assert max(most) <= 2_000
+
+
+def test_jaccard_bounds_arrow_batches(spark, make_docs):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, "67108864b")
+    spark.conf.set(name, "67108864b")
+    try:
+        jaccard.jaccard_components(make_docs([(1, "one two three four")]))
+        assert spark.conf.get(name) == "8m"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_jaccard_of_nothing(make_docs):
     assert jaccard.jaccard_components(make_docs([]).where("false")).count() == 0
     assert jaccard.jaccard_components(make_docs([(1, None), (1, None)])).count() == 2

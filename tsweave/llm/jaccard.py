@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 from tsweave.llm import text as T
 from tsweave.llm.components import components
 from tsweave.llm.exact_dedup import bitmap, marked
-from tsweave.session import materialise
+from tsweave.session import bound_batches, materialise
 
 #: Buckets of the table of shingle counts (two bytes each), and how it is cut to be summed.
 TABLE_BITS, TABLE_PIECE = 22, 1 << 16
@@ -67,6 +67,8 @@ PIVOTS, SMALL_CELL, DEPTH = 16, 48, 3
 AGAIN_SETS, AGAIN_ROUNDS = 500, 3
 #: Sets, and shingles in them, that a task measures against pivots; cells that a set may be in on average.
 CHUNK_SETS, CHUNK_SHINGLES, LENT = 1_000, 500_000, 2
+#: Shingles looked up at once.
+LOOKED_UP = 500_000
 
 
 @dataclass(frozen=True)
@@ -437,11 +439,19 @@ class _Sets:
     def common(self, pivot: int, some: np.ndarray) -> np.ndarray:
         """How many shingles each of ``some`` shares with ``pivot``."""
         own = self.all[self.first[pivot] : self.first[pivot + 1]]
-        length = self.size[some]
-        before = np.cumsum(length) - length
-        there = self.all[np.repeat(self.first[some] - before, length) + np.arange(length.sum())]
-        hit = own[np.minimum(np.searchsorted(own, there), len(own) - 1)] == there
-        return T.totals(hit, np.append(before, length.sum()))
+        out = np.zeros(len(some), np.int64)
+        ends = np.cumsum(self.size[some])
+        begin = 0
+        while begin < len(some):
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + LOOKED_UP, "right")))
+            length = self.size[some[begin:end]]
+            before = np.cumsum(length) - length
+            there = self.all[np.repeat(self.first[some[begin:end]] - before, length) + np.arange(length.sum())]
+            hit = own[np.minimum(np.searchsorted(own, there), len(own) - 1)] == there
+            out[begin:end] = T.totals(hit, np.append(before, length.sum()))
+            begin = end
+        return out
 
     def measured(self, pivot: int, some: np.ndarray) -> np.ndarray:
         """Distance of each of ``some`` to ``pivot``; links are noted."""
@@ -736,8 +746,10 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     ``component_id`` is the smallest ``doc_id`` that links reach, the document itself included. Null and
     empty texts have no shingle and link with nothing. A row with a null ``doc_id`` passes links on, and
     its ``component_id`` is the smallest of the others, or null. Rows that repeat a text form one set;
-    a ``doc_id`` on several texts is in one component for each. Other columns are not read.
+    a ``doc_id`` on several texts is in one component for each. Other columns are not read. The session's
+    limit on the bytes of an Arrow batch is lowered where it has Spark's default.
     """
+    bound_batches(docs.sparkSession)
     read = materialise(_read(docs, rule), "shingles")
     rows = read.where("kind = 0").select("doc_id", "row_key", "n_shingles", "print", "salt")
     texts_of = read.where("kind = 0 AND n_shingles > 0").groupBy("print").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
